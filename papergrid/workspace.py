@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,17 @@ def clear(spark: SparkSession) -> None:
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Number of partitions for steps that are bound by CPU and not by bytes; explicit, so that AQE doesn't merge them."""
     return max(least, 3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the executors' Python workers, once for each context; needed where they can't import it by themselves."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_papergrid_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="papergrid-code-"), "papergrid.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        sc._papergrid_shipped = True
+    return spark
