@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papergrid.llm import encoding, knn, leakage, splitting
+from papergrid.llm import cooccurrence, encoding, knn, leakage, splitting
 
 DIMENSION = 64
 
@@ -35,6 +35,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.literature_pieces(_table(spark, d, "articles"), _table(spark, d, "reference_records"))
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cooccurrence.pairs(cooccurrence.baskets(_table(spark, d, "articles"), "citekey", "entrez_mesh_terms", "entrez_keywords"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select("term_a", "term_b")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(_table(spark, d, "documents"), "doc_id", "text")
 
@@ -52,10 +60,27 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_pieces, p7_ids, p7_roundtrip, p8_found, p8_report)
+    f.__name__: f for f in (p1_found, p3_found, p3_pieces, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report)
 }
 
+_PAIRS = r"""
+    WITH a AS (
+        SELECT nfc_normalize(lower(regexp_replace(citekey, '^\s+|\s+$', '', 'g'))) AS key,
+            list_concat(coalesce(entrez_mesh_terms, []), coalesce(entrez_keywords, [])) AS terms FROM articles),
+    keyed AS (SELECT * FROM a WHERE key IS NOT NULL AND key <> ''),
+    t AS (SELECT key, trim(regexp_replace(lower(unnest(terms)), '\s+', ' ', 'g')) AS term FROM keyed),
+    b AS (SELECT DISTINCT key, term FROM t WHERE term IS NOT NULL AND term <> ''),
+    n AS (SELECT count(DISTINCT key) AS n FROM keyed),
+    c AS (SELECT term, count(*) AS n FROM b GROUP BY term),
+    p AS (SELECT x.term AS term_a, y.term AS term_b, count(*) AS n_ab FROM b x JOIN b y ON x.key = y.key AND x.term < y.term GROUP BY 1, 2),
+    r AS (SELECT term_a, term_b, ca.n AS n_a, cb.n AS n_b, n_ab, n.n AS n_baskets, round(n_ab * CAST(n.n AS DOUBLE) / (ca.n * cb.n), 6) AS lift
+        FROM p JOIN c ca ON ca.term = term_a JOIN c cb ON cb.term = term_b CROSS JOIN n
+        WHERE n_ab >= 4 AND 1000 * n_ab >= n.n AND n_ab * n.n >= 3 * ca.n * cb.n)
+"""
+
 SQL: dict[str, str] = {
+    "p6_found": _PAIRS + "SELECT term_a, term_b FROM r",
+    "p6_pairs": _PAIRS + "SELECT * FROM r",
     "p3_found": """
         WITH s AS (SELECT article_id, unnest(sections) AS sec, generate_subscripts(sections, 1) AS s FROM articles),
         u AS (SELECT article_id, s, unnest(sec.subsections) AS sub, generate_subscripts(sec.subsections, 1) AS u FROM s WHERE sec IS NOT NULL)
