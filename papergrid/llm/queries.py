@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papergrid.llm import cooccurrence, encoding, knn, leakage, splitting
+from papergrid.llm import cooccurrence, encoding, knn, leakage, linkage, quality, splitting
 
 DIMENSION = 64
 
@@ -26,6 +26,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.neighbour_pairs(_vectors(spark, d), 10)
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(_table(spark, d, "reference_records"), _table(spark, d, "works"), _table(spark, d, "journals"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_links(spark, d).select("ref_id", "work_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     cut = splitting.literature_pieces(_table(spark, d, "articles"), _table(spark, d, "reference_records"))
     return cut.where("piece_no = 1").select("src_table", "row_id", "section_no", "subsection_no")
@@ -59,10 +67,23 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(p8_found(spark, d), _table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
 
+def p9_structure(spark: SparkSession, d: str) -> DataFrame:
+    return quality.structure(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_structure(spark, d).where("no_prose > 0.5").select("doc_id")
+
+
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    return quality.counts(_table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_pieces, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report)
+    f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report, p9_found, p9_structure, p9_counts)
 }
 
+_COMMON = ", ".join(f"'{w}'" for w in sorted(set(quality.FUNCTION_WORDS["en"].split())))
 _PAIRS = r"""
     WITH a AS (
         SELECT nfc_normalize(lower(regexp_replace(citekey, '^\s+|\s+$', '', 'g'))) AS key,
@@ -89,5 +110,15 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'articles', article_id, CAST(s AS BIGINT), CAST(u AS BIGINT) FROM u WHERE length(sub.content) > 2000
         UNION ALL SELECT 'reference_records', ref_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM reference_records WHERE length(pubmed.abstract) > 1000
     """,
+    "p9_counts": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w,
+            list_filter(string_split(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\f\r]')) AS l FROM t)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+            CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 6) END AS mean_word_length,
+            CASE WHEN length(t) > 0 THEN round(length(regexp_replace(t, '[\p{L}\p{N}\s]+', '', 'g')) / length(t), 6) END AS symbol_ratio,
+            CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(rtrim(x), '[.!?。]$'))) / len(l), 6) END AS end_share,
+            CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains([""" + _COMMON + """], lower(x)))) / len(w), 6) END AS common_share
+        FROM w""",
     "p7_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
