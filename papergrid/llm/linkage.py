@@ -1,8 +1,8 @@
 """Matching citation texts with bibliographic rows that share no dependable key, by soft logic.
 
-Candidates come from several blocking keys of either side (volume with first page, first page
-with year, and adjacent content words of the title with the year or the first author's name), so an error in
-one field loses nothing. Pairs that share enough keys get the truth values of a few predicates: how
+Candidates come from blocking keys of either side (volume with first page, and each three content
+words of the title in a row, all with the year), so an error in one field loses little. Keys of
+texts that no row has are mostly stopped by a bitmap of fixed size before the shuffle. Pairs that share enough keys get the truth values of a few predicates: how
 much of the row's title stands in the text, whether pages, volume, year, first author and
 journal agree or contradict, and whether the text names a part, reply or correction that the
 row isn't. Weighted hinge rules turn these into support for and against a match; exclusivity
@@ -26,14 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papergrid.workspace import stage, tasks
-
 #: Words without weight in titles and in blocking keys.
 LIGHT = frozenset("a an and as at by does during for from in into is its of on or s the to versus via with vs".split())
 #: Words that say that a text is about another publication.
 MARKERS = ("editorial", "erratum", "corrigendum", "correction", "retraction", "reply", "response", "comments", "results", "update")
 #: Shared keys a pair needs to be scored; a key of numbers counts as that many.
-LEAST_SHARED, NUMBER_KEY = 3, 3
+LEAST_SHARED, NUMBER_KEY = 2, 2
+#: Bits of the filter of the rows' keys; its size is fixed, so with very many rows it only lets more through.
+FILTER_BITS = 1 << 25
 #: Rule weights: support by title and by numbers; against by missing title words, contradictions and markers; prior; ties.
 WEIGHTS = {
     "title": 3.0, "numbers": 3.0, "missing": 2.0, "page": 6.0, "marker": 6.0, "volume": 2.0, "year": 1.0, "author": 1.5, "journal": 1.0,
@@ -108,34 +108,37 @@ def _shown(text: str) -> tuple[list[str], list[str], list[str]]:
     return tokens, years, numbers
 
 
-def _pairs(tokens: list[str]) -> list[tuple[int, int]]:
-    own = [_hash(t) for t in tokens if t not in LIGHT and not t.isdigit()]
-    return list(zip(own, own[1:]))
+def _triples(tokens: list[str]) -> list[tuple[int, int, int]]:
+    own = [_hash(t) for t in tokens if t not in LIGHT and len(t) > 2 and not t.isdigit()]
+    return list(zip(own, own[1:], own[2:]))
+
+
+#: Stand-ins for a year in keys: the row has none; the text has none.
+_NO_YEAR, _ANY_YEAR = 1, 2
 
 
 def _text_keys(text: str) -> set[int]:
-    """Keys of a citation text."""
+    """Keys of a citation text: three words in a row, and volume with page, each with the year."""
     tokens, years, numbers = _shown(text)
-    pairs, out = _pairs(tokens), set()
-    for y in map(_hash, years or [""]):
-        out.update([_key(a, b, y) for a, b in pairs])
+    triples, out = _triples(tokens), set()
     plain = [_hash(n) for n in numbers if n not in years or numbers.count(n) > 1]
-    for i, v in enumerate(plain):
-        out.update([_key(v, n, 1) for n in plain[i + 1 : i + 3]])
-        out.update([_key(v, _hash(y), 2) for y in years])
+    for y in [*map(_hash, years), _NO_YEAR] if years else [_ANY_YEAR]:
+        out.update([_key(a, b, c ^ y) for a, b, c in triples])
+        out.update([_key(v, n, y) for i, v in enumerate(plain) for n in plain[i + 1 : i + 3]])
     return out
 
 
 def _row_keys(title: str | None, year: str | None, volume: str | None, page: str | None) -> dict[int, int]:
-    """Keys of a bibliographic row and their weights. Pairs of words have a key without a year, too, for texts that show none."""
-    pairs, out = _pairs(words(title or "")), {}
-    for y in {_hash(""), _hash(year or "")}:
-        for a, b in pairs:
-            out[_key(a, b, y)] = 1
+    """Keys of a bibliographic row and their weights. A year may differ by one where volume and page agree."""
+    year = (year or "").strip()
+    triples, out = _triples(words(title or "")), {}
+    for y in (_hash(year) if year else _NO_YEAR, _ANY_YEAR):
+        for a, b, c in triples:
+            out[_key(a, b, c ^ y)] = 1
     if page and volume:
-        out[_key(_hash(volume), _hash(page), 1)] = NUMBER_KEY
-    if page and year:
-        out[_key(_hash(page), _hash(year), 2)] = NUMBER_KEY
+        near = [_hash(str(int(year) + d)) for d in (-1, 0, 1)] if year.isdigit() else [_NO_YEAR]
+        for y in [*near, _ANY_YEAR]:
+            out[_key(_hash(volume.strip()), _hash(page.strip()), y)] = NUMBER_KEY
     return out
 
 
@@ -285,17 +288,39 @@ def journal_forms(full: list[str | None], short: list[str | None]) -> dict[str,
 
 
 _SCORED = "h1 bigint, h2 bigint, w1 bigint, w2 bigint, truth array<double>, words string, year string, volume string, page string, name string"
+_FIELDS = ("title", "author", "journal", "year", "volume", "page")
 
 
-def _key_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"h1": pdf["h1"], "h2": pdf["h2"], "keys": [list(_text_keys(t)) for t in pdf["text"]]})
+def _key_texts(bits: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [_text_keys(t) for t in pdf["text"]]
+            flat = np.fromiter((k for ks in keys for k in ks), np.int64)
+            at = flat & (FILTER_BITS - 1)
+            ok = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            yield pd.DataFrame({"h1": np.repeat(pdf["h1"].to_numpy(np.int64), [len(k) for k in keys])[ok], "key": flat[ok]})
+
+    return run
 
 
 def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keys = [_row_keys(*x) for x in zip(pdf["title"], pdf["year"], pdf["volume"], pdf["page"])]
-        yield pd.DataFrame({"w1": pdf["w1"], "w2": pdf["w2"], "keys": [list(k) for k in keys], "weights": [list(k.values()) for k in keys]})
+        yield pd.DataFrame({
+            "w1": np.repeat(pdf["w1"].to_numpy(np.int64), [len(k) for k in keys]), "key": np.fromiter((x for k in keys for x in k), np.int64),
+            "weight": np.fromiter((x for k in keys for x in k.values()), np.int32),
+        })
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Which places modulo FILTER_BITS the keys take; FILTER_BITS / 8 bytes, put together from partial bitmaps on the executors."""
+    place = F.col("key").bitwiseAND(FILTER_BITS - 1) + 1  # the engine's bitmaps count from 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts:
+        start = (row.b - 1) * len(row.bits)
+        out[start : start + len(row.bits)] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
 
 
 def _score(forms: dict[str, tuple[str, ...]]):
@@ -337,34 +362,30 @@ def link(records: DataFrame, rows: DataFrame, journals: DataFrame) -> DataFrame:
     """(ref_id, work_id, confidence): the rows that describe the publication each record's text cites.
 
     records: ref_id, text; rows: work_id, title, authors, journal, pub_year, volume, first_page; journals: full_name, short_name, a fixed
-    table of at most 100,000 rows. Equal texts and equal rows are worked on once."""
-    spark = records.sparkSession
+    table of at most 100,000 rows. Equal texts and equal rows are worked on once, under two hashes; candidates are found by the first
+    hash alone, and what shares it by chance is scored apart."""
     names = journals.select("full_name", "short_name").limit(100_001).toPandas()
     if len(names) > 100_000:
         raise ValueError("journals has more than 100,000 rows")
     forms = journal_forms(list(names["full_name"]), list(names["short_name"]))
-    pair_of = lambda *cols: (F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols))
-    h1, h2 = pair_of(F.col("text"))
+    two = lambda *cols: (F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols))
+    h1, h2 = two(F.col("text"))
     texts = records.select(F.col("ref_id").cast("bigint").alias("ref_id"), "text", h1.alias("h1"), h2.alias("h2")).where(
         F.col("ref_id").isNotNull() & F.col("text").rlike(r"\S")
     )
     fields = [F.coalesce(c, F.lit("")) for c in (F.col("title"), F.try_element_at("authors", F.lit(1)), *map(F.col, ("journal", "pub_year", "volume", "first_page")))]
-    w1, w2 = pair_of(*fields)
-    named = [f.alias(n) for f, n in zip(fields, ("title", "author", "journal", "year", "volume", "page"))]
-    works = rows.select(F.col("work_id").cast("bigint").alias("work_id"), *named, w1.alias("w1"), w2.alias("w2")).where(F.col("work_id").isNotNull())
-
-    one_text = stage(texts.groupBy("h1", "h2").agg(F.first("text").alias("text")))
-    one_row = stage(works.groupBy("w1", "w2").agg(*(F.first(n).alias(n) for n in ("title", "author", "journal", "year", "volume", "page"))))
-    parts = tasks(spark)
-    left = one_text.repartition(parts).mapInPandas(_key_texts, "h1 bigint, h2 bigint, keys array<bigint>").select("h1", "h2", F.explode("keys").alias("key"))
-    right = (
-        one_row.mapInPandas(_key_rows, "w1 bigint, w2 bigint, keys array<bigint>, weights array<int>")
-        .select("w1", "w2", F.explode(F.arrays_zip("keys", "weights")).alias("k")).select("w1", "w2", F.col("k.keys").alias("key"), F.col("k.weights").alias("weight"))
-    )
-    near = left.join(right, "key").groupBy("h1", "h2", "w1", "w2").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
-    both = near.join(one_row, ["w1", "w2"]).join(one_text, ["h1", "h2"])
-    both = both.select("h1", "h2", "text", "w1", "w2", "title", "author", "journal", "year", "volume", "page")
-    scored = both.repartition(parts, "h1", "h2").mapInPandas(_score(forms), _SCORED)
+    w1, w2 = two(*fields)
+    works = rows.select(F.col("work_id").cast("bigint").alias("work_id"), *(f.alias(n) for f, n in zip(fields, _FIELDS)), w1.alias("w1"), w2.alias("w2"))
+    works = works.where(F.col("work_id").isNotNull())
+
+    one_text = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    one_row = works.groupBy("w1", "w2").agg(*(F.first(n).alias(n) for n in _FIELDS))
+    right = one_row.mapInPandas(_key_rows, "w1 bigint, key bigint, weight int")
+    left = one_text.mapInPandas(_key_texts(_bitmap(right)), "h1 bigint, key bigint")
+    near = left.join(right, "key").groupBy("h1", "w1").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("h1", "w1")
+    scored = (
+        near.join(one_row, "w1").join(one_text, "h1").select("h1", "h2", "text", "w1", "w2", *_FIELDS).mapInPandas(_score(forms), _SCORED)
+    )
     blocks = scored.groupBy("h1", "h2").agg(F.collect_list(F.struct("w1", "w2", "truth", "words", "year", "volume", "page", "name")).alias("pairs"))
     matched = blocks.mapInPandas(_settle, "h1 bigint, h2 bigint, w1 bigint, w2 bigint, confidence double")
     found = matched.join(works.select("work_id", "w1", "w2"), ["w1", "w2"]).select("h1", "h2", "work_id", "confidence")
