@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papergrid.functions.udf import vectorised
 
-@F.pandas_udf("string")
+
+@vectorised("string")
 def _composed(texts: pd.Series) -> pd.Series:
     """NFC of the few strings that need it; null for the rest, which the caller leaves as they are."""
     out = pd.Series([None] * len(texts), dtype=object)
