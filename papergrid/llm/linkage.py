@@ -1,7 +1,7 @@
 """Matching citation texts with bibliographic rows that share no dependable key, by soft logic.
 
 Candidates come from blocking keys of either side (volume with first page, and each three content
-words of the title in a row, all with the year), so an error in one field loses little. Keys of
+words of the title in a row that aren't in very many titles, all with the year), so an error in one field loses little. Keys of
 texts that no row has are mostly stopped by a bitmap of fixed size before the shuffle. Pairs that share enough keys get the truth values of a few predicates: how
 much of the row's title stands in the text, whether pages, volume, year, first author and
 journal agree or contradict, and whether the text names a part, reply or correction that the
@@ -32,6 +32,10 @@ LIGHT = frozenset("a an and as at by does during for from in into is its of on o
 MARKERS = ("editorial", "erratum", "corrigendum", "correction", "retraction", "reply", "response", "comments", "results", "update")
 #: Shared keys a pair needs to be scored; a key of numbers counts as that many.
 LEAST_SHARED, NUMBER_KEY = 2, 2
+#: Three-word keys up to which one of a title's keys counts as much as a key of numbers.
+SHORT = 3
+#: Share of the titles from which on a word stands in no key.
+COMMON = 0.04
 #: Bits of the filter of the rows' keys; its size is fixed, so with very many rows it only lets more through.
 FILTER_BITS = 1 << 25
 #: Rule weights: support by title and by numbers; against by missing title words, contradictions and markers; prior; ties.
@@ -78,11 +82,11 @@ def _hash(word: str) -> int:
     return h
 
 
-def _key(a: int, b: int, c: int) -> int:
-    """A signed 64-bit key of three parts in order."""
-    h = (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) & _MASK
-    h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & _MASK
-    return (h ^ h >> 32) - (1 << 63)
+def _mix(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Signed 64-bit keys of three parts in order."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + c * np.uint64(0x165667B19E3779F9))
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
 def _surname(author: str | None) -> str:
@@ -108,38 +112,68 @@ def _shown(text: str) -> tuple[list[str], list[str], list[str]]:
     return tokens, years, numbers
 
 
-def _triples(tokens: list[str]) -> list[tuple[int, int, int]]:
-    own = [_hash(t) for t in tokens if t not in LIGHT and len(t) > 2 and not t.isdigit()]
-    return list(zip(own, own[1:], own[2:]))
-
-
 #: Stand-ins for a year in keys: the row has none; the text has none.
 _NO_YEAR, _ANY_YEAR = 1, 2
 
 
-def _text_keys(text: str) -> set[int]:
-    """Keys of a citation text: three words in a row, and volume with page, each with the year."""
-    tokens, years, numbers = _shown(text)
-    triples, out = _triples(tokens), set()
-    plain = [_hash(n) for n in numbers if n not in years or numbers.count(n) > 1]
-    for y in [*map(_hash, years), _NO_YEAR] if years else [_ANY_YEAR]:
-        out.update([_key(a, b, c ^ y) for a, b, c in triples])
-        out.update([_key(v, n, y) for i, v in enumerate(plain) for n in plain[i + 1 : i + 3]])
-    return out
-
-
-def _row_keys(title: str | None, year: str | None, volume: str | None, page: str | None) -> dict[int, int]:
-    """Keys of a bibliographic row and their weights. A year may differ by one where volume and page agree."""
-    year = (year or "").strip()
-    triples, out = _triples(words(title or "")), {}
-    for y in (_hash(year) if year else _NO_YEAR, _ANY_YEAR):
-        for a, b, c in triples:
-            out[_key(a, b, c ^ y)] = 1
-    if page and volume:
-        near = [_hash(str(int(year) + d)) for d in (-1, 0, 1)] if year.isdigit() else [_NO_YEAR]
-        for y in [*near, _ANY_YEAR]:
-            out[_key(_hash(volume.strip()), _hash(page.strip()), y)] = NUMBER_KEY
-    return out
+def _heavy(tokens: list[str], stop: frozenset[str]) -> list[int]:
+    return [_hash(t) for t in tokens if len(t) > 2 and t not in LIGHT and t not in stop and not t.isdigit()]
+
+
+def _keys(word_runs: list[list[int]], numbers: list[list[tuple[int, int]]], word_years: list[list[int]], number_years: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the item, key, weight), each once: every three words in a row and every pair of numbers with each of the item's years."""
+
+    def crossed(at: np.ndarray, years: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        count = np.array([len(y) for y in years], np.int64)
+        flat = np.array([y for ys in years for y in ys], np.uint64)
+        times = count[at] if len(at) else np.zeros(0, np.int64)
+        which = np.repeat(np.arange(len(at)), times)
+        first = (np.cumsum(count) - count)[at] if len(at) else np.zeros(0, np.int64)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        return which, flat[np.repeat(first, times) + step]
+
+    flat, owner = np.array([w for ws in word_runs for w in ws], np.uint64), np.repeat(np.arange(len(word_runs)), [len(w) for w in word_runs])
+    begin = np.flatnonzero(owner[:-2] == owner[2:]) if len(owner) > 2 else np.zeros(0, np.int64)
+    which, year = crossed(owner[begin], word_years)
+    i = begin[which]
+    by_words = _mix(flat[i], flat[i + 1], flat[i + 2] ^ year) if len(i) else np.zeros(0, np.int64)
+    pairs, holder = np.array([p for ps in numbers for p in ps], np.uint64).reshape(-1, 2), np.repeat(np.arange(len(numbers)), [len(p) for p in numbers])
+    n, year = crossed(holder, number_years)
+    by_numbers = _mix(pairs[n, 0], pairs[n, 1], year) if len(n) else np.zeros(0, np.int64)
+    at = np.concatenate([owner[i], holder[n]])
+    key = np.concatenate([by_words, by_numbers])
+    weight = np.concatenate([np.ones(len(i), np.int32), np.full(len(n), NUMBER_KEY, np.int32)])
+    order = np.lexsort((key, at))
+    at, key, weight = at[order], key[order], weight[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (key[1:] != key[:-1])
+    return at[new], key[new], weight[new]
+
+
+def text_keys(texts: list[str], stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of citation texts, each with the years shown and with that of rows without one."""
+    runs, pairs, years = [], [], []
+    for text in texts:
+        tokens, shown, numbers = _shown(text)
+        plain = [_hash(n) for n in numbers if n not in shown or numbers.count(n) > 1]
+        runs.append(_heavy(tokens, stop))
+        pairs.append([(v, n) for i, v in enumerate(plain) for n in plain[i + 1 : i + 3]])
+        years.append([*map(_hash, shown), _NO_YEAR] if shown else [_ANY_YEAR])
+    return _keys(runs, pairs, years, years)
+
+
+def row_keys(rows: list[tuple[str, str, str, str]], stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of bibliographic rows (title, year, volume, page). The year may differ by one where volume and page agree."""
+    runs, pairs, by_words, by_numbers = [], [], [], []
+    for title, year, volume, page in rows:
+        year, volume, page = ((x or "").strip() for x in (year, volume, page))
+        runs.append(_heavy(words(title or ""), stop))
+        pairs.append([(_hash(volume), _hash(page))] if volume and page else [])
+        by_words.append([_hash(year) if year else _NO_YEAR, _ANY_YEAR])
+        by_numbers.append([*([_hash(str(int(year) + d)) for d in (-1, 0, 1)] if year.isdigit() else [_NO_YEAR]), _ANY_YEAR])
+    item, key, weight = _keys(runs, pairs, by_words, by_numbers)
+    short = np.array([len(r) - 2 <= SHORT for r in runs], bool)
+    return item, key, np.where(short[item], NUMBER_KEY, weight).astype(np.int32) if len(item) else weight
 
 
 def _near(a: str, b: str) -> bool:
@@ -157,11 +191,26 @@ def _near(a: str, b: str) -> bool:
     return left <= 1 or (left == 2 and len(a) == len(b) and a[i] == b[i + 1] and a[i + 1] == b[i])
 
 
+_LONG_MARKERS = [m for m in MARKERS if len(m) > 6]
+_MARKER_ENDS = {m[:2] for m in _LONG_MARKERS} | {m[-2:] for m in _LONG_MARKERS}
+
+
 def _markers(tokens: list[str]) -> set[str]:
-    out = {m for m in MARKERS for t in tokens if t == m or (len(m) > 6 and _near(t, m))}
+    out = {t for t in tokens if t in MARKERS}
+    for t in tokens:
+        if len(t) > 5 and (t[:2] in _MARKER_ENDS or t[-2:] in _MARKER_ENDS) and t not in out:
+            out.update(m for m in _LONG_MARKERS if _near(t, m))
     return out | {f"part {b}" for a, b in zip(tokens, tokens[1:]) if a == "part" and b.isdigit()}
 
 
+def hopeless(shown: tuple, own: list[str], volume: str, page: str) -> bool:
+    """Less than half of the title's words stand in the text letter for letter, nor do volume and page: no rule would support a match."""
+    tokens, _, numbers, squashed, have, *_ = shown
+    heavy = [w for w in own if w not in LIGHT]
+    hits = sum(w in have or (len(w) > 3 and w in squashed) for w in heavy)
+    return 2 * hits < len(heavy) and not (page in numbers and volume in numbers)
+
+
 #: Predicates of a pair, in the order of the columns of truths().
 SUPPORT = ("title", "numbers")
 AGAINST = ("missing", "page", "marker", "volume", "year", "author", "journal", "extra")
@@ -271,8 +320,8 @@ def row_fields(title: str | None, authors: list[str] | None, journal: str | None
 
 
 def alike(a: dict, b: dict) -> float:
-    """Truth that two bibliographic rows are of one publication."""
-    if [w for w in a["words"] if w not in LIGHT] != [w for w in b["words"] if w not in LIGHT] or not a["words"]:
+    """Truth that two bibliographic rows, whose words are their titles' weighty words or a hash of them, are of one publication."""
+    if a["words"] != b["words"]:
         return 0.0
     return float(all(not a[k] or not b[k] or a[k] == b[k] for k in ("year", "volume", "page", "name")))
 
@@ -287,29 +336,28 @@ def journal_forms(full: list[str | None], short: list[str | None]) -> dict[str,
     return out
 
 
-_SCORED = "h1 bigint, h2 bigint, w1 bigint, w2 bigint, truth array<double>, words string, year string, volume string, page string, name string"
+_SCORED = "h1 bigint, h2 bigint, w1 bigint, w2 bigint, truth array<float>, words bigint, year string, volume string, page string, name string"
 _FIELDS = ("title", "author", "journal", "year", "volume", "page")
 
 
-def _key_texts(bits: np.ndarray):
+def _key_texts(bits: np.ndarray, stop: frozenset[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = [_text_keys(t) for t in pdf["text"]]
-            flat = np.fromiter((k for ks in keys for k in ks), np.int64)
-            at = flat & (FILTER_BITS - 1)
+            item, key, _ = text_keys(list(pdf["text"]), stop)
+            at = key & (FILTER_BITS - 1)
             ok = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            yield pd.DataFrame({"h1": np.repeat(pdf["h1"].to_numpy(np.int64), [len(k) for k in keys])[ok], "key": flat[ok]})
+            yield pd.DataFrame({"h1": pdf["h1"].to_numpy(np.int64)[item[ok]], "key": key[ok]})
 
     return run
 
 
-def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keys = [_row_keys(*x) for x in zip(pdf["title"], pdf["year"], pdf["volume"], pdf["page"])]
-        yield pd.DataFrame({
-            "w1": np.repeat(pdf["w1"].to_numpy(np.int64), [len(k) for k in keys]), "key": np.fromiter((x for k in keys for x in k), np.int64),
-            "weight": np.fromiter((x for k in keys for x in k.values()), np.int32),
-        })
+def _key_rows(stop: frozenset[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            item, key, weight = row_keys(list(zip(pdf["title"], pdf["year"], pdf["volume"], pdf["page"])), stop)
+            yield pd.DataFrame({"w1": pdf["w1"].to_numpy(np.int64)[item], "key": key, "weight": weight})
+
+    return run
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -323,6 +371,22 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _title_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        count: dict[str, int] = {}
+        for title in pdf["title"]:
+            for w in set(words(title)):
+                count[w] = count.get(w, 0) + 1
+        yield pd.DataFrame({"word": list(count), "n": list(count.values())})
+
+
+def common_words(rows: DataFrame) -> frozenset[str]:
+    """Words in more than COMMON of the titles, of which there can't be more than the mean title's words divided by COMMON."""
+    counts = rows.select("title").mapInPandas(_title_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = rows.count()
+    return frozenset(r.word for r in counts.where(F.col("n") > COMMON * total).collect())
+
+
 def _score(forms: dict[str, tuple[str, ...]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -331,11 +395,15 @@ def _score(forms: dict[str, tuple[str, ...]]):
             for h1, h2, text, w1, w2, title, author, journal, year, volume, page in pdf.itertuples(index=False, name=None):
                 if text != last:
                     last, shown = text, seen(text)
+                own = words(title)
+                if hopeless(shown, own, volume.strip(), page.strip()):
+                    continue
                 row = row_fields(title, [author], journal, year, volume, page, forms)
                 truth = truths(shown, row)
                 # Alone, such a pair ends at 0, whatever else is cited: no support, or none that outweighs a contradiction of page or kind.
                 if max(truth[:2]) > 0.2 and truth[3] + truth[4] == 0:
-                    out.append((h1, h2, w1, w2, truth, " ".join(w for w in row["words"] if w not in LIGHT), row["year"], row["volume"], row["page"], row["name"]))
+                    heavy = _hash(" ".join(w for w in own if w not in LIGHT)) - (1 << 63)
+                    out.append((h1, h2, w1, w2, truth, heavy, row["year"], row["volume"], row["page"], row["name"]))
             yield pd.DataFrame(out, columns=["h1", "h2", "w1", "w2", "truth", "words", "year", "volume", "page", "name"])
 
     return run
@@ -346,7 +414,7 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owner, truth, same, out = [], [], [], []
         for block, (h1, h2, pairs) in enumerate(zip(pdf["h1"], pdf["h2"], pdf["pairs"])):
             base = len(owner)
-            rows = [{**p, "words": p["words"].split(" ")} for p in pairs]
+            rows = list(pairs)
             for a, p in enumerate(rows):
                 owner.append(block)
                 truth.append(p["truth"])
@@ -378,14 +446,17 @@ def link(records: DataFrame, rows: DataFrame, journals: DataFrame) -> DataFrame:
     works = rows.select(F.col("work_id").cast("bigint").alias("work_id"), *(f.alias(n) for f, n in zip(fields, _FIELDS)), w1.alias("w1"), w2.alias("w2"))
     works = works.where(F.col("work_id").isNotNull())
 
-    one_text = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    one_row = works.groupBy("w1", "w2").agg(*(F.first(n).alias(n) for n in _FIELDS))
-    right = one_row.mapInPandas(_key_rows, "w1 bigint, key bigint, weight int")
-    left = one_text.mapInPandas(_key_texts(_bitmap(right)), "h1 bigint, key bigint")
+    # Sets of one, but for chance: what shares the first hash. So each side is shuffled once, and by what the joins below need.
+    text_sets = texts.groupBy("h1").agg(F.collect_set(F.struct("h2", "text")).alias("s"))
+    one_text = text_sets.select("h1", F.inline("s"))
+    row_sets = works.groupBy("w1").agg(F.collect_set(F.struct("w2", *_FIELDS)).alias("s"))
+    one_row = row_sets.select("w1", F.inline("s"))
+    stop = common_words(works)
+    right = one_row.mapInPandas(_key_rows(stop), "w1 bigint, key bigint, weight int")
+    left = one_text.mapInPandas(_key_texts(_bitmap(right), stop), "h1 bigint, key bigint")
     near = left.join(right, "key").groupBy("h1", "w1").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("h1", "w1")
-    scored = (
-        near.join(one_row, "w1").join(one_text, "h1").select("h1", "h2", "text", "w1", "w2", *_FIELDS).mapInPandas(_score(forms), _SCORED)
-    )
+    both = near.join(one_row, "w1").join(one_text, "h1").select("h1", "h2", "text", "w1", "w2", *_FIELDS)
+    scored = both.mapInPandas(_score(forms), _SCORED)
     blocks = scored.groupBy("h1", "h2").agg(F.collect_list(F.struct("w1", "w2", "truth", "words", "year", "volume", "page", "name")).alias("pairs"))
     matched = blocks.mapInPandas(_settle, "h1 bigint, h2 bigint, w1 bigint, w2 bigint, confidence double")
     found = matched.join(works.select("work_id", "w1", "w2"), ["w1", "w2"]).select("h1", "h2", "work_id", "confidence")
