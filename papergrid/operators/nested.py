@@ -249,7 +249,10 @@ def nodes_of(texts: list[bytes], is_set: np.ndarray) -> pd.DataFrame:
     frames = []
 
     def emit(kind: str, body: np.ndarray, path: np.ndarray, parent: np.ndarray | None, place: np.ndarray, value: np.ndarray) -> None:
-        frames.append(pd.DataFrame({"text": body, "node_kind": kind, "node_path": path, "parent_path": parent, "place": place, "value": value}))
+        frames.append(pd.DataFrame({
+            "text": body, "node_kind": np.full(len(body), kind, object), "node_path": path, "parent_path": np.full(len(body), None, object) if parent is None else parent,
+            "place": place, "value": value,
+        }))
 
     def below(kind: str, parents: tuple, holder: np.ndarray, **how) -> tuple:
         body, path, _ = parents
@@ -302,7 +305,7 @@ def _linked(with_json: bool):
                     nodes["payload_id"] = ids[rows][nodes["text"].to_numpy(np.int64)]
                     if with_json:
                         nodes["node_json"] = [own[t][a:b].decode("utf-8", "replace") for t, a, b in zip(nodes["text"], nodes["start"], nodes["stop"])]
-                    yield nodes[columns]
+                    yield nodes[columns].astype({c: object for c in columns if c not in ("payload_id", "place")})  # concatenated text columns may be in chunks
                     rows, size = [], 0
                 if i is not None:
                     rows.append(i)
