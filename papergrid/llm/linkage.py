@@ -456,7 +456,7 @@ def link(records: DataFrame, rows: DataFrame, journals: DataFrame) -> DataFrame:
     left = one_text.mapInPandas(_key_texts(_bitmap(right), stop), "h1 bigint, key bigint")
     near = left.join(right, "key").groupBy("h1", "w1").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("h1", "w1")
     # Rows with the title of a candidate are candidates, too: transitivity needs them, whichever of their fields the text garbles.
-    plain = F.regexp_replace(F.lower("title"), r"<[^>]+>|[^0-9a-zα-ω]+", "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower("title"), r"</?[a-z]{1,6}>", ""), r"[^0-9a-zα-ω]+", "")
     titled = one_row.withColumn("title_key", F.when(plain == "", F.col("w1")).otherwise(F.xxhash64(plain)))
     near = near.join(titled.select("w1", "title_key"), "w1").select("h1", "title_key").distinct()
     both = near.join(titled, "title_key").join(one_text, "h1").select("h1", "h2", "text", "w1", "w2", *_FIELDS)
