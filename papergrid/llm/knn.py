@@ -1,7 +1,7 @@
 """Most similar vectors for every vector, by pruned proximity graphs over shards.
 
 Vectors are routed by pivots (k-means on a bounded sample). Each vector is indexed in the shard of
-its nearest pivot and queried in the shards of its ``probes`` nearest ones. A shard's graph is
+its nearest pivot and queried in the shards of all pivots that are nearly as near. A shard's graph is
 built by :mod:`papergrid.llm.graph` and kept as one row of an index table; a shard larger than
 ``SHARD_MOST`` is hashed into sub-shards, each of which is searched, and a shard's queries go in
 chunks of ``CHUNK`` against copies of its row, so no task holds more than one graph and one chunk.
@@ -25,9 +25,11 @@ from papergrid.llm import graph
 from papergrid.workspace import stage, tasks
 
 #: Rows for a pivot, most pivots, most sample rows for a pivot; most rows of a graph and of a chunk of queries.
-SHARD_ROWS, PIVOTS_MOST, SAMPLE_EACH, SHARD_MOST, CHUNK = 700, 8192, 25, 4000, 4000
-#: Shards searched for a query, beam width of the search.
-PROBES, BEAM = 10, 40
+SHARD_ROWS, PIVOTS_MOST, SAMPLE_EACH, SHARD_MOST, CHUNK = 500, 8192, 25, 4000, 4000
+#: Shards searched for a query: those whose pivot's cosine is at most MARGIN below the best one's, but no fewer and no more than these; beam width.
+MARGIN, PROBES, BEAM = 0.25, (4, 40), 48
+#: Most neighbours of a node and beam width while a shard's graph is built.
+DEGREE, BUILD_BEAM = 32, 64
 
 
 def usable(df: DataFrame, ids: str, vectors: str, dim: int) -> DataFrame:
@@ -77,21 +79,26 @@ def _to_blob(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cid": pdf["cid"], "n": pdf["n"], "vec": [np.asarray(v, np.float32).tobytes() for v in pdf["vec"]]})
 
 
-def _route(pivots: np.ndarray, probes: int):
+def _route(pivots: np.ndarray, margin: float, probes: tuple[int, int]):
+    least, most = (min(p, len(pivots)) for p in probes)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 sims = _unit(pdf["vec"])[1] @ pivots.T
-                top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
-                yield pd.DataFrame({"cid": pdf["cid"], "vec": pdf["vec"], "probes": list(top.astype(np.int32))})
+                top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+                best = np.take_along_axis(sims, top, 1)
+                order = np.argsort(-best, axis=1, kind="stable")
+                top, best = np.take_along_axis(top, order, 1).astype(np.int32), np.take_along_axis(best, order, 1)
+                count = np.maximum((best >= best[:, :1] - margin).sum(1), least)
+                yield pd.DataFrame({"cid": pdf["cid"], "vec": pdf["vec"], "probes": [t[:n] for t, n in zip(top, count)]})
 
     return run
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("cid")
-    near, entries = graph.build(_unit(pdf["vec"])[1], degree=24, beam=48)
+    near, entries = graph.build(_unit(pdf["vec"])[1], DEGREE, BUILD_BEAM)
     return pd.DataFrame({
         "shard": [pdf["shard"].iloc[0]], "sub": [pdf["sub"].iloc[0]], "ids": [pdf["cid"].to_numpy(np.int64).tobytes()],
         "vecs": [b"".join(pdf["vec"])], "near": [near.tobytes()], "entries": [entries.tobytes()],
@@ -124,7 +131,7 @@ def _search(k: int, beam: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 10, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, margin: float = MARGIN, probes: tuple[int, int] = PROBES, beam: int = BEAM) -> DataFrame:
     """(id, other, similarity, place): for each id of vectors (id, vec) its k most similar others, places 1 to k."""
     spark = vectors.sparkSession
     classes = stage(
@@ -138,8 +145,7 @@ def nearest(vectors: DataFrame, k: int = 10, probes: int = PROBES, beam: int = B
     unit = _unit(sample["vec"])[1] if len(sample) else np.zeros((0, 1), np.float32)
     n_pivots = min(n_pivots, max(1, len(unit)))
     pivots = _means(unit, n_pivots) if len(unit) else np.zeros((1, 1), np.float32)
-    probes = min(probes, n_pivots)
-    routed = stage(classes.repartition(tasks(spark)).mapInPandas(_route(pivots, probes), "cid bigint, vec binary, probes array<int>"))
+    routed = stage(classes.repartition(tasks(spark)).mapInPandas(_route(pivots, margin, probes), "cid bigint, vec binary, probes array<int>"))
 
     # One row for each pivot, so both tables are bounded by PIVOTS_MOST.
     indexed = routed.groupBy(F.col("probes")[0].alias("shard")).agg(F.count("*").alias("rows"))
