@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 #: Keys that lead to nodes.
 KEYS = ("articles", "sections", "subsections", "set", "records", "pubmed", "authors")
 #: Most bytes indexed at once, unless one body has more.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 _OBJ, _ARR, _STR, _SCALAR, _NULL = 1, 2, 3, 4, 5
 _NUMBER = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
 

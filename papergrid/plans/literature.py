@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papergrid.functions import html as H
 from papergrid.functions import markdown as M
+from papergrid.functions import pages as G_
 from papergrid.functions import references as R
 from papergrid.functions import text as T
 from papergrid.functions import xml as X
@@ -583,6 +584,24 @@ def html_references(t):
     return t("documents").select("doc_id", F.explode(H.references_of(F.col("text"), F.lit(""))).alias("r")).select("doc_id", "r.*")
 
 
+@_query()
+def page_notes(t):
+    a = t("documents").select("doc_id", H.article_of(F.col("text"), F.lit("")).alias("a"))
+    return a.select("doc_id", G_.page_markdown(F.col("a.sections")).alias("markdown"))
+
+
+@_query()
+def page_sections_by_rule(t):
+    run = G_.sections_by_rule({})
+    return t("documents").select("doc_id", F.explode(run(F.col("text"), F.col("source"))).alias("s")).select("doc_id", "s.title", "s.type", "s.content")
+
+
+@_query()
+def page_figures(t):
+    a = t("documents").select("doc_id", H.article_of(F.col("text"), F.lit("")).alias("a")).select("doc_id", "a.sections")
+    return G_.collected_figures(a, "doc_id")
+
+
 # --- payloads of services ---------------------------------------------------------------------------------------------------------
 
 
