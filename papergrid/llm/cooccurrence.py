@@ -25,6 +25,8 @@ from papergrid.workspace import stage
 
 #: Least share of the baskets that makes a term heavy; baskets of a block; light pairs held before they are summed.
 HEAVY, BLOCK, HELD = 0.01, 4096, 4_000_000
+#: Most rows of the bit matrix; terms beyond count as light, with the same result.
+HEAVY_MOST = 1024
 
 
 def tidy(term: Column) -> Column:
@@ -106,7 +108,7 @@ def pairs(held: DataFrame, least: int = 4, per_mille: int = 1, lift: float = 3.0
     # At most (terms in all baskets) / support rows, that is 1000 / per_mille times the mean basket size.
     words = counts.toPandas().sort_values(["n", "term"], ascending=[False, True], ignore_index=True)
     words["tid"] = np.arange(len(words), dtype=np.int32)
-    heavy = int((words["n"] >= max(1, HEAVY * total)).sum())
+    heavy = min(HEAVY_MOST, int((words["n"] >= max(1, HEAVY * total)).sum()))
     spark = held.sparkSession
     vocabulary = stage(spark.createDataFrame(words[["tid", "term", "n"]], "tid int, term string, n bigint"))
     lists = held.join(vocabulary, "term").groupBy("key").agg(F.collect_list("tid").alias("terms")).where(F.size("terms") > 1).select("terms")
