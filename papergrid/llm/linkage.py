@@ -1,7 +1,8 @@
 """Matching citation texts with bibliographic rows that share no dependable key, by soft logic.
 
 Candidates come from blocking keys of either side (volume with first page, and each three content
-words of the title in a row that aren't in very many titles, all with the year), so an error in one field loses little. Keys of
+words of the title in a row that aren't in very many titles, both with the year, and each
+four without it), so an error in one field loses little. Keys of
 texts that no row has are mostly stopped by a bitmap of fixed size before the shuffle. Pairs that share enough keys get the truth values of a few predicates: how
 much of the row's title stands in the text, whether pages, volume, year, first author and
 journal agree or contradict, and whether the text names a part, reply or correction that the
@@ -48,6 +49,7 @@ MATCH = 0.5
 _SPLIT = re.compile(r"[^0-9a-zα-ω]+")
 _TAG = re.compile(r"</?[a-zA-Z]{1,6}>")
 _TAIL_SIGNS = ("full text", "google", "crossref", "pubmed", "view in", "doi", "http")
+_PLAIN_WORD, _CAPITAL_WORD = re.compile(r"(?<![A-Za-z])[a-z]{4,}(?![A-Za-z])"), re.compile(r"(?<![A-Za-z])[A-Z]{4,}(?![A-Za-z])")
 _HEAD = re.compile(r"^\s*(?:[*•-]\s*)?(?:[\[(]?\d{1,3}[\]).]\s*)+")
 _TAIL = re.compile(r"(?:\[?free full text\]?|google scholar|crossref|pubmed|view in article|\bdoi:?\s*\S+|https?://\S+)", re.I)
 
@@ -121,7 +123,8 @@ def _heavy(tokens: list[str], stop: frozenset[str]) -> list[int]:
 
 
 def _keys(word_runs: list[list[int]], numbers: list[list[tuple[int, int]]], word_years: list[list[int]], number_years: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the item, key, weight), each once: every three words in a row and every pair of numbers with each of the item's years."""
+    """(place of the item, key, weight), each once: every three words in a row and every pair of numbers with each of the item's years,
+    and every four words in a row without a year."""
 
     def crossed(at: np.ndarray, years: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         count = np.array([len(y) for y in years], np.int64)
@@ -140,9 +143,11 @@ def _keys(word_runs: list[list[int]], numbers: list[list[tuple[int, int]]], word
     pairs, holder = np.array([p for ps in numbers for p in ps], np.uint64).reshape(-1, 2), np.repeat(np.arange(len(numbers)), [len(p) for p in numbers])
     n, year = crossed(holder, number_years)
     by_numbers = _mix(pairs[n, 0], pairs[n, 1], year) if len(n) else np.zeros(0, np.int64)
-    at = np.concatenate([owner[i], holder[n]])
-    key = np.concatenate([by_words, by_numbers])
-    weight = np.concatenate([np.ones(len(i), np.int32), np.full(len(n), NUMBER_KEY, np.int32)])
+    four = np.flatnonzero(owner[:-3] == owner[3:]) if len(owner) > 3 else np.zeros(0, np.int64)
+    alone = _mix(flat[four], flat[four + 1], flat[four + 2] * np.uint64(0xD6E8FEB86659FD93) ^ flat[four + 3]) if len(four) else np.zeros(0, np.int64)
+    at = np.concatenate([owner[i], owner[four], holder[n]])
+    key = np.concatenate([by_words, alone, by_numbers])
+    weight = np.concatenate([np.ones(len(i) + len(four), np.int32), np.full(len(n), NUMBER_KEY, np.int32)])
     order = np.lexsort((key, at))
     at, key, weight = at[order], key[order], weight[order]
     new = np.ones(len(at), bool)
@@ -169,7 +174,7 @@ def row_keys(rows: list[tuple[str, str, str, str]], stop: frozenset[str]) -> tup
         year, volume, page = ((x or "").strip() for x in (year, volume, page))
         runs.append(_heavy(words(title or ""), stop))
         pairs.append([(_hash(volume), _hash(page))] if volume and page else [])
-        by_words.append([_hash(year) if year else _NO_YEAR, _ANY_YEAR])
+        by_words.append([_hash(year) if year else _NO_YEAR])
         by_numbers.append([*([_hash(str(int(year) + d)) for d in (-1, 0, 1)] if year.isdigit() else [_NO_YEAR]), _ANY_YEAR])
     item, key, weight = _keys(runs, pairs, by_words, by_numbers)
     short = np.array([len(r) - 2 <= SHORT for r in runs], bool)
@@ -222,7 +227,7 @@ def _found(word: str, tokens: set[str], squashed: str) -> bool:
 
 def truths(shown: tuple, row: dict) -> list[float]:
     """Truth values of the predicates, from 0 to 1. shown: of the text, as seen() gives it; row: fields of the bibliographic row."""
-    tokens, years, numbers, squashed, have, marks, cut = shown
+    tokens, years, numbers, squashed, have, marks, cut, shows_title = shown
     own = row["words"]
     weight = [0.1 if w in LIGHT else 1.0 for w in own]
     hit = [w in have if w in LIGHT else _found(w, have, squashed) for w in own]
@@ -247,8 +252,8 @@ def truths(shown: tuple, row: dict) -> list[float]:
     by_numbers = 0.0
     if page_in:
         by_numbers = min(1.0, 0.35 + 0.35 * volume_in + 0.15 * year_in + 0.1 * name_in + 0.1 * journal_in)
-        if not titled and not (volume_in and (name_in or journal_in)):
-            by_numbers = min(by_numbers, 0.4)
+        if not titled and (shows_title or not (volume_in and (name_in or journal_in))):
+            by_numbers = min(by_numbers, 0.2 if shows_title and own else 0.4)  # it shows another title, or too little
     doubt = 1 - 0.75 * by_numbers
     wrong_marks = titled and bool(row["marks"] - marks if cut else marks ^ row["marks"])
     unnamed = titled and at and at[0] < 2
@@ -262,7 +267,8 @@ def truths(shown: tuple, row: dict) -> list[float]:
 
 def seen(text: str) -> tuple:
     tokens, years, numbers = _shown(text)
-    return tokens, years, numbers, "".join(tokens), set(tokens), _markers(tokens), "..." in text or "…" in text
+    plain = len(_PLAIN_WORD.findall(text)) > 3 or len(_CAPITAL_WORD.findall(text)) > 3
+    return tokens, years, numbers, "".join(tokens), set(tokens), _markers(tokens), "..." in text or "…" in text, plain
 
 
 def solve(owner: np.ndarray, truth: np.ndarray, same: list[tuple[int, int, float]], rounds: int = 80, rho: float = 2.0) -> np.ndarray:
