@@ -29,6 +29,11 @@ from pyspark.sql import functions as F
 
 #: Words without weight in titles and in blocking keys.
 LIGHT = frozenset("a an and as at by does during for from in into is its of on or s the to versus via with vs".split())
+#: Names of study designs, which say little about a publication: they stand in no key, but count in titles.
+DESIGNS = frozenset(
+    "analysis bench case cohort comparison controlled cross experiment follow long matched meta pilot prospective randomized randomised registry retrospective"
+    " review sectional series study survey systematic term trial".split()
+)
 #: Words that say that a text is about another publication.
 MARKERS = ("editorial", "erratum", "corrigendum", "correction", "retraction", "reply", "response", "comments", "results", "update")
 #: Shared keys a pair needs to be scored; a key of numbers counts as that many.
@@ -119,7 +124,7 @@ _NO_YEAR, _ANY_YEAR = 1, 2
 
 
 def _heavy(tokens: list[str], stop: frozenset[str]) -> list[int]:
-    return [_hash(t) for t in tokens if len(t) > 2 and t not in LIGHT and t not in stop and not t.isdigit()]
+    return [_hash(t) for t in tokens if len(t) > 2 and t not in LIGHT and t not in DESIGNS and t not in stop and not t.isdigit()]
 
 
 def _keys(word_runs: list[list[int]], numbers: list[list[tuple[int, int]]], word_years: list[list[int]], number_years: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
