@@ -590,18 +590,6 @@ def page_notes(t):
     return a.select("doc_id", G_.page_markdown(F.col("a.sections")).alias("markdown"))
 
 
-@_query()
-def page_sections_by_rule(t):
-    run = G_.sections_by_rule({})
-    return t("documents").select("doc_id", F.explode(run(F.col("text"), F.col("source"))).alias("s")).select("doc_id", "s.title", "s.type", "s.content")
-
-
-@_query()
-def page_figures(t):
-    a = t("documents").select("doc_id", H.article_of(F.col("text"), F.lit("")).alias("a")).select("doc_id", "a.sections")
-    return G_.collected_figures(a, "doc_id")
-
-
 # --- payloads of services ---------------------------------------------------------------------------------------------------------
 
 
