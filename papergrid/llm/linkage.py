@@ -2,7 +2,8 @@
 
 Candidates come from blocking keys of either side (volume with first page, and each three content
 words of the title in a row that aren't in very many titles, both with the year, and each
-four without it), so an error in one field loses little. Keys of
+four without it), so an error in one field loses little. Words in very many titles count only beside
+others, and a title with hardly any others has a key of all its words, so that no title is without one. Keys of
 texts that no row has are mostly stopped by a bitmap of fixed size before the shuffle. Pairs that share enough keys get the truth values of a few predicates: how
 much of the row's title stands in the text, whether pages, volume, year, first author and
 journal agree or contradict, and whether the text names a part, reply or correction that the
@@ -24,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words without weight in titles and in blocking keys.
@@ -40,8 +41,10 @@ MARKERS = ("editorial", "erratum", "corrigendum", "correction", "retraction", "r
 LEAST_SHARED, NUMBER_KEY = 2, 2
 #: Three-word keys up to which one of a title's keys counts as much as a key of numbers.
 SHORT = 3
-#: Share of the titles from which on a word stands in no key.
+#: Share of the distinct titles from which on a word stands in keys only beside others, or in that of a whole title.
 COMMON = 0.04
+#: Words left of a title below which its whole is a key, too: with fewer, an agreeing title has no key without a year.
+FEW = 4
 #: Bits of the filter of the rows' keys; its size is fixed, so with very many rows it only lets more through.
 FILTER_BITS = 1 << 25
 #: Rule weights: support by title and by numbers; against by missing title words, contradictions and markers; prior; ties.
@@ -123,13 +126,61 @@ def _shown(text: str) -> tuple[list[str], list[str], list[str]]:
 _NO_YEAR, _ANY_YEAR = 1, 2
 
 
-def _heavy(tokens: list[str], stop: frozenset[str]) -> list[int]:
-    return [_hash(t) for t in tokens if len(t) > 2 and t not in LIGHT and t not in DESIGNS and t not in stop and not t.isdigit()]
+def _heavy(tokens: list[str], stop: frozenset[str]) -> tuple[list[int], list[int], list[bool]]:
+    """Words for keys that aren't in stop; if there are both kinds, all of them and which aren't in stop, else nothing."""
+    own = [t for t in tokens if len(t) > 2 and t not in LIGHT and t not in DESIGNS and not t.isdigit()]
+    rare = [t not in stop for t in own]
+    every = [_hash(t) for t in own]
+    if all(rare):
+        return every, [], []
+    return [h for h, r in zip(every, rare) if r], *((every, rare) if any(rare) else ([], []))
 
 
-def _keys(word_runs: list[list[int]], numbers: list[list[tuple[int, int]]], word_years: list[list[int]], number_years: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _whole(run: np.ndarray, size: int) -> np.ndarray:
+    """Keys of sequences of so many words, from their polynomial hashes."""
+    return _mix(run, run >> np.uint64(32), np.uint64(size))
+
+
+_BASE = 0x9E3779B97F4A7C55
+
+
+def _whole_title(tokens: list[str]) -> tuple[int, int] | None:
+    """(key, number of words without the light ones) of a title; None if it has too few for its words to support a match."""
+    own = [t for t in tokens if t not in LIGHT]
+    if len(own) + 0.1 * (len(tokens) - len(own)) < 2.999:
+        return None
+    h = 0
+    for t in own:
+        h = (h * _BASE + _hash(t)) & _MASK
+    return int(_whole(np.array([h], np.uint64), len(own))[0]), len(own)
+
+
+def _held(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & (FILTER_BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _whole_runs(runs: list[list[int]], sizes: frozenset[int], bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the item, key) of every sequence of each size in the runs, only those that the bitmap holds."""
+    flat, owner = np.array([w for ws in runs for w in ws], np.uint64), np.repeat(np.arange(len(runs)), [len(w) for w in runs])
+    h, items, keys = np.zeros(len(flat), np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in range(1, min(max(sizes, default=0), max(map(len, runs), default=0)) + 1):
+        h = h[: len(flat) - size + 1] * np.uint64(_BASE) + flat[size - 1 :]
+        if size in sizes:
+            at = np.flatnonzero(owner[: len(h)] == owner[size - 1 :])
+            key = _whole(h[at], size)
+            ok = slice(None) if bits is None else _held(bits, key)
+            items.append(owner[at][ok])
+            keys.append(key[ok])
+    return np.concatenate(items), np.concatenate(keys)
+
+
+def _keys(
+    word_runs: list[tuple[list[int], list[int], list[bool]]], numbers: list[list[tuple[int, int]]], word_years: list[list[int]], number_years: list[list[int]], whole: tuple[np.ndarray, np.ndarray],
+    bits: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the item, key, weight), each once: every three words in a row and every pair of numbers with each of the item's years,
-    and every four words in a row without a year."""
+    and every four words in a row without a year; words in very many titles only beside others; and the keys of whole titles. With a bitmap only those that it holds."""
 
     def crossed(at: np.ndarray, years: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         count = np.array([len(y) for y in years], np.int64)
@@ -140,50 +191,70 @@ def _keys(word_runs: list[list[int]], numbers: list[list[tuple[int, int]]], word
         step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
         return which, flat[np.repeat(first, times) + step]
 
-    flat, owner = np.array([w for ws in word_runs for w in ws], np.uint64), np.repeat(np.arange(len(word_runs)), [len(w) for w in word_runs])
-    begin = np.flatnonzero(owner[:-2] == owner[2:]) if len(owner) > 2 else np.zeros(0, np.int64)
+    items, runs = len(word_runs), [w for w, _, _ in word_runs] + [e for _, e, _ in word_runs]
+    flat, run = np.array([w for ws in runs for w in ws], np.uint64), np.repeat(np.arange(len(runs)), [len(w) for w in runs])
+    rare = np.ones(len(flat), bool)
+    rare[run >= items] = [r for _, _, rs in word_runs for r in rs]
+
+    def windows(size: int) -> np.ndarray:
+        begin = np.flatnonzero(run[: 1 - size] == run[size - 1 :]) if len(run) >= size else np.zeros(0, np.int64)
+        many = sum(rare[begin + k].astype(np.int8) for k in range(size))
+        return begin[(run[begin] < items) | (many > 0) & (many < size)]
+
+    owner, size = run % items if items else run, np.array([len(w) for w in runs], np.int64)
+    light = np.where((size - 2 <= SHORT) | (np.arange(2 * items) >= items) & (np.tile(size[:items], 2) < FEW), NUMBER_KEY, 1).astype(np.int32)
+    begin = windows(3)
     which, year = crossed(owner[begin], word_years)
     i = begin[which]
     by_words = _mix(flat[i], flat[i + 1], flat[i + 2] ^ year) if len(i) else np.zeros(0, np.int64)
     pairs, holder = np.array([p for ps in numbers for p in ps], np.uint64).reshape(-1, 2), np.repeat(np.arange(len(numbers)), [len(p) for p in numbers])
     n, year = crossed(holder, number_years)
     by_numbers = _mix(pairs[n, 0], pairs[n, 1], year) if len(n) else np.zeros(0, np.int64)
-    four = np.flatnonzero(owner[:-3] == owner[3:]) if len(owner) > 3 else np.zeros(0, np.int64)
+    four = windows(4)
     alone = _mix(flat[four], flat[four + 1], flat[four + 2] * np.uint64(0xD6E8FEB86659FD93) ^ flat[four + 3]) if len(four) else np.zeros(0, np.int64)
-    at = np.concatenate([owner[i], owner[four], holder[n]])
-    key = np.concatenate([by_words, alone, by_numbers])
-    weight = np.concatenate([np.ones(len(i) + len(four), np.int32), np.full(len(n), NUMBER_KEY, np.int32)])
-    order = np.lexsort((key, at))
+    at = np.concatenate([owner[i], owner[four], holder[n], whole[0]])
+    key = np.concatenate([by_words, alone, by_numbers, whole[1]])
+    weight = np.concatenate([light[run[i]], light[run[four]], np.full(len(n) + len(whole[0]), NUMBER_KEY, np.int32)])
+    if bits is not None:
+        ok = _held(bits, key)
+        at, key, weight = at[ok], key[ok], weight[ok]
+    order = np.lexsort((-weight, key, at))
     at, key, weight = at[order], key[order], weight[order]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (key[1:] != key[:-1])
     return at[new], key[new], weight[new]
 
 
-def text_keys(texts: list[str], stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of citation texts, each with the years shown and with that of rows without one."""
-    runs, pairs, years = [], [], []
+def text_keys(texts: list[str], stop: frozenset[str], sizes: frozenset[int] = frozenset(), bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of citation texts, each with the years shown and with that of rows without one. sizes: numbers of words of the titles whose
+    whole is a key; bits: bitmap of the rows' keys, which stops those that no row has."""
+    runs, pairs, years, every = [], [], [], []
     for text in texts:
         tokens, shown, numbers = _shown(text)
         plain = [_hash(n) for n in numbers if n not in shown or numbers.count(n) > 1]
         runs.append(_heavy(tokens, stop))
         pairs.append([(v, n) for i, v in enumerate(plain) for n in plain[i + 1 : i + 3]])
         years.append([*map(_hash, shown), _NO_YEAR] if shown else [_ANY_YEAR])
-    return _keys(runs, pairs, years, years)
+        if sizes:
+            every.append([_hash(t) for t in tokens if t not in LIGHT])
+    return _keys(runs, pairs, years, years, _whole_runs(every, sizes, bits), bits)
 
 
-def row_keys(rows: list[tuple[str, str, str, str]], stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of bibliographic rows (title, year, volume, page). The year may differ by one where volume and page agree."""
-    runs, pairs, by_words, by_numbers = [], [], [], []
-    for title, year, volume, page in rows:
+def row_keys(rows: list[tuple[str, str, str, str]], stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Keys of bibliographic rows (title, year, volume, page), and the sizes of the titles whose whole is a key. The year may differ by
+    one where volume and page agree."""
+    runs, pairs, by_words, by_numbers, whole = [], [], [], [], []
+    for place, (title, year, volume, page) in enumerate(rows):
         year, volume, page = ((x or "").strip() for x in (year, volume, page))
-        runs.append(_heavy(words(title or ""), stop))
+        tokens = words(title or "")
+        runs.append(_heavy(tokens, stop))
+        if len(runs[-1][0]) < FEW and (key := _whole_title(tokens)):
+            whole.append((place, *key))
         pairs.append([(_hash(volume), _hash(page))] if volume and page else [])
         by_words.append([_hash(year) if year else _NO_YEAR])
         by_numbers.append([*([_hash(str(int(year) + d)) for d in (-1, 0, 1)] if year.isdigit() else [_NO_YEAR]), _ANY_YEAR])
-    item, key, weight = _keys(runs, pairs, by_words, by_numbers)
-    short = np.array([len(r) - 2 <= SHORT for r in runs], bool)
-    return item, key, np.where(short[item], NUMBER_KEY, weight).astype(np.int32) if len(item) else weight
+    place, key, size = (np.array([w[k] for w in whole], np.int64) for k in range(3))
+    return *_keys(runs, pairs, by_words, by_numbers, (place, key)), sorted(set(size.tolist()))
 
 
 def _near(a: str, b: str) -> bool:
@@ -351,13 +422,11 @@ _SCORED = "h1 bigint, h2 bigint, w1 bigint, w2 bigint, truth array<float>, words
 _FIELDS = ("title", "author", "journal", "year", "volume", "page")
 
 
-def _key_texts(bits: np.ndarray, stop: frozenset[str]):
+def _key_texts(bits: np.ndarray, sizes: frozenset[int], stop: frozenset[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            item, key, _ = text_keys(list(pdf["text"]), stop)
-            at = key & (FILTER_BITS - 1)
-            ok = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            yield pd.DataFrame({"h1": pdf["h1"].to_numpy(np.int64)[item[ok]], "key": key[ok]})
+            item, key, _ = text_keys(list(pdf["text"]), stop, sizes, bits)
+            yield pd.DataFrame({"h1": pdf["h1"].to_numpy(np.int64)[item], "key": key})
 
     return run
 
@@ -365,21 +434,30 @@ def _key_texts(bits: np.ndarray, stop: frozenset[str]):
 def _key_rows(stop: frozenset[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            item, key, weight = row_keys(list(zip(pdf["title"], pdf["year"], pdf["volume"], pdf["page"])), stop)
-            yield pd.DataFrame({"w1": pdf["w1"].to_numpy(np.int64)[item], "key": key, "weight": weight})
+            item, key, weight, sizes = row_keys(list(zip(pdf["title"], pdf["year"], pdf["volume"], pdf["page"])), stop)
+            yield pd.DataFrame({"w1": pdf["w1"].to_numpy(np.int64)[item], "key": key, "weight": weight, "size": np.zeros(len(key), np.int32)})
+            # One line for each size, under a key that is there anyway.
+            if sizes:
+                yield pd.DataFrame({"w1": pd.array([None] * len(sizes), "Int64"), "key": key[:1].repeat(len(sizes)), "weight": np.int32(0), "size": np.array(sizes, np.int32)})
 
     return run
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """Which places modulo FILTER_BITS the keys take; FILTER_BITS / 8 bytes, put together from partial bitmaps on the executors."""
+    return _bitmap_sizes(keys.withColumn("size", F.lit(0)))[0]
+
+
+def _bitmap_sizes(keys: DataFrame) -> tuple[np.ndarray, frozenset[int]]:
+    """The bitmap of the keys, and the sizes of whole titles."""
     place = F.col("key").bitwiseAND(FILTER_BITS - 1) + 1  # the engine's bitmaps count from 1
-    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(bits, F.collect_set("size").alias("sizes")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in parts:
         start = (row.b - 1) * len(row.bits)
         out[start : start + len(row.bits)] = np.frombuffer(bytes(row.bits), np.uint8)
-    return out
+    return out, frozenset(n for row in parts for n in row.sizes if n)
 
 
 def _title_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -391,10 +469,15 @@ def _title_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": list(count), "n": list(count.values())})
 
 
+def _plain(title: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(title), r"</?[a-z]{1,6}>", ""), r"[^0-9a-zα-ω]+", "")
+
+
 def common_words(rows: DataFrame) -> frozenset[str]:
-    """Words in more than COMMON of the titles, of which there can't be more than the mean title's words divided by COMMON."""
-    counts = rows.select("title").mapInPandas(_title_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    total = rows.count()
+    """Words in more than COMMON of the distinct titles, of which there can't be more than the mean title's words divided by COMMON."""
+    titles = rows.groupBy(F.xxhash64(_plain(F.col("title"))).alias("k")).agg(F.min("title").alias("title")).select("title")
+    counts = titles.mapInPandas(_title_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = titles.count()
     return frozenset(r.word for r in counts.where(F.col("n") > COMMON * total).collect())
 
 
@@ -463,11 +546,11 @@ def link(records: DataFrame, rows: DataFrame, journals: DataFrame) -> DataFrame:
     row_sets = works.groupBy("w1").agg(F.collect_set(F.struct("w2", *_FIELDS)).alias("s"))
     one_row = row_sets.select("w1", F.inline("s"))
     stop = common_words(works)
-    right = one_row.mapInPandas(_key_rows(stop), "w1 bigint, key bigint, weight int")
-    left = one_text.mapInPandas(_key_texts(_bitmap(right), stop), "h1 bigint, key bigint")
-    near = left.join(right, "key").groupBy("h1", "w1").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("h1", "w1")
+    right = one_row.mapInPandas(_key_rows(stop), "w1 bigint, key bigint, weight int, size int")
+    left = one_text.mapInPandas(_key_texts(*_bitmap_sizes(right), stop), "h1 bigint, key bigint")
+    near = left.join(right.where("size = 0").drop("size"), "key").groupBy("h1", "w1").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("h1", "w1")
     # Rows with the title of a candidate are candidates, too: transitivity needs them, whichever of their fields the text garbles.
-    plain = F.regexp_replace(F.regexp_replace(F.lower("title"), r"</?[a-z]{1,6}>", ""), r"[^0-9a-zα-ω]+", "")
+    plain = _plain(F.col("title"))
     titled = one_row.withColumn("title_key", F.when(plain == "", F.col("w1")).otherwise(F.xxhash64(plain)))
     near = near.join(titled.select("w1", "title_key"), "w1").select("h1", "title_key").distinct()
     both = near.join(titled, "title_key").join(one_text, "h1").select("h1", "h2", "text", "w1", "w2", *_FIELDS)

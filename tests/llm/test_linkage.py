@@ -77,3 +77,46 @@ def test_bitmap(spark):
     bits = L._bitmap(spark.createDataFrame([(k,) for k in keys], "key bigint"))
     at = {k & (L.FILTER_BITS - 1) for k in keys}
     assert {int(i) for i in np.flatnonzero(np.unpackbits(bits, bitorder="little"))} == at
+
+
+WORK = "work_id bigint, title string, authors array<string>, journal string, pub_year string, volume string, first_page string"
+JOURNAL = "full_name string, short_name string"
+NOUNS = "enamel bronchus marrow cortex retina tendon kidney spleen uterus larynx".split()
+VERBS = "swelling scarring repair atrophy perfusion drainage necrosis growth ageing loss".split()
+SIGHTS = "interviews biopsy autopsy imaging sequencing staining palpation dialysis culture microscopy".split()
+
+
+def _other(i):
+    a, b, c = i % 10, i // 10 % 10, (i + i // 10) % 10
+    return f"{VERBS[b].title()} of {NOUNS[a]} measured through {SIGHTS[c]} of {NOUNS[(a + b + 1) % 10]} donors {chr(97 + a)}{chr(97 + b)}qx"
+
+
+def _linked(spark, titles, texts):
+    """Titles of works 0, 1, ... and texts of records 0, 1, ... without volume and page, with the production COMMON."""
+    works = spark.createDataFrame([(i, t, ["Barek, Drali"], "Acta Experimental Marrow Biology", "2010", None, None) for i, t in enumerate(titles)], WORK)
+    records = spark.createDataFrame(list(enumerate(texts)), "ref_id bigint, text string")
+    journals = spark.createDataFrame([("Acta Experimental Marrow Biology", "Acta Exp Marrow Biol")], JOURNAL)
+    return {(r.ref_id, r.work_id) for r in L.link(records, works, journals).collect()}
+
+
+def test_hot_publication(spark):
+    """A third of the rows are copies of one publication: its words stay in keys."""
+    hot = "Diffuse innervation of thymus in obese lactating rodents"
+    titles = [hot if i % 2 else hot.upper() + "." for i in range(50)] + [_other(i) for i in range(100)]
+    got = _linked(spark, titles, [f"Barek DK. {hot}. Acta Exp Marrow Biol. 2010.", f"Barek DK. {hot.replace('Diffuse', 'Difuse')}. Acta Exp Marrow Biol. 2010."])
+    assert got == {(r, w) for r in range(2) for w in range(50)}
+
+
+def test_near_equal_titles(spark):
+    """A third of the titles differ in one word or two: their common words stand in keys beside these."""
+    hot = [f"Diffuse innervation of thymus in lactating rodents given {a}{b}zolamide" for a in ("bar", "kem", "tof", "vul", "wix") for b in ("dra", "gol", "nup", "sem", "tri", "pex")]
+    titles = hot + [_other(i) for i in range(60)]
+    texts = [f"Barek DK. {t}. Acta Exp Marrow Biol. 2010." for t in hot] + [f"Barek DK. {hot[7].replace('thymus', 'tyhmus')}. Acta Exp Marrow Biol."]
+    assert _linked(spark, titles, texts) == {(i, i) for i in range(30)} | {(30, 7)}
+
+
+def test_titles_of_common_words(spark):
+    """All words stand in very many titles, or in no key at all: the whole title is one."""
+    titles = ["Loss of bronchus measured through biopsy of tendon donors", "Randomized controlled trial", "Atrophy of retina: 12 cases"] + [_other(i) for i in range(100)]
+    texts = [f"{t}. Acta Exp Marrow Biol. 2010." for t in titles[:3]] + ["Loss of bronchus measured through biopsy of tendon donors. Acta Exp Marrow Biol."]
+    assert {(i, i) for i in range(3)} | {(3, 0)} <= _linked(spark, titles, texts)
