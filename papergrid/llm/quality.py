@@ -33,6 +33,9 @@ FUNCTION_WORDS = {
     "es": """de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha sin sobre este entre cuando muy desde
         todo nos durante fue estos esta ambos""",
 }
+#: Frequent particles and endings of Japanese, as runs of hiragana between other signs.
+JAPANESE_WORDS = """の は が を に で と も へ や か から まで より など には では とは でも にも この その これ それ ある いる する した して される された されている
+    である であった です ます ました ない また および ため こと もの よう として において による により における について"""
 _WORDS = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 
 CLASSES = ("fw", "low", "cap", "code", "num", "end", "comma", "colon", "sep", "brk", "sym", "kana", "han", "high", "line", "mark")
@@ -207,21 +210,23 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def counts(df: DataFrame, key: str, text: str, language: str = "en") -> DataFrame:
+def counts(df: DataFrame, key: str, text: str, language: str | None = "en") -> DataFrame:
     """(key, n_words, mean_word_length, symbol_ratio, end_share, common_share) of each text, all in built-in functions.
 
     A word is a run of letters or digits; symbols are characters that are none of these and no white space; end_share is of the lines
-    that are not blank; common words are the language's function words."""
-    common = F.array(*map(F.lit, sorted(set(FUNCTION_WORDS[language].split()))))
+    that are not blank; common words are the language's function words. Without a
+    language they are those of any language; for this share a run of Japanese letters falls into its runs of hiragana and of other signs."""
+    common = F.array(*map(F.lit, sorted(set(FUNCTION_WORDS[language].split()) if language else _WORDS | set(JAPANESE_WORDS.split()))))
+    split = F.col("_w") if language else _words(F.regexp_replace("_t", r"([\p{IsHan}\p{IsKatakana}ー]+|\p{IsHiragana}+)", " $1 "))
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(F.regexp_replace("_t", r"\r\n?", "\n"), "\n"), lambda x: x.rlike(r"[^ \t\n\f\r]"))
     share = lambda a, b: F.when(b > 0, F.round(a / b, 6))
     return (
-        df.select(F.col(key), body.alias("_t")).withColumn("_w", _words(F.col("_t"))).withColumn("_l", lines)
+        df.select(F.col(key), body.alias("_t")).withColumn("_w", _words(F.col("_t"))).withColumn("_l", lines).withColumn("_c", split)
         .select(
             key, F.size("_w").cast("bigint").alias("n_words"), share(F.char_length(F.array_join("_w", "")), F.size("_w")).alias("mean_word_length"),
             share(F.char_length(F.regexp_replace("_t", r"[\p{L}\p{N}\s]+", "")), F.char_length("_t")).alias("symbol_ratio"),
             share(F.size(F.filter("_l", lambda x: F.rtrim(x).rlike(r"[.!?。]\z"))), F.size("_l")).alias("end_share"),
-            share(F.size(F.filter("_w", lambda x: F.array_contains(common, F.lower(x)))), F.size("_w")).alias("common_share"),
+            share(F.size(F.filter("_c", lambda x: F.array_contains(common, F.lower(x)))), F.size("_c")).alias("common_share"),
         )
     )

@@ -79,11 +79,17 @@ def p9_counts(spark: SparkSession, d: str) -> DataFrame:
     return quality.counts(_table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_language_counts(spark: SparkSession, d: str) -> DataFrame:
+    """p9_counts with the common words of all languages, not of English alone."""
+    return quality.counts(_table(spark, d, "documents"), "doc_id", "text", None)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report, p9_found, p9_structure, p9_counts)
+    f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report, p9_found, p9_structure, p9_counts, p9_language_counts)
 }
 
 _COMMON = ", ".join(f"'{w}'" for w in sorted(set(quality.FUNCTION_WORDS["en"].split())))
+_ALL_COMMON = ", ".join(f"'{w}'" for w in sorted({w for ws in (*quality.FUNCTION_WORDS.values(), quality.JAPANESE_WORDS) for w in ws.split()}))
 _PAIRS = r"""
     WITH a AS (
         SELECT nfc_normalize(lower(regexp_replace(citekey, '^\s+|\s+$', '', 'g'))) AS key,
@@ -120,5 +126,16 @@ SQL: dict[str, str] = {
             CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(rtrim(x), '[.!?。]$'))) / len(l), 6) END AS end_share,
             CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains([""" + _COMMON + """], lower(x)))) / len(w), 6) END AS common_share
         FROM w""",
+    "p9_language_counts": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w,
+            regexp_extract_all(regexp_replace(t, '([\p{Han}\p{Katakana}ー]+|\p{Hiragana}+)', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS c,
+            list_filter(string_split(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\f\r]')) AS l FROM t)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+            CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 6) END AS mean_word_length,
+            CASE WHEN length(t) > 0 THEN round(length(regexp_replace(t, '[\p{L}\p{N}\s]+', '', 'g')) / length(t), 6) END AS symbol_ratio,
+            CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(rtrim(x), '[.!?。]$'))) / len(l), 6) END AS end_share,
+            CASE WHEN len(c) > 0 THEN round(len(list_filter(c, lambda x: list_contains([""" + _ALL_COMMON + """], lower(x)))) / len(c), 6) END AS common_share
+        FROM w""",
     "p7_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

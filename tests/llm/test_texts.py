@@ -198,6 +198,13 @@ def test_counts(spark):
     assert rows[2].n_words == rows[3].n_words == 0 and rows[2].symbol_ratio is None
 
 
+def test_counts_of_all_languages(spark):
+    texts = ["The bone is it", "Der Knochen ist weiß", "La douleur est chronique", "El dolor es crónico", "骨の成長を測定した。", "ドーナー", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.common_share for r in quality.counts(df, "doc_id", "text", None).collect()}
+    assert got == {0: 0.75, 1: 0.5, 2: 0.5, 3: 0.5, 4: 0.5, 5: 0.0, 6: None}
+
+
 def test_divergence():
     import numpy as np
 
