@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,13 +109,14 @@ def direct_orphans(tables: dict[str, Table], refs: list[Reference]) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-def orphans(tables: dict[str, Table], refs: list[Reference], most_rounds: int = 50) -> DataFrame:
+def orphans(tables: dict[str, Table], refs: list[Reference], most_rounds: int | None = None) -> DataFrame:
     """(src_table, row_id, target_table, at, kind, level): direct orphans at level 0, inherited ones at the round that found them.
 
-    A row is inherited by a reference if a target row that existed at its time is itself an orphan of either kind."""
+    A row is inherited by a reference if a target row that existed at its time is itself an orphan of either kind. With a cycle the rounds
+    go on until one gains nothing, which comes as each gains other rows; rows gained after most_rounds are an error."""
     found = direct_orphans(tables, refs).withColumns({"kind": F.lit("direct"), "level": F.lit(0)})
     rounds = _rounds(refs)
-    for level in range(1, (rounds if rounds is not None else most_rounds + 1)):
+    for level in count(1) if rounds is None else range(1, rounds):
         if rounds is None:
             found = stage(found)
         new = []
@@ -138,6 +140,8 @@ def orphans(tables: dict[str, Table], refs: list[Reference], most_rounds: int =
             gained = stage(gained)
             if gained.isEmpty():
                 break
+            if most_rounds is not None and level > most_rounds:
+                raise ValueError(f"rows are still gained after {most_rounds} rounds")
         found = found.unionByName(gained)
     return found
 

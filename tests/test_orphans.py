@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from papergrid.functions.keys import loose
@@ -56,3 +57,15 @@ def test_cycle_ends(spark):
     refs = [orphans.Reference("n", "n", (loose(F.col("p")),), (loose(F.col("k")),), "t")]
     got = {(r.row_id, r.kind, r.level) for r in orphans.orphans(table, refs).collect()}
     assert got == {(4, "direct", 0), (5, "inherited", 1), (6, "inherited", 2)}
+
+
+def _chain(spark, links):
+    """Row 0 refers to nothing there is, each other row to the one before."""
+    rows = spark.createDataFrame([(i, f"k{i}", f"k{i - 1}") for i in range(links + 1)], "id int, k string, p string").coalesce(1).withColumn("t", F.lit(T0))
+    return {"n": orphans.Table(rows, "id", "t")}, [orphans.Reference("n", "n", (loose(F.col("p")),), (loose(F.col("k")),), "t")]
+
+
+def test_too_few_rounds(spark):
+    with pytest.raises(ValueError, match="after 2 rounds"):
+        orphans.orphans(*_chain(spark, 4), most_rounds=2)
+    assert orphans.orphans(*_chain(spark, 2), most_rounds=2).count() == 3
