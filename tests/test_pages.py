@@ -15,6 +15,15 @@ def test_rules():
     assert G.ruled_sections("") == []
 
 
+def test_rules_as_column(spark):
+    from papergrid.plans import catalog
+
+    assert {"page_sections_by_rule", "page_figures"} <= set(catalog.QUERIES)
+    pages = spark.createDataFrame([(1, PAGE, "s"), (2, None, "s"), (3, "", None)], "id int, text string, source string")
+    rows = pages.select("id", F.explode(G.sections_by_rule({})(F.col("text"), F.col("source"))).alias("s")).collect()
+    assert [(r.id, r.s.title, r.s.type) for r in rows] == [(1, s["title"], s["type"]) for s in G.ruled_sections(PAGE)]
+
+
 def test_figures(spark):
     pages = spark.createDataFrame([("p", PAGE), ("q", None)], "path string, text string")
     parts = spark.createDataFrame([("p", "https://x.org/a.JPG?x", "image/jpeg"), ("p", "u", "text/html")], "path string, location string, content_type string")
