@@ -1,57 +1,62 @@
 """Matching citation texts with bibliographic rows that share no dependable key, by soft logic.
 
-Candidates come from blocking keys of either side (volume with first page, and each three content
-words of the title in a row that aren't in very many titles, both with the year, and each
-four without it), so an error in one field loses little. Words in very many titles count only beside
-others, and a title with hardly any others has a key of all its words, so that no title is without one. Keys of
-texts that no row has are mostly stopped by a bitmap of fixed size before the shuffle. Pairs that share enough keys get the truth values of a few predicates: how
-much of the row's title stands in the text, whether pages, volume, year, first author and
-journal agree or contradict, and whether the text names a part, reply or correction that the
-row isn't. Weighted hinge rules turn these into support for and against a match; exclusivity
-(a text cites one publication) and transitivity (rows of one publication match together) tie a
-text's pairs to each other. The convex problem falls apart by text, so each task minimises the blocks of its
-texts by alternating directions (ADMM), all blocks at once in numpy; values give the confidence.
+Rows with one title form a family. Blocking keys are three words of the title in a row, or with a
+word left out, and volume with first page and year. A text gives all its keys; a family gives all keys of numbers
+and those ``RAREST`` keys of its title that the fewest families have, by an exact count, so every title
+with three words has keys whatever its words, and a phrase that many titles share stands for none that
+has anything rarer. Keys travel as packed arrays in buckets whose number follows the number of rows.
+
+Each text and row of a candidate family get the truth values of a few predicates: how much of the
+title stands in the text, whether pages, volume, year, first author and journal agree or
+contradict, and whether the text names a part, reply or correction that the row isn't. Weighted
+hinge rules turn these into support for and against a match. That two rows are of one publication is a
+variable of its own, shared by all texts that meet both rows: evidence in their fields bears on it, exclusivity
+(a text cites one publication, and the one it shows best) and transitivity (rows of one publication match together) tie it to
+the texts' pairs. The convex problem is solved by alternating directions (ADMM): a task minimises the blocks
+of the texts it holds, until the residuals vanish; identities that stand in several tasks get their copies
+agreed on by consensus rounds. Values give the confidence; a match has 0.5 or more, rounded to two places.
+A small quadratic term makes the minimum unique, so ties are settled towards no match.
 
 Defined results: a null or blank text, and a row without title and numbers, match nothing;
-repeated rows are scored once each; a null id gives no row.
+repeated rows are scored once each; a null id gives no row. A title of less than three words that are
+neither light, numbers nor shorter than three letters has no key of its own: its rows are met by volume and page.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papergrid.workspace import stage, tasks
+
 #: Words without weight in titles and in blocking keys.
 LIGHT = frozenset("a an and as at by does during for from in into is its of on or s the to versus via with vs".split())
-#: Names of study designs, which say little about a publication: they stand in no key, but count in titles.
-DESIGNS = frozenset(
-    "analysis bench case cohort comparison controlled cross experiment follow long matched meta pilot prospective randomized randomised registry retrospective"
-    " review sectional series study survey systematic term trial".split()
-)
 #: Words that say that a text is about another publication.
 MARKERS = ("editorial", "erratum", "corrigendum", "correction", "retraction", "reply", "response", "comments", "results", "update")
-#: Shared keys a pair needs to be scored; a key of numbers counts as that many.
-LEAST_SHARED, NUMBER_KEY = 2, 2
-#: Three-word keys up to which one of a title's keys counts as much as a key of numbers.
-SHORT = 3
-#: Share of the distinct titles from which on a word stands in keys only beside others, or in that of a whole title.
-COMMON = 0.04
-#: Words left of a title below which its whole is a key, too: with fewer, an agreeing title has no key without a year.
-FEW = 4
-#: Bits of the filter of the rows' keys; its size is fixed, so with very many rows it only lets more through.
-FILTER_BITS = 1 << 25
-#: Rule weights: support by title and by numbers; against by missing title words, contradictions and markers; prior; ties.
+#: Places of the words of a title key, from its first word; number of a family's title keys.
+PATTERNS, RAREST = ((0, 1, 2), (0, 1, 3)), 5
+#: Rows of either table for a bucket of keys; most rows of a family's chunk; texts of a solving group.
+BUCKET_ROWS, FAMILY_MOST, GROUP_TEXTS = 10_000, 64, 2_000
+#: Texts and families in the samples that show which keys are hot, and the share of a sample from which on they are. Hot keys of texts are spread over all buckets.
+SAMPLE, HOT = 5_000, 0.005
+#: Rule weights: support by title and by numbers; against by missing title words, contradictions and markers; prior; ties; identity of rows.
 WEIGHTS = {
     "title": 3.0, "numbers": 3.0, "missing": 2.0, "page": 6.0, "marker": 6.0, "volume": 2.0, "year": 1.0, "author": 1.5, "journal": 1.0,
-    "extra": 1.6, "prior": 0.6, "exclusive": 4.0, "together": 4.0,
+    "extra": 1.6, "prior": 0.6, "exclusive": 4.0, "together": 4.0, "cited": 12.0, "outdone": 3.0, "same": 6.0, "differ": 12.0, "own": 0.2,
 }
+#: Weight of the quadratic term, and what the residuals of a task's problem and of the consensus must fall below.
+CONVEX, TOLERANCE, AGREED = 0.02, 2e-6, 0.05
+#: Strength with which a copy of an identity is drawn to the mean.
+DRAW = 12.0
+#: Rows of a text's block that every other row of it has rules with; all rows have rules with each other up to this number.
+ANCHORS = 64
 MATCH = 0.5
 
 _SPLIT = re.compile(r"[^0-9a-zα-ω]+")
@@ -74,11 +79,11 @@ def fold(text: str) -> str:
 
 def words(text: str) -> list[str]:
     """Words in one form for both sides: misread 1 and 0 inside words are l and o."""
-    return [w if w.isdigit() else w.replace("1", "l").replace("0", "o") for w in _SPLIT.split(fold(text)) if w]
+    out = [w for w in _SPLIT.split(fold(text)) if w]
+    return [w if w.isalpha() or w.isdigit() else w.replace("1", "l").replace("0", "o") for w in out]
 
 
 _known: dict[str, int] = {}
-_MASK = (1 << 64) - 1
 
 
 def _hash(word: str) -> int:
@@ -92,11 +97,13 @@ def _hash(word: str) -> int:
     return h
 
 
-def _mix(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Signed 64-bit keys of three parts in order."""
-    h = a * np.uint64(0x9E3779B97F4A7C15) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + c * np.uint64(0x165667B19E3779F9))
-    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ h >> np.uint64(32)).view(np.int64)
+def _mix(*parts: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit keys of parts in order."""
+    h = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + p
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
 
 
 def _surname(author: str | None) -> str:
@@ -126,135 +133,54 @@ def _shown(text: str) -> tuple[list[str], list[str], list[str]]:
 _NO_YEAR, _ANY_YEAR = 1, 2
 
 
-def _heavy(tokens: list[str], stop: frozenset[str]) -> tuple[list[int], list[int], list[bool]]:
-    """Words for keys that aren't in stop; if there are both kinds, all of them and which aren't in stop, else nothing."""
-    own = [t for t in tokens if len(t) > 2 and t not in LIGHT and t not in DESIGNS and not t.isdigit()]
-    rare = [t not in stop for t in own]
-    every = [_hash(t) for t in own]
-    if all(rare):
-        return every, [], []
-    return [h for h, r in zip(every, rare) if r], *((every, rare) if any(rare) else ([], []))
-
-
-def _whole(run: np.ndarray, size: int) -> np.ndarray:
-    """Keys of sequences of so many words, from their polynomial hashes."""
-    return _mix(run, run >> np.uint64(32), np.uint64(size))
-
-
-_BASE = 0x9E3779B97F4A7C55
-
-
-def _whole_title(tokens: list[str]) -> tuple[int, int] | None:
-    """(key, number of words without the light ones) of a title; None if it has too few for its words to support a match."""
-    own = [t for t in tokens if t not in LIGHT]
-    if len(own) + 0.1 * (len(tokens) - len(own)) < 2.999:
-        return None
-    h = 0
-    for t in own:
-        h = (h * _BASE + _hash(t)) & _MASK
-    return int(_whole(np.array([h], np.uint64), len(own))[0]), len(own)
-
-
-def _held(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key & (FILTER_BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def _in_keys(tokens: list[str]) -> list[int]:
+    return [_hash(t) for t in tokens if len(t) > 2 and t not in LIGHT and not t.isdigit()]
 
 
-def _whole_runs(runs: list[list[int]], sizes: frozenset[int], bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the item, key) of every sequence of each size in the runs, only those that the bitmap holds."""
+def _word_keys(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the item, key), each once, of the words in PATTERNS."""
     flat, owner = np.array([w for ws in runs for w in ws], np.uint64), np.repeat(np.arange(len(runs)), [len(w) for w in runs])
-    h, items, keys = np.zeros(len(flat), np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for size in range(1, min(max(sizes, default=0), max(map(len, runs), default=0)) + 1):
-        h = h[: len(flat) - size + 1] * np.uint64(_BASE) + flat[size - 1 :]
-        if size in sizes:
-            at = np.flatnonzero(owner[: len(h)] == owner[size - 1 :])
-            key = _whole(h[at], size)
-            ok = slice(None) if bits is None else _held(bits, key)
-            items.append(owner[at][ok])
-            keys.append(key[ok])
-    return np.concatenate(items), np.concatenate(keys)
-
-
-def _keys(
-    word_runs: list[tuple[list[int], list[int], list[bool]]], numbers: list[list[tuple[int, int]]], word_years: list[list[int]], number_years: list[list[int]], whole: tuple[np.ndarray, np.ndarray],
-    bits: np.ndarray | None = None,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the item, key, weight), each once: every three words in a row and every pair of numbers with each of the item's years,
-    and every four words in a row without a year; words in very many titles only beside others; and the keys of whole titles. With a bitmap only those that it holds."""
-
-    def crossed(at: np.ndarray, years: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        count = np.array([len(y) for y in years], np.int64)
-        flat = np.array([y for ys in years for y in ys], np.uint64)
-        times = count[at] if len(at) else np.zeros(0, np.int64)
-        which = np.repeat(np.arange(len(at)), times)
-        first = (np.cumsum(count) - count)[at] if len(at) else np.zeros(0, np.int64)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        return which, flat[np.repeat(first, times) + step]
-
-    items, runs = len(word_runs), [w for w, _, _ in word_runs] + [e for _, e, _ in word_runs]
-    flat, run = np.array([w for ws in runs for w in ws], np.uint64), np.repeat(np.arange(len(runs)), [len(w) for w in runs])
-    rare = np.ones(len(flat), bool)
-    rare[run >= items] = [r for _, _, rs in word_runs for r in rs]
-
-    def windows(size: int) -> np.ndarray:
-        begin = np.flatnonzero(run[: 1 - size] == run[size - 1 :]) if len(run) >= size else np.zeros(0, np.int64)
-        many = sum(rare[begin + k].astype(np.int8) for k in range(size))
-        return begin[(run[begin] < items) | (many > 0) & (many < size)]
-
-    owner, size = run % items if items else run, np.array([len(w) for w in runs], np.int64)
-    light = np.where((size - 2 <= SHORT) | (np.arange(2 * items) >= items) & (np.tile(size[:items], 2) < FEW), NUMBER_KEY, 1).astype(np.int32)
-    begin = windows(3)
-    which, year = crossed(owner[begin], word_years)
-    i = begin[which]
-    by_words = _mix(flat[i], flat[i + 1], flat[i + 2] ^ year) if len(i) else np.zeros(0, np.int64)
-    pairs, holder = np.array([p for ps in numbers for p in ps], np.uint64).reshape(-1, 2), np.repeat(np.arange(len(numbers)), [len(p) for p in numbers])
-    n, year = crossed(holder, number_years)
-    by_numbers = _mix(pairs[n, 0], pairs[n, 1], year) if len(n) else np.zeros(0, np.int64)
-    four = windows(4)
-    alone = _mix(flat[four], flat[four + 1], flat[four + 2] * np.uint64(0xD6E8FEB86659FD93) ^ flat[four + 3]) if len(four) else np.zeros(0, np.int64)
-    at = np.concatenate([owner[i], owner[four], holder[n], whole[0]])
-    key = np.concatenate([by_words, alone, by_numbers, whole[1]])
-    weight = np.concatenate([light[run[i]], light[run[four]], np.full(len(n) + len(whole[0]), NUMBER_KEY, np.int32)])
-    if bits is not None:
-        ok = _held(bits, key)
-        at, key, weight = at[ok], key[ok], weight[ok]
-    order = np.lexsort((-weight, key, at))
-    at, key, weight = at[order], key[order], weight[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (key[1:] != key[:-1])
-    return at[new], key[new], weight[new]
-
-
-def text_keys(texts: list[str], stop: frozenset[str], sizes: frozenset[int] = frozenset(), bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of citation texts, each with the years shown and with that of rows without one. sizes: numbers of words of the titles whose
-    whole is a key; bits: bitmap of the rows' keys, which stops those that no row has."""
-    runs, pairs, years, every = [], [], [], []
-    for text in texts:
-        tokens, shown, numbers = _shown(text)
-        plain = [_hash(n) for n in numbers if n not in shown or numbers.count(n) > 1]
-        runs.append(_heavy(tokens, stop))
-        pairs.append([(v, n) for i, v in enumerate(plain) for n in plain[i + 1 : i + 3]])
-        years.append([*map(_hash, shown), _NO_YEAR] if shown else [_ANY_YEAR])
-        if sizes:
-            every.append([_hash(t) for t in tokens if t not in LIGHT])
-    return _keys(runs, pairs, years, years, _whole_runs(every, sizes, bits), bits)
-
-
-def row_keys(rows: list[tuple[str, str, str, str]], stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Keys of bibliographic rows (title, year, volume, page), and the sizes of the titles whose whole is a key. The year may differ by
-    one where volume and page agree."""
-    runs, pairs, by_words, by_numbers, whole = [], [], [], [], []
-    for place, (title, year, volume, page) in enumerate(rows):
-        year, volume, page = ((x or "").strip() for x in (year, volume, page))
-        tokens = words(title or "")
-        runs.append(_heavy(tokens, stop))
-        if len(runs[-1][0]) < FEW and (key := _whole_title(tokens)):
-            whole.append((place, *key))
-        pairs.append([(_hash(volume), _hash(page))] if volume and page else [])
-        by_words.append([_hash(year) if year else _NO_YEAR])
-        by_numbers.append([*([_hash(str(int(year) + d)) for d in (-1, 0, 1)] if year.isdigit() else [_NO_YEAR]), _ANY_YEAR])
-    place, key, size = (np.array([w[k] for w in whole], np.int64) for k in range(3))
-    return *_keys(runs, pairs, by_words, by_numbers, (place, key)), sorted(set(size.tolist()))
+    items, keys = [], []
+    for pattern in PATTERNS:
+        reach = pattern[-1]
+        at = np.flatnonzero(owner[: max(len(owner) - reach, 0)] == owner[reach:])
+        items.append(owner[at])
+        keys.append(_mix(*(flat[at + k] for k in pattern)))
+    item, key = np.concatenate(items), np.concatenate(keys)
+    order = np.lexsort((key, item))
+    item, key = item[order], key[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (key[1:] != key[:-1])
+    return item[new], key[new]
+
+
+def _number_keys(triples: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the item, key) of (place, volume, page, year)."""
+    at = np.array([t[0] for t in triples], np.int64)
+    return at, _mix(*(np.array([t[k] for t in triples], np.uint64) for k in (1, 2, 3))) if triples else np.zeros(0, np.uint64)
+
+
+def text_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of citation texts: of words, and of each two numbers up to two places apart with the years shown and with that of rows without one."""
+    runs, numbers = [], []
+    for place, text in enumerate(texts):
+        tokens, shown, every = _shown(text)
+        runs.append(_in_keys(tokens))
+        plain = [_hash(n) for n in every if n not in shown or every.count(n) > 1]
+        years = [*map(_hash, shown), _NO_YEAR] if shown else [_ANY_YEAR]
+        numbers += {(place, v, n, y) for i, v in enumerate(plain) for n in plain[i + 1 : i + 3] for y in years}
+    (a, b), (c, d) = _word_keys(runs), _number_keys(numbers)
+    return np.concatenate([a, c]), np.concatenate([b, d])
+
+
+def row_number_keys(rows: list[tuple[int, str, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of (place, year, volume, page): the year may differ by one where volume and page agree."""
+    out = []
+    for place, year, volume, page in rows:
+        if volume and page:
+            years = [*([_hash(str(int(year) + d)) for d in (-1, 0, 1)] if year.isdecimal() else [_NO_YEAR]), _ANY_YEAR]
+            out += [(place, _hash(volume), _hash(page), y) for y in years]
+    return _number_keys(sorted(set(out)))
 
 
 def _near(a: str, b: str) -> bool:
@@ -284,55 +210,74 @@ def _markers(tokens: list[str]) -> set[str]:
     return out | {f"part {b}" for a, b in zip(tokens, tokens[1:]) if a == "part" and b.isdigit()}
 
 
-def hopeless(shown: tuple, own: list[str], volume: str, page: str) -> bool:
-    """Less than half of the title's words stand in the text letter for letter, nor do volume and page: no rule would support a match."""
-    tokens, _, numbers, squashed, have, *_ = shown
-    heavy = [w for w in own if w not in LIGHT]
-    hits = sum(w in have or (len(w) > 3 and w in squashed) for w in heavy)
-    return 2 * hits < len(heavy) and not (page in numbers and volume in numbers)
-
-
 #: Predicates of a pair, in the order of the columns of truths().
 SUPPORT = ("title", "numbers")
 AGAINST = ("missing", "page", "marker", "volume", "year", "author", "journal", "extra")
 
 
-def _found(word: str, tokens: set[str], squashed: str) -> bool:
-    return word in tokens or (len(word) > 3 and word in squashed) or any(_near(t, word) for t in tokens if abs(len(t) - len(word)) < 2)
+def _by_ends(tokens: set[str]) -> dict[str, list[str]]:
+    """Tokens by first letter, and by last one after a sign: what is one edit apart from a word of two letters or more has one of both in common."""
+    out: dict[str, list[str]] = {}
+    for t in tokens:
+        if len(t) > 2:
+            out.setdefault(t[0], []).append(t)
+            out.setdefault("<" + t[-1], []).append(t)
+    return out
+
+
+def _close(word: str, ends: dict[str, list[str]]) -> bool:
+    if len(word) < 2:
+        return False
+    n = len(word)
+    return any(-2 < len(t) - n < 2 and _near(t, word) for k in (word[0], "<" + word[-1]) for t in ends.get(k, ()))
+
+
+def _found(word: str, have: set[str], squashed: str, ends: dict[str, list[str]]) -> bool:
+    return word in have or (len(word) > 3 and word in squashed) or _close(word, ends)
 
 
-def truths(shown: tuple, row: dict) -> list[float]:
-    """Truth values of the predicates, from 0 to 1. shown: of the text, as seen() gives it; row: fields of the bibliographic row."""
-    tokens, years, numbers, squashed, have, marks, cut, shows_title = shown
-    own = row["words"]
+def title_truth(shown: tuple, own: list[str]) -> tuple:
+    """(cover, titled, missing words stand between, the title begins the text): how a title stands in a text."""
+    tokens, years, numbers, squashed, have, marks, cut, shows_title, ends = shown
     weight = [0.1 if w in LIGHT else 1.0 for w in own]
-    hit = [w in have if w in LIGHT else _found(w, have, squashed) for w in own]
+    hit = [w in have if w in LIGHT else _found(w, have, squashed, ends) for w in own]
     if cut and any(hit):
         last = len(hit) - hit[::-1].index(True)
-        own, weight, hit = own[:last], weight[:last], hit[:last]
+        weight, hit = weight[:last], hit[:last]
     matched = sum(w for w, h in zip(weight, hit) if h)
-    cover = matched / sum(weight) if own else 0.0
+    cover = matched / sum(weight) if weight else 0.0
     titled = matched >= 3 and cover >= 0.5
-    known = set(row["words"])
-    places = [n for n in numbers if n not in known and n not in years]
-    page, volume, year, name = row["page"], row["volume"], row["year"], row["name"]
-    page_in, volume_in, year_in = bool(page) and page in numbers, bool(volume) and volume in numbers, bool(year) and year in years
-    name_in = bool(name) and _found(name, have, squashed)
-    journal_in = any(j in squashed for j in row["journals"])
+    if not titled:
+        return cover, False, 0, False
+    known = set(own)
     at = [i for i, t in enumerate(tokens) if t in known and t not in LIGHT]
     extra = 0
-    if titled and cover < 0.995 and at:
-        text = "".join(row["words"])
+    if cover < 0.995 and at:
+        text, near = "".join(own), _by_ends(known)
         for t in tokens[at[0] : at[-1] + 1]:
-            extra += t not in known and t not in LIGHT and not t.isdigit() and t not in text and not any(_near(t, w) for w in known)
+            extra += t not in known and t not in LIGHT and not t.isdigit() and t not in text and not _close(t, near)
+    return cover, True, extra, bool(at) and at[0] < 2
+
+
+def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
+    """Truth values of the predicates, from 0 to 1. shown: of the text, as seen() gives it; title: as title_truth() gives it; row: fields of the bibliographic row."""
+    tokens, years, numbers, squashed, have, marks, cut, shows_title, ends = shown
+    cover, titled, extra, unnamed = title
+    known = row["known"]
+    page, volume, year, name = row["page"], row["volume"], row["year"], row["name"]
+    page_in, volume_in, year_in = bool(page) and page in numbers, bool(volume) and volume in numbers, bool(year) and year in years
     by_numbers = 0.0
+    if not titled and not page_in:
+        return []
+    places = [n for n in numbers if n not in known and n not in years]
+    name_in = bool(name) and _found(name, have, squashed, ends)
+    journal_in = any(j in squashed for j in row["journals"])
     if page_in:
         by_numbers = min(1.0, 0.35 + 0.35 * volume_in + 0.15 * year_in + 0.1 * name_in + 0.1 * journal_in)
         if not titled and (shows_title or not (volume_in and (name_in or journal_in))):
-            by_numbers = min(by_numbers, 0.2 if shows_title and own else 0.4)  # it shows another title, or too little
+            by_numbers = min(by_numbers, 0.2 if shows_title and known else 0.4)  # it shows another title, or too little
     doubt = 1 - 0.75 * by_numbers
     wrong_marks = titled and bool(row["marks"] - marks if cut else marks ^ row["marks"])
-    unnamed = titled and at and at[0] < 2
     return [
         min(1.0, max(0.0, (cover - 0.6) / 0.35)) if titled else 0.0, by_numbers,
         doubt * min(1.0, (1 - cover) / 0.25) if titled else 0.0, float(bool(page) and not page_in and len(places) > 1), float(wrong_marks),
@@ -344,70 +289,191 @@ def truths(shown: tuple, row: dict) -> list[float]:
 def seen(text: str) -> tuple:
     tokens, years, numbers = _shown(text)
     plain = len(_PLAIN_WORD.findall(text)) > 3 or len(_CAPITAL_WORD.findall(text)) > 3
-    return tokens, years, numbers, "".join(tokens), set(tokens), _markers(tokens), "..." in text or "…" in text, plain
-
-
-def solve(owner: np.ndarray, truth: np.ndarray, same: list[tuple[int, int, float]], rounds: int = 80, rho: float = 2.0) -> np.ndarray:
-    """Values of the match variables. owner: the block of each variable; truth: their predicates; same: pairs of variables of a block
-    and the truth that they are of one publication. All blocks are minimised at once; they share no variable."""
+    have = set(tokens)
+    return tokens, years, numbers, "".join(tokens), have, _markers(tokens), "..." in text or "…" in text, plain, _by_ends(have)
+
+
+def minimise(
+    size: int, rule: np.ndarray, at: np.ndarray, coef: np.ndarray, bound: np.ndarray, weight: np.ndarray, block: np.ndarray,
+    pull: tuple[np.ndarray, np.ndarray] | None = None, tolerance: float = TOLERANCE, most: int = 20_000, rho: float = 2.0,
+) -> np.ndarray:
+    """Values in [0, 1] of size variables with the least sum of weight max(0, sum of coef x[at] - bound), plus CONVEX / 2 x^2 each.
+
+    rule, at, coef: the terms of the hinges, ascending by rule. block: of each variable; blocks share no hinge, and leave when their residuals fall
+    below the tolerance, that of the values over 30 rounds. pull: (strength, target) of each variable, for strength / 2 (x - target)^2."""
+    strength, target = pull or (np.zeros(size), np.zeros(size))
+    result, names = np.full(size, 0.5), np.arange(size)
+    z, u = result.copy(), np.zeros(len(at))
+    rounds = 0
+    while len(names):
+        norm = np.bincount(rule, weights=coef**2, minlength=len(bound))
+        copies = np.bincount(at, minlength=len(names)) * rho + CONVEX + strength
+        pulled = strength * target
+        before = z
+        for _ in range(30):
+            v = z[at] - u
+            over = np.bincount(rule, weights=coef * v, minlength=len(bound)) - bound
+            step = np.where(over > 0, np.minimum(weight / rho, over / norm), 0.0)
+            y = v - step[rule] * coef
+            z = np.clip((rho * np.bincount(at, weights=y + u, minlength=len(names)) + pulled) / copies, 0.0, 1.0)
+            gap = y - z[at]
+            u += gap
+        rounds += 30
+        open_ = np.zeros(block.max(initial=0) + 1, bool)
+        open_[block[np.abs(z - before) > tolerance]] = True
+        open_[block[at[np.abs(gap) > 10 * tolerance]]] = True
+        result[names] = z
+        live = open_[block]
+        if rounds >= most or not live.any():
+            break
+        if live.mean() < 0.8:
+            terms = live[at]
+            kept = np.zeros(len(bound), bool)
+            kept[rule[terms]] = True
+            rule, at, coef, u = (np.cumsum(kept) - 1)[rule[terms]], (np.cumsum(live) - 1)[at[terms]], coef[terms], u[terms]
+            bound, weight = bound[kept], weight[kept]
+            names, z, block, strength, target = names[live], z[live], block[live], strength[live], target[live]
+    return result
+
+
+def _blocks(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least place that each of size places is connected with by the links a - b."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return np.unique(label, return_inverse=True)[1]
+        label = new
+
+
+def _pairs_of(sizes: np.ndarray, support: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of rows that have rules with each other, block by block: all, or those with one of the best-supported ANCHORS."""
+    left, right, start = [], [], 0
+    for n in sizes:
+        if n > 1:
+            a, b = np.triu_indices(min(n, ANCHORS), 1)
+            if n > ANCHORS:
+                order = np.argsort(-support[start : start + n], kind="stable")
+                c, d = np.repeat(np.arange(ANCHORS), n - ANCHORS), np.tile(np.arange(ANCHORS, n), ANCHORS)
+                a, b = order[np.concatenate([a, c])], order[np.concatenate([b, d])]
+            left.append(a + start)
+            right.append(b + start)
+        start += n
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def identity(i: np.ndarray, j: np.ndarray, words_: np.ndarray, year: np.ndarray, volume: np.ndarray, page: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Truth that the rows i and j agree, and that they differ; both 0 where nothing speaks for one publication. Fields are numbers, 0 is unknown."""
+    known = lambda f: (f[i] != 0) & (f[j] != 0)
+    equal = lambda f: known(f) & (f[i] == f[j])
+    other = lambda f: known(f) & (f[i] != f[j])
+    apart = np.where(other(year), np.where(np.abs(year[i].astype(np.int64) - year[j]) == 1, 0.5, 1.0), 0.0)
+    differ = np.maximum(apart, (other(volume) | other(page) | other(name)).astype(float))
+    agree = np.where(words_[i] == words_[j], 1.0, np.where(equal(volume) & equal(page) & equal(year) & ~other(name), 0.8, 0.0))
+    return agree * (1 - differ), np.where(agree > 0, differ, 0.0)
+
+
+def problem(sizes: np.ndarray, truth: np.ndarray, ids: np.ndarray, fields: tuple[np.ndarray, ...], copies: dict[int, int] | None = None) -> dict:
+    """The hinges of the blocks of texts: sizes of the blocks, truth and ids of their rows, fields as identity() takes them. The variables are the
+    matches, the identities, and, where the rows of a text may be of several publications, one for each of these; copies: in how many tasks an identity
+    stands, which share its own rules."""
     n = len(truth)
-    if not n:
-        return np.zeros(0)
-    first, second, a1, a2, bound, weight = [], [], [], [], [], []
-
-    def hinge(i: np.ndarray, j: np.ndarray, ca: float, cb: float, b: np.ndarray, w: np.ndarray) -> None:
-        """w max(0, ca x_i + cb x_j - b)"""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    i, j = _pairs_of(sizes, truth[:, : len(SUPPORT)].max(1) if n else np.zeros(0))
+    agree, differ = identity(i, j, *fields)
+    open_ = (agree > 0) | (differ > 0)
+    i, j, agree, differ = i[open_], j[open_], agree[open_], differ[open_]
+    lo, hi = np.minimum(ids[i], ids[j]).view(np.uint64), np.maximum(ids[i], ids[j]).view(np.uint64)
+    pids, first, which = np.unique(_mix(lo, hi).view(np.int64), return_index=True, return_inverse=True)
+    s = n + which
+    cited = _blocks(n, i[agree > 0], j[agree > 0])
+    of_text = np.zeros(cited.max(initial=-1) + 1, np.int64)
+    of_text[cited] = text
+    several = np.bincount(of_text, minlength=len(sizes))[of_text] > 1
+    y = n + len(pids) + np.cumsum(several) - 1
+    # How much a row falls short of the best-supported other publication of its text.
+    strength = truth[:, : len(SUPPORT)].sum(1)
+    best = np.zeros(len(of_text))
+    np.maximum.at(best, cited, strength)
+    order = np.lexsort((best, of_text))
+    rank = np.zeros((2, len(sizes)))
+    second = np.ones(len(order), bool)
+    second[-1:] = False
+    second[:-1] = of_text[order][:-1] == of_text[order][1:]
+    rank[0][of_text[order][~second]] = best[order][~second]
+    np.maximum.at(rank[1], of_text[order][second], best[order][second])
+    top = np.zeros(len(of_text), bool)
+    top[order[~second]] = True
+    outdone = np.clip((np.where(top[cited], rank[1][text], rank[0][text]) - strength) / 0.2, 0, 1) if n else strength
+    rules, at, coef, bound, weight, count = [], [], [], [], [], 0
+
+    def hinges(vs: tuple[np.ndarray, ...], cs: tuple[float, ...], b: np.ndarray | float, w: np.ndarray | float) -> None:
+        nonlocal count
+        w = np.broadcast_to(w, vs[0].shape)
         keep = w > 0
-        for to, x in ((first, i), (second, j), (a1, np.full(len(i), ca)), (a2, np.full(len(i), cb)), (bound, b), (weight, w)):
-            to.append(np.asarray(x)[keep])
+        m = int(keep.sum())
+        rules.append(np.repeat(np.arange(count, count + m), len(vs)))
+        at.append(np.stack(vs, 1)[keep].ravel())
+        coef.append(np.tile(np.array(cs), m))
+        bound.append(np.broadcast_to(b, vs[0].shape)[keep])
+        weight.append(w[keep])
+        count += m
 
     every = np.arange(n)
     for k, name in enumerate(SUPPORT):
-        hinge(every, every, -1.0, 0.0, -truth[:, k], np.where(truth[:, k] > 0, WEIGHTS[name], 0.0))
+        hinges((every,), (-1.0,), -truth[:, k], np.where(truth[:, k] > 0, WEIGHTS[name], 0.0))
     for k, name in enumerate(AGAINST, len(SUPPORT)):
-        hinge(every, every, 1.0, 0.0, 1 - truth[:, k], np.where(truth[:, k] > 0, WEIGHTS[name], 0.0))
-    hinge(every, every, 1.0, 0.0, np.zeros(n), np.full(n, WEIGHTS["prior"]))
-    if same:
-        i, j, s = (np.array(x) for x in zip(*same))
-        i, j = i.astype(int), j.astype(int)
-        hinge(i, j, 1.0, 1.0, np.ones(len(i)), np.where(s < 0.5, WEIGHTS["exclusive"], 0.0))
-        for a, b in ((i, j), (j, i)):
-            hinge(a, b, 1.0, -1.0, 1 - s, np.where(s >= 0.5, WEIGHTS["together"], 0.0))
-    i, j, ca, cb, b, w = (np.concatenate(x) for x in (first, second, a1, a2, bound, weight))
-    single = cb == 0
-    norm = ca**2 + cb**2
-    z = np.full(n, 0.5)
-    ui, uj = np.zeros(len(i)), np.zeros(len(i))
-    copies = np.bincount(i, minlength=n) + np.bincount(j[~single], minlength=n)
-    for _ in range(rounds):
-        vi, vj = z[i] - ui, z[j] - uj
-        over = ca * vi + cb * vj - b
-        step = np.where(over > 0, np.minimum(w / rho, over / norm), 0.0)
-        yi, yj = vi - step * ca, vj - step * cb
-        total = np.bincount(i, weights=yi + ui, minlength=n) + np.bincount(j[~single], weights=(yj + uj)[~single], minlength=n)
-        z = np.clip(total / copies, 0.0, 1.0)
-        ui += yi - z[i]
-        uj = np.where(single, 0.0, uj + yj - z[j])
-    return z
-
-
-def row_fields(title: str | None, authors: list[str] | None, journal: str | None, year: str | None, volume: str | None, page: str | None, forms: dict[str, tuple[str, ...]]) -> dict:
-    own = words(title or "")
-    squashed = "".join(words(journal or ""))
-    name = _surname(authors[0]) if authors is not None and len(authors) else ""
+        hinges((every,), (1.0,), 1 - truth[:, k], np.where(truth[:, k] > 0, WEIGHTS[name], 0.0))
+    hinges((every,), (1.0,), 1 - outdone, np.where(outdone > 0, WEIGHTS["outdone"], 0.0))
+    hinges((every,), (1.0,), 0.0, WEIGHTS["prior"])
+    hinges((i, j, s), (1.0, 1.0, -1.0), 1.0, WEIGHTS["exclusive"])
+    hinges((i, s, j), (1.0, 1.0, -1.0), 1.0, WEIGHTS["together"])
+    hinges((j, s, i), (1.0, 1.0, -1.0), 1.0, WEIGHTS["together"])
+    own = n + np.arange(len(pids))
+    share = 1 / np.array([(copies or {}).get(p, 1) for p in pids.tolist()], float)
+    hinges((own,), (-1.0,), -agree[first], np.where(agree[first] > 0, WEIGHTS["same"], 0.0) * share)
+    hinges((own,), (1.0,), 1 - differ[first], np.where(differ[first] > 0, WEIGHTS["differ"], 0.0) * share)
+    hinges((own,), (1.0,), 0.0, WEIGHTS["own"] * share)
+    among = np.flatnonzero(several[cited]) if n else every
+    hinges((among, y[cited[among]]), (1.0, -1.0), 0.0, WEIGHTS["cited"])
+    # One publication for each text: a hinge over all that its rows may be of.
+    who, which_text = np.unique(of_text[several], return_inverse=True)
+    order = np.argsort(which_text, kind="stable")
+    rules.append(count + which_text[order])
+    at.append(y[several][order])
+    coef.append(np.ones(len(order)))
+    bound.append(np.ones(len(who)))
+    weight.append(np.full(len(who), WEIGHTS["exclusive"]))
+    # Texts are tied to each other by identities only.
+    label = _blocks(len(sizes) + len(pids), text[i], len(sizes) + which)
+    block = np.concatenate([label[text], label[len(sizes) :], label[of_text[several]]])
+    flat = np.concatenate
+    size = n + len(pids) + int(several.sum())
+    return {"n": n, "size": size, "pids": pids, "rule": flat(rules), "at": flat(at), "coef": flat(coef), "bound": flat(bound), "weight": flat(weight), "block": block, "text": text}
+
+
+def _least(p: dict, pull: tuple[np.ndarray, np.ndarray] | None = None, **options: float) -> np.ndarray:
+    return minimise(p["size"], *(p[k] for k in ("rule", "at", "coef", "bound", "weight", "block")), pull, **options)
+
+
+def solve(sizes: np.ndarray, truth: np.ndarray, ids: np.ndarray, fields: tuple[np.ndarray, ...], **options: float) -> np.ndarray:
+    """Values of the matches of the blocks, as problem() takes them."""
+    p = problem(sizes, truth, ids, fields)
+    return _least(p, **options)[: p["n"]]
+
+
+def row_fields(title: list[str], marks: set[str], author: str, journal: str, year: str, volume: str, page: str, forms: dict[str, tuple[str, ...]]) -> dict:
+    squashed = "".join(words(journal))
     return {
-        "words": own, "marks": _markers(own), "name": name, "year": (year or "").strip(), "volume": (volume or "").strip(), "page": (page or "").strip(),
+        "known": set(title), "marks": marks, "name": _surname(author), "year": year.strip(), "volume": volume.strip(), "page": page.strip(),
         "journals": forms.get(squashed, (squashed,) if squashed else ()),
     }
 
 
-def alike(a: dict, b: dict) -> float:
-    """Truth that two bibliographic rows, whose words are their titles' weighty words or a hash of them, are of one publication."""
-    if a["words"] != b["words"]:
-        return 0.0
-    return float(all(not a[k] or not b[k] or a[k] == b[k] for k in ("year", "volume", "page", "name")))
-
-
 def journal_forms(full: list[str | None], short: list[str | None]) -> dict[str, tuple[str, ...]]:
     """From either form of a journal's name, squashed, to all its forms."""
     out: dict[str, tuple[str, ...]] = {}
@@ -418,114 +484,318 @@ def journal_forms(full: list[str | None], short: list[str | None]) -> dict[str,
     return out
 
 
-_SCORED = "h1 bigint, h2 bigint, w1 bigint, w2 bigint, truth array<float>, words bigint, year string, volume string, page string, name string"
-_FIELDS = ("title", "author", "journal", "year", "volume", "page")
+# Keys on their way: (32 bits of the key, 48 bits of the text's or family's hash), in buckets by the key's other bits.
+_ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<u2")])
+_COUNTED = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<u2"), ("n", "<u2")])
+_ID = (1 << 48) - 1
+
+
+def _entries(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.empty(len(key), _ENTRY)
+    out["key"], out["low"], out["high"] = key & np.uint64(0xFFFFFFFF), ids & 0xFFFFFFFF, ids >> 32
+    return out
+
+
+def _ids(e: np.ndarray) -> np.ndarray:
+    return e["low"].astype(np.int64) | e["high"].astype(np.int64) << 32
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def _packed(bucket: np.ndarray, data: np.ndarray, **more: int) -> pd.DataFrame:
+    """One row for each bucket with its entries."""
+    order = np.argsort(bucket, kind="stable")
+    which, start = np.unique(bucket[order], return_index=True)
+    data, stops = data[order], np.append(start[1:], len(order))
+    return pd.DataFrame({"bucket": which.astype(np.int32), **{k: np.int32(v) for k, v in more.items()}, "data": [data[a:b].tobytes() for a, b in zip(start, stops)]})
+
 
+def _unpacked(blobs: pd.Series, kind: np.dtype = _ENTRY) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
 
-def _key_texts(bits: np.ndarray, sizes: frozenset[int], stop: frozenset[str]):
+
+def _salted(key: np.ndarray, bucket: np.ndarray, salt: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Hot keys of texts go to one of as many further buckets."""
+    return np.where(np.isin(key, hot), buckets + salt % buckets, bucket)
+
+
+_TEXT_BUCKETS, _SIDES, _COUNTS = "bucket int, side int, data binary", (0, 1), "bucket int, source int, data binary"
+
+
+def _key_texts(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            item, key, _ = text_keys(list(pdf["text"]), stop, sizes, bits)
-            yield pd.DataFrame({"h1": pdf["h1"].to_numpy(np.int64)[item], "key": key})
+            item, key = text_keys(list(pdf["text"]))
+            ids = pdf["h"].to_numpy(np.int64)[item]
+            yield _packed(_salted(key, _bucket(key, buckets), ids, hot, buckets), _entries(key, ids), side=0)
 
     return run
 
 
-def _key_rows(stop: frozenset[str]):
+def _key_titles(buckets: int, hot: np.ndarray):
+    """Title keys of families to be counted; source -1 and the family's bucket where a key is hot and not worth it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            item, key, weight, sizes = row_keys(list(zip(pdf["title"], pdf["year"], pdf["volume"], pdf["page"])), stop)
-            yield pd.DataFrame({"w1": pdf["w1"].to_numpy(np.int64)[item], "key": key, "weight": weight, "size": np.zeros(len(key), np.int32)})
-            # One line for each size, under a key that is there anyway.
-            if sizes:
-                yield pd.DataFrame({"w1": pd.array([None] * len(sizes), "Int64"), "key": key[:1].repeat(len(sizes)), "weight": np.int32(0), "size": np.array(sizes, np.int32)})
+            item, key = _word_keys([_in_keys(t.split()) for t in pdf["title"]])
+            ids = pdf["f"].to_numpy(np.int64)[item]
+            often = np.isin(key, hot)
+            yield _packed(_bucket(key[~often], buckets), _entries(key[~often], ids[~often]), source=-1)
+            # Their place among a family's keys is by hash; the bucket goes along.
+            rest = np.empty(often.sum(), _COUNTED)
+            e = _entries(key[often], ids[often])
+            rest["key"], rest["low"], rest["high"], rest["n"] = e["key"], e["low"], e["high"], 65535
+            if len(rest):
+                bucket = _bucket(key[often], buckets)
+                for b in np.unique(bucket):
+                    yield _packed(ids[often][bucket == b] % buckets, rest[bucket == b], source=int(b))
 
     return run
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Which places modulo FILTER_BITS the keys take; FILTER_BITS / 8 bytes, put together from partial bitmaps on the executors."""
-    return _bitmap_sizes(keys.withColumn("size", F.lit(0)))[0]
+def _count(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Number of families of each key of a bucket, on the way to the families' buckets."""
+    e = _unpacked(pdf["data"])
+    _, which, n = np.unique(e["key"], return_inverse=True, return_counts=True)
+    out = np.empty(len(e), _COUNTED)
+    out["key"], out["low"], out["high"], out["n"] = e["key"], e["low"], e["high"], np.minimum(n[which], 65534)
+    return _packed(_ids(e) % buckets, out, source=int(pdf["bucket"].iloc[0]))
+
+
+def _choose(pdf: pd.DataFrame, buckets: int, hot: np.ndarray) -> pd.DataFrame:
+    """The rarest keys of the families of a bucket."""
+    e = _unpacked(pdf["data"], _COUNTED)
+    source = np.repeat(pdf["source"].to_numpy(np.int64), [len(d) // _COUNTED.itemsize for d in pdf["data"]])
+    ids = _ids(e)
+    order = np.lexsort((e["key"], e["n"], ids))
+    e, ids, source = e[order], ids[order], source[order]
+    first = np.ones(len(ids), bool)
+    first[1:] = ids[1:] != ids[:-1]
+    rank = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
+    keep = rank < RAREST
+    return _to_join(e[keep], ids[keep], source[keep], buckets, hot)
+
+
+def _to_join(e: np.ndarray, ids: np.ndarray, bucket: np.ndarray, buckets: int, hot: np.ndarray) -> pd.DataFrame:
+    """Entries of families for the join; those of hot keys of texts to every further bucket."""
+    out = np.empty(len(e), _ENTRY)
+    out["key"], out["low"], out["high"] = e["key"], e["low"], e["high"]
+    hot_local, hot_bucket = (hot & np.uint64(0xFFFFFFFF)).astype(np.int64), _bucket(hot, buckets)
+    often = np.isin(bucket << 32 | out["key"].astype(np.int64), hot_bucket << 32 | hot_local)
+    every = np.repeat(np.arange(buckets, 2 * buckets), often.sum())
+    return _packed(np.concatenate([bucket[~often], every]), np.concatenate([out[~often], np.tile(out[often], buckets)]), side=1)
+
+
+def _key_numbers(buckets: int, hot: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, (r["year"] or "").strip(), (r["volume"] or "").strip(), (r["page"] or "").strip()) for i, rs in enumerate(pdf["rows"]) for r in rs]
+            item, key = row_number_keys(rows)
+            ids = pdf["f"].to_numpy(np.int64)[item]
+            yield _to_join(_entries(key, ids), ids, _bucket(key, buckets), buckets, hot)
+
+    return run
 
 
-def _bitmap_sizes(keys: DataFrame) -> tuple[np.ndarray, frozenset[int]]:
-    """The bitmap of the keys, and the sizes of whole titles."""
-    place = F.col("key").bitwiseAND(FILTER_BITS - 1) + 1  # the engine's bitmaps count from 1
-    bits = F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
-    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(bits, F.collect_set("size").alias("sizes")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in parts:
-        start = (row.b - 1) * len(row.bits)
-        out[start : start + len(row.bits)] = np.frombuffer(bytes(row.bits), np.uint8)
-    return out, frozenset(n for row in parts for n in row.sizes if n)
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(h, f): texts and families with a key in common, each once in a bucket."""
+    side = pdf["side"].to_numpy()
+    texts, families = (_unpacked(pdf["data"][side == s]) for s in _SIDES)
+    families = families[np.argsort(families["key"], kind="stable")]
+    low, high = (np.searchsorted(families["key"], texts["key"], way) for way in ("left", "right"))
+    n = high - low
+    hit = np.flatnonzero(n)
+    n, low = n[hit], low[hit]
+    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return pd.DataFrame({"h": np.repeat(_ids(texts[hit]), n), "f": _ids(families[at])}).drop_duplicates()
 
 
-def _title_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        count: dict[str, int] = {}
-        for title in pdf["title"]:
-            for w in set(words(title)):
-                count[w] = count.get(w, 0) + 1
-        yield pd.DataFrame({"word": list(count), "n": list(count.values())})
+def hot_keys(keys: tuple[np.ndarray, np.ndarray], items: int) -> np.ndarray:
+    """Keys of at least HOT of the items of a sample; at most the mean number of keys of an item divided by HOT."""
+    key, n = np.unique(keys[1], return_counts=True)
+    return key[n >= max(2, HOT * items)] if items >= 1 / HOT else key[:0]
 
 
 def _plain(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(title), r"</?[a-z]{1,6}>", ""), r"[^0-9a-zα-ω]+", "")
 
 
-def common_words(rows: DataFrame) -> frozenset[str]:
-    """Words in more than COMMON of the distinct titles, of which there can't be more than the mean title's words divided by COMMON."""
-    titles = rows.groupBy(F.xxhash64(_plain(F.col("title"))).alias("k")).agg(F.min("title").alias("title")).select("title")
-    counts = titles.mapInPandas(_title_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    total = titles.count()
-    return frozenset(r.word for r in counts.where(F.col("n") > COMMON * total).collect())
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(title=[" ".join(words(t)) for t in pdf["title"]])
+
+
+_BLOCK = "home bigint, h1 bigint, h2 bigint, w1 array<bigint>, w2 array<bigint>, truth array<float>, words array<int>, year array<int>, volume array<int>, page array<int>, name array<int>"
+_COLUMNS = [c.split()[0] for c in _BLOCK.split(", ")]
+
+
+def _number(word: str) -> int:
+    """A field as a number for comparison; 0 is unknown."""
+    return (_hash(word) & 0x7FFFFFFF) + 1 & 0x7FFFFFFF if word else 0
+
+
+def _solo(truth: np.ndarray) -> np.ndarray:
+    """Whether each row's own rules put its value above 0: the slope at 0 is negative."""
+    up = WEIGHTS["prior"] + sum(WEIGHTS[name] * (truth[:, k] >= 1) for k, name in enumerate(AGAINST, len(SUPPORT)))
+    return sum(WEIGHTS[name] * (truth[:, k] > 0) for k, name in enumerate(SUPPORT)) > up
 
 
 def _score(forms: dict[str, tuple[str, ...]]):
+    """One row for each text with the rows that something supports; texts come sorted, and none is divided among tasks.
+
+    Left out is only what ends at 0 in any case: rows that neither rise alone nor may be of one publication with one that does,
+    as 0 is then the least of every rule they stand in."""
+
+    def block(h1: int, h2: int, found: list[tuple]) -> tuple | None:
+        truth = np.array([x[3] for x in found], np.float32)
+        alone = _solo(truth)
+        if not alone.any():
+            return None
+        fields = tuple(np.array([x[k] for x in found], np.int32) for k in (4, 5, 6, 7, 8))
+        if not alone.all():
+            keep = alone.copy()
+            for i in np.flatnonzero(alone):
+                rest = np.flatnonzero(~keep)
+                keep[rest[identity(np.full(len(rest), i), rest, *fields)[0] > 0]] = True
+            found, truth, fields = [x for x, k in zip(found, keep) if k], truth[keep], tuple(f[keep] for f in fields)
+        home = found[int((truth[:, 0] + truth[:, 1]).argmax())][0]
+        return (home, h1, h2, [x[1] for x in found], [x[2] for x in found], truth.ravel(), *fields)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, shown, found, out = None, None, [], []
+        titles: dict[str, tuple] = {}
         for pdf in batches:
-            out = []
-            last, shown = None, None
-            for h1, h2, text, w1, w2, title, author, journal, year, volume, page in pdf.itertuples(index=False, name=None):
-                if text != last:
-                    last, shown = text, seen(text)
-                own = words(title)
-                if hopeless(shown, own, volume.strip(), page.strip()):
+            for h1, h2, text, f, title, rows in zip(pdf["h1"], pdf["h2"], pdf["text"], pdf["f"], pdf["title"], pdf["rows"]):
+                if (h1, h2) != last:
+                    if found and (b := block(*last, found)):
+                        out.append(b)
+                    last, shown, found = (h1, h2), seen(text), []
+                if len(titles) > 50_000:
+                    titles.clear()
+                if title not in titles:
+                    own = title.split()
+                    titles[title] = own, _markers(own), _number(" ".join(w for w in own if w not in LIGHT))
+                own, marks, number = titles[title]
+                stands = title_truth(shown, own)
+                if not stands[1] and not any((r["page"] or " ").strip() in shown[2] for r in rows):
                     continue
-                row = row_fields(title, [author], journal, year, volume, page, forms)
-                truth = truths(shown, row)
-                # Alone, such a pair ends at 0, whatever else is cited: no support, or none that outweighs a contradiction of page or kind.
-                if max(truth[:2]) > 0.2 and truth[3] + truth[4] == 0:
-                    heavy = _hash(" ".join(w for w in own if w not in LIGHT)) - (1 << 63)
-                    out.append((h1, h2, w1, w2, truth, heavy, row["year"], row["volume"], row["page"], row["name"]))
-            yield pd.DataFrame(out, columns=["h1", "h2", "w1", "w2", "truth", "words", "year", "volume", "page", "name"])
+                for r in rows:
+                    row = row_fields(own, marks, r["author"] or "", r["journal"] or "", r["year"] or "", r["volume"] or "", r["page"] or "", forms)
+                    truth = truths(shown, stands, row)
+                    if truth and max(truth[:2]) > 0:
+                        year = int(row["year"]) if row["year"].isdecimal() and len(row["year"]) < 9 else _number(row["year"])
+                        found.append((f, r["w1"], r["w2"], truth, number, year, _number(row["volume"]), _number(row["page"]), _number(row["name"])))
+            if out:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+                out = []
+        if found and (b := block(*last, found)):
+            yield pd.DataFrame([b], columns=_COLUMNS)
 
     return run
 
 
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        owner, truth, same, out = [], [], [], []
-        for block, (h1, h2, pairs) in enumerate(zip(pdf["h1"], pdf["h2"], pdf["pairs"])):
-            base = len(owner)
-            rows = list(pairs)
-            for a, p in enumerate(rows):
-                owner.append(block)
-                truth.append(p["truth"])
-                out.append((h1, h2, p["w1"], p["w2"]))
-                same += [(base + b, base + a, alike(rows[b], p)) for b in range(a)]
-        values = solve(np.array(owner), np.array(truth, float).reshape(len(owner), -1), same)
-        done = pd.DataFrame(out, columns=["h1", "h2", "w1", "w2"])
-        done["confidence"] = np.round(values, 4)
-        yield done[values >= MATCH]
+_SETTLED = "bucket int, chunk int, pid bigint, agreed double, h1 bigint, h2 bigint, w1 bigint, w2 bigint, confidence double"
+
+
+def _settle(pdf: pd.DataFrame, state: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Values of the rows of a group of texts. Without a state: matches and all identities. With one (pid, agreed, dual, copies of shared identities):
+    only the texts that these bear on, matches or not, and the shared identities."""
+    sizes = np.array([len(x) for x in pdf["w1"]], np.int64)
+    flat = lambda name, kind: np.concatenate([np.asarray(x, kind) for x in pdf[name]]) if len(pdf) else np.zeros(0, kind)
+    w1, w2, truth = flat("w1", np.int64), flat("w2", np.int64), flat("truth", np.float64).reshape(-1, len(SUPPORT) + len(AGAINST))
+    fields = tuple(flat(name, np.int32) for name in ("words", "year", "volume", "page", "name"))
+    copies = dict(zip(state["pid"].tolist(), state["copies"].tolist())) if state is not None else None
+    p = problem(sizes, truth, w1, fields, copies)
+    n, pids, pull = p["n"], p["pids"], None
+    live = np.ones(p["size"], bool)
+    if state is not None:
+        at = n + np.searchsorted(pids, state["pid"].to_numpy())
+        strength, target = np.zeros(len(live)), np.zeros(len(live))
+        strength[at], target[at] = DRAW, state["agreed"].to_numpy() - state["dual"].to_numpy()
+        pull = strength, target
+        live = np.isin(p["block"], p["block"][at])
+        terms, kept = live[p["at"]], np.zeros(len(p["bound"]), bool)
+        kept[p["rule"][terms]] = True
+        p |= {"rule": (np.cumsum(kept) - 1)[p["rule"][terms]], "at": (np.cumsum(live) - 1)[p["at"][terms]], "coef": p["coef"][terms]}
+        p |= {"bound": p["bound"][kept], "weight": p["weight"][kept], "block": p["block"][live], "size": int(live.sum())}
+        pull = strength[live], target[live]
+    value = np.zeros(len(live))
+    value[live] = _least(p, pull)
+    x = np.round(value[:n], 2)
+    give = np.flatnonzero(live[:n] if state is not None else x >= MATCH)
+    out = pd.DataFrame({"h1": pdf["h1"].to_numpy(np.int64)[p["text"][give]], "h2": pdf["h2"].to_numpy(np.int64)[p["text"][give]], "w1": w1[give], "w2": w2[give], "confidence": x[give]})
+    shown = np.arange(len(pids)) if state is None else at - n
+    ids = pd.DataFrame({"pid": pids[shown], "agreed": value[n + shown]})
+    whole = lambda df: df.astype({c: "Int64" for c in df.columns if c not in ("agreed", "confidence")})
+    out = pd.concat([whole(out), whole(ids)], ignore_index=True)
+    return out.assign(bucket=pdf["bucket"].iloc[0], chunk=pdf["chunk"].iloc[0])[[c.split()[0] for c in _SETTLED.split(", ")]]
+
+
+def _settled(blocks: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(h1, h2, w1, w2, confidence): the matches of the staged blocks. Identities that stand in several groups are agreed on by consensus: each group minimises
+    its own problem with its copies drawn to the mean less their duals, until copies and mean, and mean and last mean, lie within AGREED."""
+    buckets = max(1, math.ceil(blocks.count() / GROUP_TEXTS))
+    bucket = F.pmod(F.xxhash64("home"), F.lit(buckets)).cast("int")
+    load = blocks.groupBy(bucket.alias("bucket")).count().where(F.col("count") > 2 * GROUP_TEXTS)
+    chunks = F.coalesce(F.ceil(F.col("count") / GROUP_TEXTS), F.lit(1))
+    grouped = blocks.withColumn("bucket", bucket).join(load, "bucket", "left").withColumn("chunk", F.pmod(F.col("h1"), chunks).cast("int")).drop("count", "home")
+    names = [c.split()[0] for c in _SETTLED.split(", ")]
+    done = stage(grouped.groupBy("bucket", "chunk").applyInPandas(lambda pdf: _settle(pdf), _SETTLED))
+    group, match = ["bucket", "chunk"], ["h1", "h2", "w1", "w2", "confidence"]
+    shared = done.where("pid IS NOT NULL").groupBy("pid").agg(F.avg("agreed").alias("mean"), F.count("*").alias("copies")).where("copies > 1")
+    state = stage(done.where("pid IS NOT NULL").select(*group, "pid", "agreed").join(shared, "pid"))
+    last = done.where("pid IS NULL").select(*match)
+    if state.isEmpty():
+        return last
+    state = state.select(*group, "pid", "copies", F.col("mean").alias("z"), (F.col("agreed") - F.col("mean")).alias("dual"))
+    active = grouped.join(state.select(*group).distinct(), group, "left_semi")
+    for _ in range(most_rounds):
+        now = state.select(*group, "pid", F.col("z").alias("agreed"), "dual", "copies")
+        step = stage(active.groupBy(*group).cogroup(now.groupBy(*group)).applyInPandas(_settle, _SETTLED))
+        own = step.where("pid IS NOT NULL").select(*group, "pid", F.col("agreed").alias("own")).join(state, [*group, "pid"])
+        mean = own.groupBy("pid").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(F.col("own") + F.col("dual")))).alias("new"))
+        state = stage(own.join(mean, "pid").select(*group, "pid", "copies", "z", "own", "new", (F.col("dual") + F.col("own") - F.col("new")).alias("dual")))
+        far = state.agg(F.max(F.greatest(F.abs(F.col("own") - F.col("new")), F.abs(F.col("new") - F.col("z")))).alias("x")).first().x
+        state = state.select(*group, "pid", "copies", F.col("new").alias("z"), "dual")
+        if far <= AGREED:
+            break
+    again = step.where("pid IS NULL").select(*match)
+    return last.join(again.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").unionByName(again.where(F.col("confidence") >= MATCH))
+
+
+def families(works: DataFrame) -> DataFrame:
+    """(f, title, rows): the distinct rows of each title, in chunks of about FAMILY_MOST by hash; title as words with blanks. A row without a title is its own."""
+    plain = _plain(F.col("title"))
+    keyed = works.drop("work_id").withColumn("t", F.when(plain == "", F.col("w1")).otherwise(F.xxhash64(plain)))
+    many = keyed.groupBy("t").agg(F.approx_count_distinct("w1").alias("n")).where(F.col("n") > FAMILY_MOST)
+    chunk = F.pmod(F.col("w1"), F.coalesce(F.ceil(F.col("n") / FAMILY_MOST), F.lit(1)))
+    f = F.xxhash64("t", chunk).bitwiseAND(_ID).alias("f")
+    rows = keyed.join(many, "t", "left").select(f, "title", F.struct("w1", "w2", "author", "journal", "year", "volume", "page").alias("row"))
+    return rows.groupBy("f").agg(F.min("title").alias("title"), F.collect_set("row").alias("rows")).mapInPandas(
+        _tokens, "f bigint, title string, rows array<struct<w1: bigint, w2: bigint, author: string, journal: string, year: string, volume: string, page: string>>"
+    )
+
+
+def candidates(texts: DataFrame, held: DataFrame, buckets: int, hot_texts: np.ndarray, hot_titles: np.ndarray) -> DataFrame:
+    """(h, f), each once: texts (h, text) and families (f, title, rows) that share a key."""
+    by_bucket = lambda df, run, schema: df.groupBy("bucket").applyInPandas(run, schema)
+    titles = held.select("f", "title").mapInPandas(_key_titles(buckets, hot_titles), _COUNTS)
+    counted = by_bucket(titles.where("source < 0"), lambda pdf: _count(pdf, buckets), _COUNTS)
+    chosen = by_bucket(counted.unionByName(titles.where("source >= 0")), lambda pdf: _choose(pdf, buckets, hot_texts), _TEXT_BUCKETS)
+    numbers = held.select("f", "rows").mapInPandas(_key_numbers(buckets, hot_texts), _TEXT_BUCKETS)
+    asked = texts.mapInPandas(_key_texts(buckets, hot_texts), _TEXT_BUCKETS)
+    return by_bucket(asked.unionByName(chosen).unionByName(numbers), _meet, "h bigint, f bigint").distinct()
 
 
 def link(records: DataFrame, rows: DataFrame, journals: DataFrame) -> DataFrame:
     """(ref_id, work_id, confidence): the rows that describe the publication each record's text cites.
 
     records: ref_id, text; rows: work_id, title, authors, journal, pub_year, volume, first_page; journals: full_name, short_name, a fixed
-    table of at most 100,000 rows. Equal texts and equal rows are worked on once, under two hashes; candidates are found by the first
-    hash alone, and what shares it by chance is scored apart."""
+    table of at most 100,000 rows. Equal texts and equal rows are worked on once, under two hashes; candidates are found by 48 bits of
+    the first one, and what shares these by chance is scored apart."""
+    spark = records.sparkSession
     names = journals.select("full_name", "short_name").limit(100_001).toPandas()
     if len(names) > 100_000:
         raise ValueError("journals has more than 100,000 rows")
@@ -537,25 +807,26 @@ def link(records: DataFrame, rows: DataFrame, journals: DataFrame) -> DataFrame:
     )
     fields = [F.coalesce(c, F.lit("")) for c in (F.col("title"), F.try_element_at("authors", F.lit(1)), *map(F.col, ("journal", "pub_year", "volume", "first_page")))]
     w1, w2 = two(*fields)
-    works = rows.select(F.col("work_id").cast("bigint").alias("work_id"), *(f.alias(n) for f, n in zip(fields, _FIELDS)), w1.alias("w1"), w2.alias("w2"))
-    works = works.where(F.col("work_id").isNotNull())
-
-    # Sets of one, but for chance: what shares the first hash. So each side is shuffled once, and by what the joins below need.
-    text_sets = texts.groupBy("h1").agg(F.collect_set(F.struct("h2", "text")).alias("s"))
-    one_text = text_sets.select("h1", F.inline("s"))
-    row_sets = works.groupBy("w1").agg(F.collect_set(F.struct("w2", *_FIELDS)).alias("s"))
-    one_row = row_sets.select("w1", F.inline("s"))
-    stop = common_words(works)
-    right = one_row.mapInPandas(_key_rows(stop), "w1 bigint, key bigint, weight int, size int")
-    left = one_text.mapInPandas(_key_texts(*_bitmap_sizes(right), stop), "h1 bigint, key bigint")
-    near = left.join(right.where("size = 0").drop("size"), "key").groupBy("h1", "w1").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("h1", "w1")
-    # Rows with the title of a candidate are candidates, too: transitivity needs them, whichever of their fields the text garbles.
-    plain = _plain(F.col("title"))
-    titled = one_row.withColumn("title_key", F.when(plain == "", F.col("w1")).otherwise(F.xxhash64(plain)))
-    near = near.join(titled.select("w1", "title_key"), "w1").select("h1", "title_key").distinct()
-    both = near.join(titled, "title_key").join(one_text, "h1").select("h1", "h2", "text", "w1", "w2", *_FIELDS)
-    scored = both.mapInPandas(_score(forms), _SCORED)
-    blocks = scored.groupBy("h1", "h2").agg(F.collect_list(F.struct("w1", "w2", "truth", "words", "year", "volume", "page", "name")).alias("pairs"))
-    matched = blocks.mapInPandas(_settle, "h1 bigint, h2 bigint, w1 bigint, w2 bigint, confidence double")
+    works = rows.select(
+        F.col("work_id").cast("bigint").alias("work_id"), *(f.alias(n) for f, n in zip(fields, ("title", "author", "journal", "year", "volume", "page"))), w1.alias("w1"), w2.alias("w2")
+    ).where(F.col("work_id").isNotNull())
+
+    held = stage(families(works))
+    n_families, n_texts = held.count(), records.count()
+    buckets = max(tasks(spark), math.ceil(max(n_families, n_texts) / BUCKET_ROWS))
+    drawn = lambda df, by, n: df.where(F.pmod(F.xxhash64(by, F.lit(5)), F.lit(1 << 20)) <= int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
+    sample = list(drawn(texts, "text", n_texts).select("text").distinct().limit(2 * SAMPLE).toPandas()["text"])
+    hot_texts = hot_keys(text_keys(sample), len(sample))
+    sample = list(drawn(held, "f", n_families).select("title").limit(2 * SAMPLE).toPandas()["title"])
+    hot_titles = hot_keys(_word_keys([_in_keys(t.split()) for t in sample]), len(sample))
+
+    # Sets of one, but for chance: what shares the 48 bits.
+    h = F.col("h1").bitwiseAND(_ID).alias("h")
+    one_text = texts.select(h, "h1", "h2", "text").groupBy("h").agg(F.collect_set(F.struct("h1", "h2", "text")).alias("s")).select("h", F.inline("s"))
+    near = candidates(one_text.select("h", "text"), held, buckets, hot_texts, hot_titles)
+    both = near.join(held, "f").join(one_text, "h")
+    # The window keeps a text's rows together and in order.
+    both = both.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("h1", "h2"))).drop("h")
+    matched = _settled(stage(both.mapInPandas(_score(forms), _BLOCK)))
     found = matched.join(works.select("work_id", "w1", "w2"), ["w1", "w2"]).select("h1", "h2", "work_id", "confidence")
     return texts.select("ref_id", "h1", "h2").join(found, ["h1", "h2"]).select("ref_id", "work_id", "confidence").distinct()
