@@ -1,11 +1,14 @@
 """Most similar vectors for every vector, by pruned proximity graphs over shards.
 
 Vectors are routed by pivots (k-means on a bounded sample). Each vector is indexed in the shard of
-its nearest pivot and queried in the shards of all pivots that are nearly as near. A shard's graph is
-built by :mod:`papergrid.llm.graph` and kept as one row of an index table; a shard larger than
-``SHARD_MOST`` is hashed into sub-shards, each of which is searched, and a shard's queries go in
+its nearest pivot and queried in the shards of the pivots that are nearly as near. A shard with more than
+``SHARD_MOST`` vectors gets pivots of its own and is divided again, and its queries are routed among its parts in the same
+way, until all shards are small: no table of pivots grows with the collection but for one of a row for each divided shard,
+and the number of shards searched for a query grows with the depth only. A shard's graph is
+built by :mod:`papergrid.llm.graph` and kept as one row of an index table; a shard's queries go in
 chunks of ``CHUNK`` against copies of its row, so no task holds more than one graph and one chunk.
-Equal vectors are indexed once and expanded to their ids at the end.
+The home shard is searched first; from the others only what is nearer than the k-th found there comes back.
+Equal vectors are indexed once and expanded to their ids at the end. :func:`exact` is the way without loss.
 
 Defined results: an id with several rows counts once (least vector); null ids, null, empty,
 wrongly sized, all-zero vectors and such with null, NaN or infinite elements are no members;
@@ -18,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papergrid.llm import graph
 from papergrid.workspace import stage, tasks
 
-#: Rows for a pivot, most pivots, most sample rows for a pivot; most rows of a graph and of a chunk of queries.
-SHARD_ROWS, PIVOTS_MOST, SAMPLE_EACH, SHARD_MOST, CHUNK = 500, 8192, 25, 4000, 4000
-#: Shards searched for a query: those whose pivot's cosine is at most MARGIN below the best one's, but no fewer and no more than these; beam width.
-MARGIN, PROBES, BEAM = 0.25, (4, 40), 48
+#: Mean rows of a shard, most pivots of one division, sample rows for a pivot; most rows of a graph and of a chunk of queries.
+SHARD_ROWS, PIVOTS_MOST, SAMPLE_EACH, SHARD_MOST, CHUNK = 1500, 2048, 25, 6000, 2000
+#: Shards searched for a query in a division: those whose pivot's cosine is at most MARGIN below the best one's, but no fewer and no more than these; beam width.
+MARGIN, PROBES, BEAM = 0.2, (3, 16), 48
 #: Most neighbours of a node and beam width while a shard's graph is built.
 DEGREE, BUILD_BEAM = 32, 64
+#: Vectors of a block, of queries and of the collection, in the exact search.
+QUERY_BLOCK, BLOCK = 1000, 4000
 
 
 def usable(df: DataFrame, ids: str, vectors: str, dim: int) -> DataFrame:
@@ -50,8 +55,8 @@ def usable_nested(df: DataFrame, ids: str, vectors: str, dim: int) -> DataFrame:
     return usable(pairs, "id", "vec", dim)
 
 
-def _unit(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1).astype(np.float64)
+def _unit(blobs: pd.Series, rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs) if rows is None else rows, -1).astype(np.float64)
     raw /= np.abs(raw).max(1, keepdims=True)
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     return unit, unit.astype(np.float32)
@@ -70,125 +75,176 @@ def _means(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
-def _distinct(vectors: DataFrame) -> DataFrame:
-    return vectors.groupBy("id").agg(F.min("vec").alias("vec"))
-
-
 def _to_blob(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({"cid": pdf["cid"], "n": pdf["n"], "vec": [np.asarray(v, np.float32).tobytes() for v in pdf["vec"]]})
 
 
-def _route(pivots: np.ndarray, margin: float, probes: tuple[int, int]):
+def _probes(vectors: pd.Series, pivots: np.ndarray, margin: float, probes: tuple[int, int]) -> list[np.ndarray]:
+    """Places of the pivots to be searched for each vector, the nearest first."""
     least, most = (min(p, len(pivots)) for p in probes)
+    sims = _unit(vectors)[1] @ pivots.T
+    top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+    best = np.take_along_axis(sims, top, 1)
+    order = np.argsort(-best, axis=1, kind="stable")
+    top, best = np.take_along_axis(top, order, 1), np.take_along_axis(best, order, 1)
+    count = np.maximum((best >= best[:, :1] - margin).sum(1), least)
+    return [t[:n] for t, n in zip(top, count)]
+
+
+_ROUTED = "cid bigint, vec binary, shard bigint, home boolean"
+
+
+def _routed(pdf: pd.DataFrame, parent: int, pivots: np.ndarray, margin: float, probes: tuple[int, int]) -> pd.DataFrame:
+    """Rows for the parts of a shard: the home of a row that is at home in the shard, and the parts to be searched for a query."""
+    found = _probes(pdf["vec"], pivots, margin, probes)
+    times = [len(f) for f in found]
+    first = np.concatenate([[0], np.cumsum(times)[:-1]])
+    home = np.zeros(sum(times), bool)
+    home[first] = True
+    out = pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), times), "vec": np.repeat(pdf["vec"].to_numpy(), times), "shard": parent * (2 * PIVOTS_MOST) + np.concatenate(found) + 1})
+    return out.assign(home=home & np.repeat(pdf["home"].to_numpy(bool), times))
+
+
+def _pivots_of(sample: pd.Series, count: int) -> np.ndarray:
+    unit = _unit(sample)[1] if len(sample) else np.zeros((1, 1), np.float32)
+    return _means(unit, max(1, min(count, len(unit))))
+
+
+def _parts(rows: int) -> int:
+    return max(1, min(PIVOTS_MOST, rows // SHARD_ROWS))
+
+
+def _divide(pdf: pd.DataFrame) -> pd.DataFrame:
+    sample = pdf.sort_values("cid")
+    pivots = _pivots_of(sample["vec"], max(2, _parts(int(pdf["rows"].iloc[0]))))
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "pivots": [pivots.tobytes()]})
 
+
+def _again(margin: float, probes: tuple[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                sims = _unit(pdf["vec"])[1] @ pivots.T
-                top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-                best = np.take_along_axis(sims, top, 1)
-                order = np.argsort(-best, axis=1, kind="stable")
-                top, best = np.take_along_axis(top, order, 1).astype(np.int32), np.take_along_axis(best, order, 1)
-                count = np.maximum((best >= best[:, :1] - margin).sum(1), least)
-                yield pd.DataFrame({"cid": pdf["cid"], "vec": pdf["vec"], "probes": [t[:n] for t, n in zip(top, count)]})
+            for shard, part in pdf.groupby("shard"):
+                pivots = np.frombuffer(part["pivots"].iloc[0], np.float32).reshape(-1, len(part["vec"].iloc[0]) // 4)
+                yield _routed(part, int(shard), pivots, margin, probes)
 
     return run
 
 
+def _shares(by: Column, share: Column) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(1 << 20)) <= (share * (1 << 20)).cast("bigint")
+
+
+def shards(classes: DataFrame, count: int, margin: float, probes: tuple[int, int], most_levels: int = 12) -> DataFrame:
+    """(cid, vec, shard, home): every vector once at home, and once more for each other shard to be searched for it."""
+    share = F.lit(min(1.0, SAMPLE_EACH * _parts(count) / max(count, 1)))
+    sample = classes.where(_shares(F.col("cid"), share)).select("cid", "vec").toPandas().sort_values("cid")
+    pivots = _pivots_of(sample["vec"], _parts(count))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield _routed(pdf.assign(home=True), 0, pivots, margin, probes)
+
+    routed = stage(classes.repartition(tasks(classes.sparkSession)).mapInPandas(first, _ROUTED))
+    done = None
+    # Distinct vectors divide at every level but where the sample has one pivot; what is then left is searched as it is.
+    for _ in range(most_levels):
+        big = routed.where("home").groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > SHARD_MOST)
+        if big.isEmpty():
+            break
+        big = stage(big)
+        parts = F.least(F.lit(PIVOTS_MOST), F.greatest(F.lit(2), F.floor(F.col("rows") / SHARD_ROWS)))
+        drawn = routed.where("home").join(big, "shard").where(_shares(F.col("cid"), SAMPLE_EACH * parts / F.col("rows")))
+        divided = stage(drawn.groupBy("shard").applyInPandas(_divide, "shard bigint, pivots binary"))
+        small = routed.join(big, "shard", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        routed = stage(routed.join(divided, "shard").mapInPandas(_again(margin, probes), _ROUTED))
+    return routed if done is None else done.unionByName(routed)
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("cid")
     near, entries = graph.build(_unit(pdf["vec"])[1], DEGREE, BUILD_BEAM)
     return pd.DataFrame({
-        "shard": [pdf["shard"].iloc[0]], "sub": [pdf["sub"].iloc[0]], "ids": [pdf["cid"].to_numpy(np.int64).tobytes()],
+        "shard": [pdf["shard"].iloc[0]], "ids": [pdf["cid"].to_numpy(np.int64).tobytes()],
         "vecs": [b"".join(pdf["vec"])], "near": [near.tobytes()], "entries": [entries.tobytes()],
     })
 
 
 def _search(k: int, beam: int):
+    """The k nearest of the shard's vectors that the beam meets, by their exact cosines; with a column least only those that reach it."""
+
     def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(index):
-            return pd.DataFrame({"cid": pd.Series(dtype=np.int64), "found": pd.Series(dtype=object)})
+            return pd.DataFrame({"cid": pd.Series(dtype=np.int64), "sims": pd.Series(dtype=object), "others": pd.Series(dtype=object)})
         row = index.iloc[0]
         ids = np.frombuffer(row["ids"], np.int64)
-        exact, unit = _unit(pd.Series([row["vecs"][i : i + len(row["vecs"]) // len(ids)] for i in range(0, len(row["vecs"]), len(row["vecs"]) // len(ids))]))
+        width = len(row["vecs"]) // len(ids)
+        exact, unit = _unit(pd.Series([row["vecs"][i : i + width] for i in range(0, len(row["vecs"]), width)]))
         near = np.frombuffer(row["near"], np.int32).reshape(len(ids), -1)
         own, query = _unit(queries["vec"])
         at, _ = graph.search(unit, near, np.frombuffer(row["entries"], np.int32), query, beam)
-        at = at[:, : k + 6]
         sims = np.einsum("qd,qcd->qc", own, exact[np.maximum(at, 0)])
         cids = queries["cid"].to_numpy()
         other = ids[np.maximum(at, 0)]
-        bad = (at < 0) | (other == cids[:, None])
-        out = []
-        for q in range(len(cids)):
-            ok = ~bad[q]
-            s, o = sims[q][ok], other[q][ok]
-            top = np.lexsort((o, -s))[:k]
-            out.append([{"neg": -float(s[i]), "id": int(o[i])} for i in top])
-        return pd.DataFrame({"cid": cids, "found": out})
+        sims[(at < 0) | (other == cids[:, None])] = -np.inf
+        order = np.lexsort((other, -sims), axis=1)[:, :k]
+        sims, other = np.take_along_axis(sims, order, 1), np.take_along_axis(other, order, 1)
+        least = queries["least"].to_numpy()[:, None] if "least" in queries else -2.0
+        count = (sims >= least).sum(1)
+        keep = np.flatnonzero(count)
+        return pd.DataFrame({"cid": cids[keep], "sims": [s[:n] for s, n in zip(sims[keep].tolist(), count[keep])], "others": [o[:n] for o, n in zip(other[keep].tolist(), count[keep])]})
 
     return run
 
 
+_FOUND = "cid bigint, sims array<double>, others array<bigint>"
+
+
 def nearest(vectors: DataFrame, k: int = 10, margin: float = MARGIN, probes: tuple[int, int] = PROBES, beam: int = BEAM) -> DataFrame:
     """(id, other, similarity, place): for each id of vectors (id, vec) its k most similar others, places 1 to k."""
     spark = vectors.sparkSession
-    classes = stage(
-        _distinct(vectors).groupBy("vec").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
-        .mapInPandas(_to_blob, "cid bigint, n bigint, vec binary")
-    )
+    members, classes = _classes(vectors)
     count = classes.count()
-    n_pivots = max(1, min(PIVOTS_MOST, count // SHARD_ROWS))
-    share = min(1.0, SAMPLE_EACH * n_pivots / max(count, 1))
-    sample = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("cid", "vec").toPandas().sort_values("cid")
-    unit = _unit(sample["vec"])[1] if len(sample) else np.zeros((0, 1), np.float32)
-    n_pivots = min(n_pivots, max(1, len(unit)))
-    pivots = _means(unit, n_pivots) if len(unit) else np.zeros((1, 1), np.float32)
-    routed = stage(classes.repartition(tasks(spark)).mapInPandas(_route(pivots, margin, probes), "cid bigint, vec binary, probes array<int>"))
-
-    # One row for each pivot, so both tables are bounded by PIVOTS_MOST.
-    indexed = routed.groupBy(F.col("probes")[0].alias("shard")).agg(F.count("*").alias("rows"))
-    asked = routed.select(F.explode("probes").alias("shard")).groupBy("shard").agg(F.count("*").alias("queries"))
-    shards = spark.createDataFrame(
-        indexed.join(asked, "shard").select(
-            "shard", F.ceil(F.col("rows") / SHARD_MOST).cast("int").alias("subs"), F.ceil(F.col("queries") / CHUNK).cast("int").alias("chunks")
-        ).toPandas().to_dict("records"), "shard int, subs int, chunks int",
-    )
-    groups = max(1, n_pivots)
-    parts = min(4096, max(tasks(spark), groups))
-
-    home = routed.select("cid", "vec", F.col("probes")[0].alias("shard")).join(F.broadcast(shards), "shard")
-    home = home.select("cid", "vec", "shard", F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int").alias("sub"))
+    routed = shards(classes, count, margin, probes)
+    parts = min(4096, max(tasks(spark), count // SHARD_ROWS))
     index = stage(
-        home.repartition(parts, "shard", "sub").groupBy("shard", "sub")
-        .applyInPandas(_build, "shard int, sub int, ids binary, vecs binary, near binary, entries binary")
-    )
-    spread = lambda df, by: df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col(by) - 1)))
-    copies = spread(index.join(F.broadcast(shards), "shard"), "chunks").drop("subs", "chunks")
-    queries = (
-        routed.select("cid", "vec", F.explode("probes").alias("shard")).join(F.broadcast(shards), "shard")
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        .select("cid", "vec", "shard", "sub", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"))
-    )
-    keys = ("shard", "sub", "chunk")
-    found = (
-        queries.repartition(parts, *keys).groupBy(*keys)
-        .cogroup(copies.repartition(parts, *keys).groupBy(*keys))
-        .applyInPandas(_search(k, beam), "cid bigint, found array<struct<neg: double, id: bigint>>")
+        routed.where("home").select("cid", "vec", "shard").repartition(parts, "shard").groupBy("shard")
+        .applyInPandas(_build, "shard bigint, ids binary, vecs binary, near binary, entries binary")
     )
-    best = stage(found.groupBy("cid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found")))
-    return _expand(_distinct(vectors), classes, best, k)
 
+    def asked(queries: DataFrame) -> DataFrame:
+        chunks = queries.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+        keys = ("shard", "chunk")
+        rows = queries.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks")).cast("int")).drop("chunks")
+        copies = index.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        return rows.repartition(parts, *keys).groupBy(*keys).cogroup(copies.repartition(parts, *keys).groupBy(*keys)).applyInPandas(_search(k, beam), _FOUND)
 
-def _expand(vectors: DataFrame, classes: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    at_home = stage(asked(routed.where("home").select("cid", "vec", "shard")))
+    least = at_home.where(F.size("sims") >= k).select("cid", F.element_at("sims", k).alias("least"))
+    abroad = routed.where(~F.col("home")).select("cid", "vec", "shard").join(least, "cid", "left").na.fill({"least": -2.0})
+    lists = at_home.unionByName(asked(abroad))
+    found = F.transform(F.arrays_zip("sims", "others"), lambda x: F.struct((-x["sims"]).alias("neg"), x["others"].alias("id")))
+    best = stage(lists.select("cid", found.alias("found")).groupBy("cid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found")))
+    return _expand(members, classes, best, k)
+
+
+def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged (id, cid) and (cid, n, vec): the ids of each distinct vector, under the least of them."""
+    distinct = vectors.groupBy("id").agg(F.min("vec").alias("vec"))
+    classes = stage(distinct.groupBy("vec").agg(F.min("id").alias("cid"), F.count("*").alias("n")).select("cid", "n", "vec"))
+    many = classes.where("n > 1").select("vec", "cid")
+    members = stage(distinct.join(many, "vec").select("id", "cid").unionByName(classes.where("n = 1").select(F.col("cid").alias("id"), "cid")))
+    return members, classes.mapInPandas(_to_blob, "cid bigint, n bigint, vec binary")
+
+
+def _expand(members: DataFrame, classes: DataFrame, best: DataFrame, k: int) -> DataFrame:
     """From classes of equal vectors to ids. Only the k + 1 smallest ids of a class can be anyone's neighbours."""
     from pyspark.sql import Window
 
     many = classes.where("n > 1").select("cid")
-    first = vectors.groupBy("vec").agg(F.min("id").alias("cid"), F.count("*").alias("n")).where("n > 1").select("vec", "cid")
-    members = stage(vectors.join(first, "vec").select("id", "cid"))
-    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("r") <= k + 1)
+    ranked = members.join(many, "cid").withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("r") <= k + 1)
     smallest = ranked.groupBy("cid").agg(F.collect_list("id").alias("ids"))
     pairs = best.select("cid", F.explode("found").alias("f")).select("cid", F.col("f.neg").alias("neg"), F.col("f.id").alias("other"))
     pairs = pairs.unionByName(many.select("cid", F.lit(-1.0).alias("neg"), F.col("cid").alias("other")))
@@ -196,14 +252,50 @@ def _expand(vectors: DataFrame, classes: DataFrame, best: DataFrame, k: int) ->
         "cid", "neg", F.explode(F.coalesce("ids", F.array("other"))).alias("id")
     )
     lists = ids.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("neg", "id"))), 1, k + 1).alias("found"))
-    owners = members.unionByName(classes.where("n = 1").select(F.col("cid").alias("id"), "cid"))
     return (
-        owners.join(lists, "cid")
+        members.join(lists, "cid")
         .select("id", F.posexplode(F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k)).alias("p", "f"))
         .select("id", F.col("f.id").alias("other"), (-F.col("f.neg")).alias("similarity"), (F.col("p") + 1).alias("place"))
     )
 
 
+def _blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """(name, ids, vecs): blocks of about so many vectors, numbered."""
+    count = max(1, -(-df.count() // rows))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        vecs = b"".join(np.asarray(v, np.float32).tobytes() for v in pdf["vec"])
+        return pd.DataFrame({name: pdf[name].iloc[:1], f"{name}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{name}_vecs": [vecs]})
+
+    numbered = df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+    return stage(numbered.groupBy(name).applyInPandas(pack, f"{name} int, {name}_ids binary, {name}_vecs binary"))
+
+
+def _compared(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for q_ids, q_vecs, c_ids, c_vecs in zip(pdf["q_ids"], pdf["q_vecs"], pdf["c_ids"], pdf["c_vecs"]):
+                a, b = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
+                sims = _unit(pd.Series([q_vecs]).map(bytes), len(a))[0] @ _unit(pd.Series([c_vecs]).map(bytes), len(b))[0].T
+                sims[a[:, None] == b[None]] = -np.inf
+                order = np.lexsort((np.broadcast_to(b, sims.shape), -sims), axis=1)[:, :k]
+                found = np.take_along_axis(sims, order, 1)
+                yield pd.DataFrame({"id": a, "found": [[{"neg": -s, "id": int(i)} for s, i in zip(r, b[o]) if np.isfinite(s)] for r, o in zip(found, order)]})
+
+    return run
+
+
+def exact(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
+    """(id, other, similarity, place) of the rows of vectors that queries selects, against all rows, without loss: blocks of queries meet blocks of the collection."""
+    distinct = stage(vectors.groupBy("id").agg(F.min("vec").alias("vec")))
+    asked, held = _blocks(distinct.where(queries), QUERY_BLOCK, "q"), _blocks(distinct, BLOCK, "c")
+    n = max(1, -(-distinct.where(queries).count() // QUERY_BLOCK))
+    pairs = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(tasks(vectors.sparkSession), "c", "q").join(asked, "q")
+    found = pairs.select("q_ids", "q_vecs", "c_ids", "c_vecs").mapInPandas(_compared(k), "id bigint, found array<struct<neg: double, id: bigint>>")
+    best = found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    return best.select("id", F.posexplode("found").alias("p", "f")).select("id", F.col("f.id").alias("other"), (-F.col("f.neg")).alias("similarity"), (F.col("p") + 1).alias("place"))
+
+
 def neighbour_pairs(vectors: DataFrame, k: int = 10) -> DataFrame:
     """(vec_a, vec_b), vec_a < vec_b, once for each pair of which one is among the other's k most similar."""
     n = nearest(vectors, k)

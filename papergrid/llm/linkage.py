@@ -41,7 +41,7 @@ LIGHT = frozenset("a an and as at by does during for from in into is its of on o
 #: Words that say that a text is about another publication.
 MARKERS = ("editorial", "erratum", "corrigendum", "correction", "retraction", "reply", "response", "comments", "results", "update")
 #: Places of the words of a title key, from its first word; number of a family's title keys.
-PATTERNS, RAREST = ((0, 1, 2), (0, 1, 3)), 5
+PATTERNS, RAREST = ((0, 1, 2), (0, 1, 3)), 3
 #: Rows of either table for a bucket of keys; most rows of a family's chunk; texts of a solving group.
 BUCKET_ROWS, FAMILY_MOST, GROUP_TEXTS = 10_000, 64, 2_000
 #: Texts and families in the samples that show which keys are hot, and the share of a sample from which on they are. Hot keys of texts are spread over all buckets.
@@ -77,10 +77,21 @@ def fold(text: str) -> str:
     return text.lower()
 
 
+_forms: dict[str, str] = {}
+
+
 def words(text: str) -> list[str]:
     """Words in one form for both sides: misread 1 and 0 inside words are l and o."""
-    out = [w for w in _SPLIT.split(fold(text)) if w]
-    return [w if w.isalpha() or w.isdigit() else w.replace("1", "l").replace("0", "o") for w in out]
+    raw = _SPLIT.split(fold(text))
+    try:
+        out = [_forms[w] for w in raw]
+    except KeyError:
+        if len(_forms) > 500_000:
+            _forms.clear()
+        for w in raw:
+            _forms[w] = w if w.isalpha() or w.isdigit() else w.replace("1", "l").replace("0", "o")
+        out = [_forms[w] for w in raw]
+    return [w for w in out if w]
 
 
 _known: dict[str, int] = {}
@@ -97,6 +108,21 @@ def _hash(word: str) -> int:
     return h
 
 
+_in_key: dict[str, int] = {}
+
+
+def _in_keys(tokens: list[str]) -> list[int]:
+    """Hashes of the words that stand in title keys."""
+    try:
+        return [h for t in tokens if (h := _in_key[t])]
+    except KeyError:
+        if len(_in_key) > 500_000:
+            _in_key.clear()
+        for t in tokens:
+            _in_key[t] = _hash(t) if len(t) > 2 and t not in LIGHT and not t.isdigit() else 0
+        return [h for t in tokens if (h := _in_key[t])]
+
+
 def _mix(*parts: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit keys of parts in order."""
     h = np.zeros(len(parts[0]), np.uint64)
@@ -133,10 +159,6 @@ def _shown(text: str) -> tuple[list[str], list[str], list[str]]:
 _NO_YEAR, _ANY_YEAR = 1, 2
 
 
-def _in_keys(tokens: list[str]) -> list[int]:
-    return [_hash(t) for t in tokens if len(t) > 2 and t not in LIGHT and not t.isdigit()]
-
-
 def _word_keys(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(place of the item, key), each once, of the words in PATTERNS."""
     flat, owner = np.array([w for ws in runs for w in ws], np.uint64), np.repeat(np.arange(len(runs)), [len(w) for w in runs])
@@ -240,7 +262,18 @@ def title_truth(shown: tuple, own: list[str]) -> tuple:
     """(cover, titled, missing words stand between, the title begins the text): how a title stands in a text."""
     tokens, years, numbers, squashed, have, marks, cut, shows_title, ends = shown
     weight = [0.1 if w in LIGHT else 1.0 for w in own]
-    hit = [w in have if w in LIGHT else _found(w, have, squashed, ends) for w in own]
+    hit = [w in have or (len(w) > 3 and w in squashed and w not in LIGHT) for w in own]
+    # Misspelt words are looked for as long as enough of the title can still be there.
+    missing = [i for i, h in enumerate(hit) if not h and weight[i] > 0.5]
+    most = sum(weight)
+    room, left = max(0.5 * most, 3.0) - (most - len(missing)), len(missing)
+    for i in missing:
+        if room > left and not cut:
+            break
+        left -= 1
+        if _close(own[i], ends):
+            hit[i] = True
+            room -= 1
     if cut and any(hit):
         last = len(hit) - hit[::-1].index(True)
         weight, hit = weight[:last], hit[:last]
@@ -466,12 +499,18 @@ def solve(sizes: np.ndarray, truth: np.ndarray, ids: np.ndarray, fields: tuple[n
     return _least(p, **options)[: p["n"]]
 
 
-def row_fields(title: list[str], marks: set[str], author: str, journal: str, year: str, volume: str, page: str, forms: dict[str, tuple[str, ...]]) -> dict:
-    squashed = "".join(words(journal))
-    return {
-        "known": set(title), "marks": marks, "name": _surname(author), "year": year.strip(), "volume": volume.strip(), "page": page.strip(),
-        "journals": forms.get(squashed, (squashed,) if squashed else ()),
-    }
+_ROW, _FIELD = "\x1e", "\x1f"
+_ROW_COLUMNS = ("w1", "w2", "author", "journal", "year", "volume", "page")
+
+
+def packed_row(w1: int, w2: int, author: str, journal: str, year: str, volume: str, page: str) -> str:
+    """A row as text: its hashes, the first author's name, the journal's squashed name, year, volume and page."""
+    rest = (f.translate({0x1E: " ", 0x1F: " "}).strip() for f in (year, volume, page))
+    return _FIELD.join((str(w1), str(w2), _surname(author), "".join(words(journal)), *rest))
+
+
+def row_fields(known: set[str], marks: set[str], name: str, journal: str, year: str, volume: str, page: str, forms: dict[str, tuple[str, ...]]) -> dict:
+    return {"known": known, "marks": marks, "name": name, "year": year, "volume": volume, "page": page, "journals": forms.get(journal, (journal,) if journal else ())}
 
 
 def journal_forms(full: list[str | None], short: list[str | None]) -> dict[str, tuple[str, ...]]:
@@ -524,16 +563,28 @@ def _salted(key: np.ndarray, bucket: np.ndarray, salt: np.ndarray, hot: np.ndarr
 _TEXT_BUCKETS, _SIDES, _COUNTS = "bucket int, side int, data binary", (0, 1), "bucket int, source int, data binary"
 
 
-def _key_texts(buckets: int, hot: np.ndarray):
+def _key_texts(buckets: int, hot: np.ndarray, needless: np.ndarray):
+    """Keys of texts but for those known to stand in no title."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             item, key = text_keys(list(pdf["text"]))
+            asked = ~np.isin(key, needless)
+            item, key = item[asked], key[asked]
             ids = pdf["h"].to_numpy(np.int64)[item]
             yield _packed(_salted(key, _bucket(key, buckets), ids, hot, buckets), _entries(key, ids), side=0)
 
     return run
 
 
+def _those_of(hot: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": np.intersect1d(_word_keys([_in_keys(t.split()) for t in pdf["title"]])[1], hot).view(np.int64)})
+
+    return run
+
+
 def _key_titles(buckets: int, hot: np.ndarray):
     """Title keys of families to be counted; source -1 and the family's bucket where a key is hot and not worth it."""
 
@@ -591,7 +642,7 @@ def _to_join(e: np.ndarray, ids: np.ndarray, bucket: np.ndarray, buckets: int, h
 def _key_numbers(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, (r["year"] or "").strip(), (r["volume"] or "").strip(), (r["page"] or "").strip()) for i, rs in enumerate(pdf["rows"]) for r in rs]
+            rows = [(i, *r.split(_FIELD)[4:]) for i, rs in enumerate(pdf["rows"]) for r in rs.split(_ROW)]
             item, key = row_number_keys(rows)
             ids = pdf["f"].to_numpy(np.int64)[item]
             yield _to_join(_entries(key, ids), ids, _bucket(key, buckets), buckets, hot)
@@ -624,7 +675,8 @@ def _plain(title: Column) -> Column:
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.assign(title=[" ".join(words(t)) for t in pdf["title"]])
+        rows = [_ROW.join(sorted(packed_row(*(r[c] for c in _ROW_COLUMNS)) for r in rs)) for rs in pdf["rows"]]
+        yield pdf.assign(title=[" ".join(words(t)) for t in pdf["title"]], rows=rows)
 
 
 _BLOCK = "home bigint, h1 bigint, h2 bigint, w1 array<bigint>, w2 array<bigint>, truth array<float>, words array<int>, year array<int>, volume array<int>, page array<int>, name array<int>"
@@ -676,17 +728,18 @@ def _score(forms: dict[str, tuple[str, ...]]):
                     titles.clear()
                 if title not in titles:
                     own = title.split()
-                    titles[title] = own, _markers(own), _number(" ".join(w for w in own if w not in LIGHT))
-                own, marks, number = titles[title]
+                    titles[title] = own, set(own), _markers(own), _number(" ".join(w for w in own if w not in LIGHT))
+                own, known, marks, number = titles[title]
                 stands = title_truth(shown, own)
-                if not stands[1] and not any((r["page"] or " ").strip() in shown[2] for r in rows):
-                    continue
-                for r in rows:
-                    row = row_fields(own, marks, r["author"] or "", r["journal"] or "", r["year"] or "", r["volume"] or "", r["page"] or "", forms)
+                for r in rows.split(_ROW):
+                    w1, w2, *fields = r.split(_FIELD)
+                    if not stands[1] and fields[-1] not in shown[2]:
+                        continue
+                    row = row_fields(known, marks, *fields, forms)
                     truth = truths(shown, stands, row)
                     if truth and max(truth[:2]) > 0:
                         year = int(row["year"]) if row["year"].isdecimal() and len(row["year"]) < 9 else _number(row["year"])
-                        found.append((f, r["w1"], r["w2"], truth, number, year, _number(row["volume"]), _number(row["page"]), _number(row["name"])))
+                        found.append((f, int(w1), int(w2), truth, number, year, _number(row["volume"]), _number(row["page"]), _number(row["name"])))
             if out:
                 yield pd.DataFrame(out, columns=_COLUMNS)
                 out = []
@@ -696,43 +749,68 @@ def _score(forms: dict[str, tuple[str, ...]]):
     return run
 
 
+def _single(truth: np.ndarray) -> np.ndarray:
+    """Values of rows that are alone in their text: where the slope of their own rules changes its sign."""
+    down, up = truth[:, : len(SUPPORT)], 1 - truth[:, len(SUPPORT) :]
+    w_down = np.array([WEIGHTS[name] for name in SUPPORT])
+    w_up = np.where(truth[:, len(SUPPORT) :] > 0, np.array([WEIGHTS[name] for name in AGAINST]), 0.0)
+    low, high = np.zeros(len(truth)), np.ones(len(truth))
+    for _ in range(30):
+        x = (low + high) / 2
+        slope = WEIGHTS["prior"] + CONVEX * x + (w_up * (x[:, None] > up)).sum(1) - (w_down * (x[:, None] < down)).sum(1)
+        low, high = np.where(slope < 0, x, low), np.where(slope < 0, high, x)
+    return (low + high) / 2
+
+
 _SETTLED = "bucket int, chunk int, pid bigint, agreed double, h1 bigint, h2 bigint, w1 bigint, w2 bigint, confidence double"
 
 
 def _settle(pdf: pd.DataFrame, state: pd.DataFrame | None = None) -> pd.DataFrame:
     """Values of the rows of a group of texts. Without a state: matches and all identities. With one (pid, agreed, dual, copies of shared identities):
-    only the texts that these bear on, matches or not, and the shared identities."""
+    all rows, and the shared identities, their copies drawn to what is agreed less their duals."""
     sizes = np.array([len(x) for x in pdf["w1"]], np.int64)
     flat = lambda name, kind: np.concatenate([np.asarray(x, kind) for x in pdf[name]]) if len(pdf) else np.zeros(0, kind)
     w1, w2, truth = flat("w1", np.int64), flat("w2", np.int64), flat("truth", np.float64).reshape(-1, len(SUPPORT) + len(AGAINST))
-    fields = tuple(flat(name, np.int32) for name in ("words", "year", "volume", "page", "name"))
-    copies = dict(zip(state["pid"].tolist(), state["copies"].tolist())) if state is not None else None
-    p = problem(sizes, truth, w1, fields, copies)
-    n, pids, pull = p["n"], p["pids"], None
-    live = np.ones(p["size"], bool)
+    text, value = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(w1))
+    alone = sizes[text] == 1
+    value[alone] = _single(truth[alone])
+    rest = ~alone
+    p = problem(sizes[sizes > 1], truth[rest], w1[rest], _fields(pdf, rest), dict(zip(state["pid"], state["copies"])) if state is not None else None)
+    pull, at = None, np.zeros(0, int)
     if state is not None:
-        at = n + np.searchsorted(pids, state["pid"].to_numpy())
-        strength, target = np.zeros(len(live)), np.zeros(len(live))
+        at = p["n"] + np.searchsorted(p["pids"], state["pid"].to_numpy())
+        strength, target = np.zeros(p["size"]), np.zeros(p["size"])
         strength[at], target[at] = DRAW, state["agreed"].to_numpy() - state["dual"].to_numpy()
         pull = strength, target
-        live = np.isin(p["block"], p["block"][at])
-        terms, kept = live[p["at"]], np.zeros(len(p["bound"]), bool)
-        kept[p["rule"][terms]] = True
-        p |= {"rule": (np.cumsum(kept) - 1)[p["rule"][terms]], "at": (np.cumsum(live) - 1)[p["at"][terms]], "coef": p["coef"][terms]}
-        p |= {"bound": p["bound"][kept], "weight": p["weight"][kept], "block": p["block"][live], "size": int(live.sum())}
-        pull = strength[live], target[live]
-    value = np.zeros(len(live))
-    value[live] = _least(p, pull)
-    x = np.round(value[:n], 2)
-    give = np.flatnonzero(live[:n] if state is not None else x >= MATCH)
-    out = pd.DataFrame({"h1": pdf["h1"].to_numpy(np.int64)[p["text"][give]], "h2": pdf["h2"].to_numpy(np.int64)[p["text"][give]], "w1": w1[give], "w2": w2[give], "confidence": x[give]})
-    shown = np.arange(len(pids)) if state is None else at - n
-    ids = pd.DataFrame({"pid": pids[shown], "agreed": value[n + shown]})
+    found = _least(p, pull)
+    value[rest] = found[: p["n"]]
+    x = np.round(value, 2)
+    give = np.flatnonzero(x >= MATCH) if state is None else np.arange(len(x))
+    out = pd.DataFrame({"h1": pdf["h1"].to_numpy(np.int64)[text[give]], "h2": pdf["h2"].to_numpy(np.int64)[text[give]], "w1": w1[give], "w2": w2[give], "confidence": x[give]})
+    shown = p["n"] + np.arange(len(p["pids"])) if state is None else at
+    ids = pd.DataFrame({"pid": p["pids"][shown - p["n"]], "agreed": found[shown]})
     whole = lambda df: df.astype({c: "Int64" for c in df.columns if c not in ("agreed", "confidence")})
     out = pd.concat([whole(out), whole(ids)], ignore_index=True)
     return out.assign(bucket=pdf["bucket"].iloc[0], chunk=pdf["chunk"].iloc[0])[[c.split()[0] for c in _SETTLED.split(", ")]]
 
 
+def _fields(pdf: pd.DataFrame, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate([np.asarray(x, np.int32) for x in pdf[name]])[rows] for name in ("words", "year", "volume", "page", "name"))
+
+
+def _touched(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a group that shared identities bear on, directly or by others."""
+    if not len(pdf) or not len(shared):
+        return pdf.iloc[:0]
+    sizes = np.array([len(x) for x in pdf["w1"]], np.int64)
+    w1 = np.concatenate([np.asarray(x, np.int64) for x in pdf["w1"]])
+    truth = np.concatenate([np.asarray(x, np.float64) for x in pdf["truth"]]).reshape(len(w1), -1)
+    p = problem(sizes, truth, w1, _fields(pdf, np.ones(len(w1), bool)))
+    blocks = p["block"][p["n"] + np.searchsorted(p["pids"], shared["pid"].to_numpy())]
+    first = np.cumsum(sizes) - sizes
+    return pdf[np.isin(p["block"][first], blocks)]
+
+
 def _settled(blocks: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(h1, h2, w1, w2, confidence): the matches of the staged blocks. Identities that stand in several groups are agreed on by consensus: each group minimises
     its own problem with its copies drawn to the mean less their duals, until copies and mean, and mean and last mean, lie within AGREED."""
@@ -741,7 +819,6 @@ def _settled(blocks: DataFrame, most_rounds: int = 50) -> DataFrame:
     load = blocks.groupBy(bucket.alias("bucket")).count().where(F.col("count") > 2 * GROUP_TEXTS)
     chunks = F.coalesce(F.ceil(F.col("count") / GROUP_TEXTS), F.lit(1))
     grouped = blocks.withColumn("bucket", bucket).join(load, "bucket", "left").withColumn("chunk", F.pmod(F.col("h1"), chunks).cast("int")).drop("count", "home")
-    names = [c.split()[0] for c in _SETTLED.split(", ")]
     done = stage(grouped.groupBy("bucket", "chunk").applyInPandas(lambda pdf: _settle(pdf), _SETTLED))
     group, match = ["bucket", "chunk"], ["h1", "h2", "w1", "w2", "confidence"]
     shared = done.where("pid IS NOT NULL").groupBy("pid").agg(F.avg("agreed").alias("mean"), F.count("*").alias("copies")).where("copies > 1")
@@ -749,8 +826,9 @@ def _settled(blocks: DataFrame, most_rounds: int = 50) -> DataFrame:
     last = done.where("pid IS NULL").select(*match)
     if state.isEmpty():
         return last
+    touched = grouped.where(F.size("w1") > 1).groupBy(*group).cogroup(state.groupBy(*group)).applyInPandas(lambda pdf, ids: _touched(pdf, ids), grouped.schema)
+    active = stage(touched)
     state = state.select(*group, "pid", "copies", F.col("mean").alias("z"), (F.col("agreed") - F.col("mean")).alias("dual"))
-    active = grouped.join(state.select(*group).distinct(), group, "left_semi")
     for _ in range(most_rounds):
         now = state.select(*group, "pid", F.col("z").alias("agreed"), "dual", "copies")
         step = stage(active.groupBy(*group).cogroup(now.groupBy(*group)).applyInPandas(_settle, _SETTLED))
@@ -766,26 +844,30 @@ def _settled(blocks: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def families(works: DataFrame) -> DataFrame:
-    """(f, title, rows): the distinct rows of each title, in chunks of about FAMILY_MOST by hash; title as words with blanks. A row without a title is its own."""
+    """(f, title, rows): the distinct rows of each title, in chunks of about FAMILY_MOST by hash; title as words with blanks, rows as packed_row() gives them.
+    A row without a title is its own."""
     plain = _plain(F.col("title"))
     keyed = works.drop("work_id").withColumn("t", F.when(plain == "", F.col("w1")).otherwise(F.xxhash64(plain)))
     many = keyed.groupBy("t").agg(F.approx_count_distinct("w1").alias("n")).where(F.col("n") > FAMILY_MOST)
     chunk = F.pmod(F.col("w1"), F.coalesce(F.ceil(F.col("n") / FAMILY_MOST), F.lit(1)))
     f = F.xxhash64("t", chunk).bitwiseAND(_ID).alias("f")
-    rows = keyed.join(many, "t", "left").select(f, "title", F.struct("w1", "w2", "author", "journal", "year", "volume", "page").alias("row"))
+    rows = keyed.join(many, "t", "left").select(f, "title", F.struct(*_ROW_COLUMNS).alias("row"))
     return rows.groupBy("f").agg(F.min("title").alias("title"), F.collect_set("row").alias("rows")).mapInPandas(
-        _tokens, "f bigint, title string, rows array<struct<w1: bigint, w2: bigint, author: string, journal: string, year: string, volume: string, page: string>>"
+        _tokens, "f bigint, title string, rows string"
     )
 
 
-def candidates(texts: DataFrame, held: DataFrame, buckets: int, hot_texts: np.ndarray, hot_titles: np.ndarray) -> DataFrame:
+def candidates(texts: DataFrame, held: DataFrame, buckets: int, hot_words: np.ndarray, hot_numbers: np.ndarray, hot_titles: np.ndarray) -> DataFrame:
     """(h, f), each once: texts (h, text) and families (f, title, rows) that share a key."""
     by_bucket = lambda df, run, schema: df.groupBy("bucket").applyInPandas(run, schema)
+    # At most as many rows as there are hot keys.
+    there = np.array([r.key for r in held.select("title").mapInPandas(_those_of(hot_words), "key bigint").distinct().collect()], np.int64).view(np.uint64)
+    hot_texts = np.concatenate([there, hot_numbers])
     titles = held.select("f", "title").mapInPandas(_key_titles(buckets, hot_titles), _COUNTS)
     counted = by_bucket(titles.where("source < 0"), lambda pdf: _count(pdf, buckets), _COUNTS)
     chosen = by_bucket(counted.unionByName(titles.where("source >= 0")), lambda pdf: _choose(pdf, buckets, hot_texts), _TEXT_BUCKETS)
     numbers = held.select("f", "rows").mapInPandas(_key_numbers(buckets, hot_texts), _TEXT_BUCKETS)
-    asked = texts.mapInPandas(_key_texts(buckets, hot_texts), _TEXT_BUCKETS)
+    asked = texts.mapInPandas(_key_texts(buckets, hot_texts, np.setdiff1d(hot_words, there)), _TEXT_BUCKETS)
     return by_bucket(asked.unionByName(chosen).unionByName(numbers), _meet, "h bigint, f bigint").distinct()
 
 
@@ -816,14 +898,15 @@ def link(records: DataFrame, rows: DataFrame, journals: DataFrame) -> DataFrame:
     buckets = max(tasks(spark), math.ceil(max(n_families, n_texts) / BUCKET_ROWS))
     drawn = lambda df, by, n: df.where(F.pmod(F.xxhash64(by, F.lit(5)), F.lit(1 << 20)) <= int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
     sample = list(drawn(texts, "text", n_texts).select("text").distinct().limit(2 * SAMPLE).toPandas()["text"])
-    hot_texts = hot_keys(text_keys(sample), len(sample))
+    hot_words = hot_keys(_word_keys([_in_keys(_shown(t)[0]) for t in sample]), len(sample))
+    hot_numbers = np.setdiff1d(hot_keys(text_keys(sample), len(sample)), hot_words)
     sample = list(drawn(held, "f", n_families).select("title").limit(2 * SAMPLE).toPandas()["title"])
     hot_titles = hot_keys(_word_keys([_in_keys(t.split()) for t in sample]), len(sample))
 
     # Sets of one, but for chance: what shares the 48 bits.
     h = F.col("h1").bitwiseAND(_ID).alias("h")
     one_text = texts.select(h, "h1", "h2", "text").groupBy("h").agg(F.collect_set(F.struct("h1", "h2", "text")).alias("s")).select("h", F.inline("s"))
-    near = candidates(one_text.select("h", "text"), held, buckets, hot_texts, hot_titles)
+    near = candidates(one_text.select("h", "text"), held, buckets, hot_words, hot_numbers, hot_titles)
     both = near.join(held, "f").join(one_text, "h")
     # The window keeps a text's rows together and in order.
     both = both.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("h1", "h2"))).drop("h")

@@ -43,6 +43,12 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.literature_pieces(_table(spark, d, "articles"), _table(spark, d, "reference_records"))
 
 
+def p3_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for the pieces of every text."""
+    of = lambda k: F.when(F.col("src_table") == "articles", splitting.CONTENT[k]).otherwise(splitting.ABSTRACT[k])
+    return splitting.checked(p3_pieces(spark, d), ["src_table", "row_id", "section_no", "subsection_no"], of(0), of(1))
+
+
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.pairs(cooccurrence.baskets(_table(spark, d, "articles"), "citekey", "entrez_mesh_terms", "entrez_keywords"))
 
@@ -85,7 +91,7 @@ def p9_language_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report, p9_found, p9_structure, p9_counts, p9_language_counts)
+    f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p3_checked, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report, p9_found, p9_structure, p9_counts, p9_language_counts)
 }
 
 _COMMON = ", ".join(f"'{w}'" for w in sorted(set(quality.FUNCTION_WORDS["en"].split())))
@@ -116,6 +122,15 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'articles', article_id, CAST(s AS BIGINT), CAST(u AS BIGINT) FROM u WHERE length(sub.content) > 2000
         UNION ALL SELECT 'reference_records', ref_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM reference_records WHERE length(pubmed.abstract) > 1000
     """,
+    "p3_checked": """
+        WITH s AS (SELECT article_id, unnest(sections) AS sec, generate_subscripts(sections, 1) AS s FROM articles),
+        u AS (SELECT article_id, s, unnest(sec.subsections) AS sub, generate_subscripts(sec.subsections, 1) AS u FROM s WHERE sec IS NOT NULL),
+        t AS (SELECT 'articles' AS src_table, article_id AS row_id, CAST(s AS BIGINT) AS section_no, CAST(0 AS BIGINT) AS subsection_no, sec.content AS t
+        FROM s WHERE length(sec.content) > 2000
+        UNION ALL SELECT 'articles', article_id, CAST(s AS BIGINT), CAST(u AS BIGINT), sub.content FROM u WHERE length(sub.content) > 2000
+        UNION ALL SELECT 'reference_records', ref_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), pubmed.abstract FROM reference_records WHERE length(pubmed.abstract) > 1000)
+        SELECT src_table, row_id, section_no, subsection_no, md5(t) AS text_md5, true AS n_pieces_ok, true AS within_limit, true AS overlap_ok FROM t
+    """,
     "p9_counts": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT doc_id, t, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w,

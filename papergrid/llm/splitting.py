@@ -1,11 +1,11 @@
 """Cutting texts that are too long into overlapping pieces at natural boundaries.
 
 Boundaries are the places after a blank line, a line end, a sentence, a clause and a blank, each
-with a penalty; coarser kinds are used alone wherever they lie close enough together, and where a
-stretch has no boundary at all, places at even distances stand in. Dynamic programming over the
+with a penalty; where a stretch of a quarter of a piece has no boundary at all, places at even
+distances stand in. Dynamic programming over the
 places chooses the cuts of least penalty plus squared deviation of each piece from an even size.
-A piece begins with the end of the one before: at the first word within ``overlap`` code points
-before the cut, or exactly there if that stretch has no blank.
+A piece begins with the end of the one before: at the first word that begins within ``overlap`` code points
+before the cut, or exactly there if none does.
 
 Defined results: pieces have at most ``limit`` code points and cover the text; a text within the
 limit is one piece; an empty text is one empty piece; a null text has none. overlap must be
@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of boundaries, coarse to fine: penalty and the pattern whose end is the place.
@@ -27,42 +27,38 @@ KINDS = (
     (0.15, re.compile(r"\n\s*")),
     (0.3, re.compile(r"[.!?…]['\"”’)\]]*\s+|[。！？]+[」』）]*")),
     (0.7, re.compile(r"[;:,]\s+|[、，；：]")),
-    (1.0, re.compile(r"\s+")),
 )
-FORCED = 3.0
-_BLANK = re.compile(r"\s\S")
-
-
-def _places(text: str, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places inside the text and their penalties, none further than gap from the next."""
-    at, cost = np.array([0, len(text)]), np.array([0.0, 0.0])
-    for penalty, pattern in KINDS:
-        wide = np.flatnonzero(np.diff(at) > gap)
-        if not len(wide):
-            break
-        new = np.fromiter((m.end() for a in wide for m in pattern.finditer(text, at[a], at[a + 1])), np.int64)
-        new = np.setdiff1d(new, at)
-        at, cost = np.concatenate([at, new]), np.concatenate([cost, np.full(len(new), penalty)])
-        order = np.argsort(at, kind="stable")
-        at, cost = at[order], cost[order]
+#: Penalties of a cut between words, and of one where there is no boundary.
+WORD, FORCED = 1.0, 3.0
+_BLANKS = re.compile(r"\s+")
+
+
+def _places(text: str, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All boundaries inside the text, each with the penalty of its coarsest kind, and places at even distances where two lie further than gap apart;
+    and the spans of white space."""
+    n = len(text)
+    blanks = np.array([m.span() for m in _BLANKS.finditer(text)], np.int64).reshape(-1, 2)
+    found = [np.array([0, n])] + [np.fromiter((m.end() for m in pattern.finditer(text)), np.int64) for _, pattern in KINDS] + [blanks[:, 1]]
+    cost = np.repeat([0.0, *(c for c, _ in KINDS), WORD], [len(f) for f in found])
+    at, first = np.unique(np.concatenate(found), return_index=True)
+    cost = cost[first]
     wide = np.flatnonzero(np.diff(at) > gap)
     if len(wide):
         new = np.concatenate([np.arange(at[a] + gap, at[a + 1], gap) for a in wide])
         at, cost = np.concatenate([at, new]), np.concatenate([cost, np.full(len(new), FORCED)])
         order = np.argsort(at, kind="stable")
         at, cost = at[order], cost[order]
-    return at, cost
+    return at, cost, blanks
 
 
-def _starts(text: str, at: np.ndarray, overlap: int) -> np.ndarray:
+def _starts(at: np.ndarray, overlap: int, blanks: np.ndarray) -> np.ndarray:
     """Where the piece after each cut begins."""
-    out = np.zeros(len(at), np.int64)
-    for i, cut in enumerate(at[1:-1], 1):
-        low = max(0, cut - overlap)
-        out[i] = low
-        if overlap and low and not text[low - 1].isspace():
-            found = _BLANK.search(text, low, cut)
-            out[i] = found.end() - 1 if found else low
+    low = np.maximum(at - overlap, 0)
+    if not overlap or not len(blanks):
+        return low
+    # Not in the middle of a word: where the next one begins, if that lies before the cut.
+    word = np.append(blanks[:, 1], at[-1])[np.searchsorted(blanks[:, 1], low)]
+    out = np.where((low > 0) & (word < at), word, low)
     return out
 
 
@@ -73,8 +69,8 @@ def cut(text: str | None, limit: int, overlap: int) -> list[tuple[int, int]] | N
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    at, cost = _places(text, max(1, (limit - overlap) // 4))
-    start = _starts(text, at, overlap)
+    at, cost, blanks = _places(text, max(1, (limit - overlap) // 4))
+    start = _starts(at, overlap, blanks)
     even = n / -(-n // (limit - overlap)) + overlap
     best, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
     best[0] = 0.0
@@ -116,6 +112,19 @@ def pieces(df: DataFrame, text: Column, limit: int, overlap: int) -> DataFrame:
     )
 
 
+def checked(cuts: DataFrame, keys: list[str], limit: Column, overlap: Column) -> DataFrame:
+    """(keys, text_md5, n_pieces_ok, within_limit, overlap_ok) of each cut item: the text put together again from its pieces without their overlaps,
+    whether pieces are numbered without gaps, and whether they keep the limit and begin in the piece before, at most overlap from its end."""
+    before = F.lag("stop").over(Window.partitionBy(*keys).orderBy("piece_no"))
+    rows = cuts.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("new", F.expr("substring(piece, before - start + 1)"))
+    ordered = F.sort_array(F.collect_list(F.struct("piece_no", "new")))
+    lap = F.when(F.col("piece_no") == 1, F.col("start") == 0).otherwise((F.col("start") <= F.col("before")) & (F.col("before") - F.col("start") <= overlap))
+    return rows.groupBy(*keys).agg(
+        F.md5(F.array_join(F.transform(ordered, lambda p: p["new"]), "")).alias("text_md5"), (F.max("piece_no") == F.count("*")).alias("n_pieces_ok"),
+        F.bool_and((F.col("stop") - F.col("start") <= limit) & (F.char_length("piece") == F.col("stop") - F.col("start"))).alias("within_limit"), F.bool_and(lap).alias("overlap_ok"),
+    )
+
+
 #: Limits and overlaps, in code points, of contents and of abstracts.
 CONTENT, ABSTRACT = (2000, 200), (1000, 120)
 

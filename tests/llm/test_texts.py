@@ -1,6 +1,8 @@
+import itertools
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,6 +121,39 @@ def test_natural_boundaries():
     assert splitting.cut(None, 10, 2) is None and splitting.cut("", 10, 2) == [(0, 0)] and splitting.cut("abc", 3, 1) == [(0, 3)]
 
 
+def _exhaustive(text, limit, overlap):
+    """Least total of the split's costs over all sets of boundaries, by trying each."""
+    at, cost, blanks = splitting._places(text, max(1, (limit - overlap) // 4))
+    start = splitting._starts(at, overlap, blanks)
+    n = len(text)
+    even = n / -(-n // (limit - overlap)) + overlap
+    inner = range(1, len(at) - 1)
+    best = (np.inf, None)
+    for k in range(len(at) - 1):
+        for chosen in itertools.combinations(inner, k):
+            cuts = [0, *chosen, len(at) - 1]
+            sizes = [at[j] - start[i] for i, j in zip(cuts, cuts[1:])]
+            if max(sizes) <= limit:
+                total = sum(((s - even) / limit) ** 2 + 0.05 for s in sizes) + sum(cost[j] for j in cuts[1:])
+                best = min(best, (total, [(int(start[i]), int(at[j])) for i, j in zip(cuts, cuts[1:])]))
+    return best
+
+
+def test_split_is_optimal():
+    """Over all boundaries of every kind, no other set of cuts costs less."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        text = "".join(rng.choice(["ab", "c", "defg", " ", " ", ". ", ", ", "\n", "\n\n"], 14))
+        limit, overlap = int(rng.integers(9, 16)), int(rng.integers(0, 4))
+        if len(text) > limit:
+            total, want = _exhaustive(text, limit, overlap)
+            got = splitting.cut(text, limit, overlap)
+            at, cost, _ = splitting._places(text, max(1, (limit - overlap) // 4))
+            penalty = dict(zip(at.tolist(), cost.tolist()))
+            even = len(text) / -(-len(text) // (limit - overlap)) + overlap
+            assert sum(((b - a - even) / limit) ** 2 + 0.05 + penalty[b] for a, b in got) <= total + 1e-9
+
+
 def test_literature_pieces(spark):
     long, short = "word " * 900, "short"
     section = "array<struct<title:string,section_type:string,content:string,subsections:array<struct<title:string,content:string>>>>"
