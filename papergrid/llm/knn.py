@@ -102,7 +102,7 @@ def _routed(pdf: pd.DataFrame, parent: int, pivots: np.ndarray, margin: float, p
     first = np.concatenate([[0], np.cumsum(times)[:-1]])
     home = np.zeros(sum(times), bool)
     home[first] = True
-    out = pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), times), "vec": np.repeat(pdf["vec"].to_numpy(), times), "shard": parent * (2 * PIVOTS_MOST) + np.concatenate(found) + 1})
+    out = pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), times), "vec": np.repeat(pdf["vec"].to_numpy(), times), "shard": parent * 4096 + np.concatenate(found) + 1})
     return out.assign(home=home & np.repeat(pdf["home"].to_numpy(bool), times))
 
 
@@ -117,7 +117,7 @@ def _parts(rows: int) -> int:
 
 def _divide(pdf: pd.DataFrame) -> pd.DataFrame:
     sample = pdf.sort_values("cid")
-    pivots = _pivots_of(sample["vec"], max(2, _parts(int(pdf["rows"].iloc[0]))))
+    pivots = _pivots_of(sample["vec"], int(pdf["parts"].iloc[0]))
     return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "pivots": [pivots.tobytes()]})
 
 
@@ -135,7 +135,7 @@ def _shares(by: Column, share: Column) -> Column:
     return F.pmod(F.xxhash64(by), F.lit(1 << 20)) <= (share * (1 << 20)).cast("bigint")
 
 
-def shards(classes: DataFrame, count: int, margin: float, probes: tuple[int, int], most_levels: int = 12) -> DataFrame:
+def shards(classes: DataFrame, count: int, margin: float, probes: tuple[int, int], most_levels: int = 5) -> DataFrame:
     """(cid, vec, shard, home): every vector once at home, and once more for each other shard to be searched for it."""
     share = F.lit(min(1.0, SAMPLE_EACH * _parts(count) / max(count, 1)))
     sample = classes.where(_shares(F.col("cid"), share)).select("cid", "vec").toPandas().sort_values("cid")
@@ -148,14 +148,13 @@ def shards(classes: DataFrame, count: int, margin: float, probes: tuple[int, int
 
     routed = stage(classes.repartition(tasks(classes.sparkSession)).mapInPandas(first, _ROUTED))
     done = None
-    # Distinct vectors divide at every level but where the sample has one pivot; what is then left is searched as it is.
+    # Five levels of 2,048 parts are more than any collection needs; what is left over SHARD_MOST is searched as it is.
     for _ in range(most_levels):
-        big = routed.where("home").groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > SHARD_MOST)
+        parts = F.least(F.lit(PIVOTS_MOST), F.greatest(F.lit(2), F.floor(F.col("rows") / SHARD_ROWS))).cast("int")
+        big = stage(routed.where("home").groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > SHARD_MOST).withColumn("parts", parts))
         if big.isEmpty():
             break
-        big = stage(big)
-        parts = F.least(F.lit(PIVOTS_MOST), F.greatest(F.lit(2), F.floor(F.col("rows") / SHARD_ROWS)))
-        drawn = routed.where("home").join(big, "shard").where(_shares(F.col("cid"), SAMPLE_EACH * parts / F.col("rows")))
+        drawn = routed.where("home").join(big, "shard").where(_shares(F.col("cid"), SAMPLE_EACH * F.col("parts") / F.col("rows")))
         divided = stage(drawn.groupBy("shard").applyInPandas(_divide, "shard bigint, pivots binary"))
         small = routed.join(big, "shard", "left_anti")
         done = small if done is None else done.unionByName(small)
@@ -176,8 +175,9 @@ def _search(k: int, beam: int):
     """The k nearest of the shard's vectors that the beam meets, by their exact cosines; with a column least only those that reach it."""
 
     def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"cid": pd.Series(dtype=np.int64), "sims": pd.Series(dtype=object), "others": pd.Series(dtype=object)})
         if not len(queries) or not len(index):
-            return pd.DataFrame({"cid": pd.Series(dtype=np.int64), "sims": pd.Series(dtype=object), "others": pd.Series(dtype=object)})
+            return nothing
         row = index.iloc[0]
         ids = np.frombuffer(row["ids"], np.int64)
         width = len(row["vecs"]) // len(ids)
@@ -194,6 +194,8 @@ def _search(k: int, beam: int):
         least = queries["least"].to_numpy()[:, None] if "least" in queries else -2.0
         count = (sims >= least).sum(1)
         keep = np.flatnonzero(count)
+        if not len(keep):
+            return nothing
         return pd.DataFrame({"cid": cids[keep], "sims": [s[:n] for s, n in zip(sims[keep].tolist(), count[keep])], "others": [o[:n] for o, n in zip(other[keep].tolist(), count[keep])]})
 
     return run

@@ -63,14 +63,31 @@ def test_nested(spark):
     assert sorted(r.id for r in knn.usable_nested(df, "ids", "vs", 2).collect()) == [1, 5]
 
 
-def test_sub_shards(spark, monkeypatch):
-    monkeypatch.setattr(knn, "SHARD_MOST", 60)
-    monkeypatch.setattr(knn, "CHUNK", 50)
+def test_divided_shards(spark, monkeypatch):
+    """Shards that are too large are divided by pivots of their own, again and again."""
+    for name, value in (("SHARD_ROWS", 20), ("PIVOTS_MOST", 4), ("SHARD_MOST", 40), ("CHUNK", 50)):
+        monkeypatch.setattr(knn, name, value)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 6)).astype(np.float32)
+    x = rng.normal(size=(600, 6)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    vectors = knn.usable(df, "vec_id", "embedding", 6)
+    sizes = knn.shards(knn._classes(vectors)[1], 600, 0.5, (3, 4)).where("home").groupBy("shard").count().collect()
+    assert sum(r["count"] for r in sizes) == 600 and max(r["count"] for r in sizes) <= 80 and len(sizes) > 4
     got = {}
-    for r in knn.nearest(knn.usable(df, "vec_id", "embedding", 6), 5).collect():
+    for r in knn.nearest(vectors, 5, margin=0.5, probes=(3, 4)).collect():
         got.setdefault(r.id, set()).add(r.other)
-    want = brute(np.arange(300), x, 5)
-    assert np.mean([len(got[i] & set(want[i])) / 5 for i in want]) > 0.95
+    want = brute(np.arange(600), x, 5)
+    assert np.mean([len(got[i] & set(want[i])) / 5 for i in want]) > 0.9
+
+
+def test_exact(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    x = np.random.default_rng(3).normal(size=(300, 6)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(15)]
+    vectors = knn.usable(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), "vec_id", "embedding", 6)
+    got = {}
+    for r in knn.exact(vectors, knn.F.col("id") % 10 == 0, 5).collect():
+        got.setdefault(r.id, {})[r.place] = r.other
+    want = brute(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32), 5)
+    assert {i: [got[i][p] for p in range(1, 6)] for i in got} == {i: want[i] for i in want if i % 10 == 0}
