@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,13 +69,18 @@ _HEAD = re.compile(r"^\s*(?:[*•-]\s*)?(?:[\[(]?\d{1,3}[\]).]\s*)+")
 _TAIL = re.compile(r"(?:\[?free full text\]?|google scholar|crossref|pubmed|view in article|\bdoi:?\s*\S+|https?://\S+)", re.I)
 
 
+@lru_cache(maxsize=1)
+def _combining() -> dict[int, None]:
+    return dict.fromkeys(c for c in range(0x20000) if unicodedata.combining(chr(c)))
+
+
 def fold(text: str) -> str:
     """Lower case without accents, soft hyphens and apostrophes."""
     text = text.replace("\xad", "").replace("’", "").replace("'", "")
     if "<" in text:
         text = _TAG.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFKD", text).translate(_combining())
     return text.lower()
 
 
@@ -224,12 +231,19 @@ _LONG_MARKERS = [m for m in MARKERS if len(m) > 6]
 _MARKER_ENDS = {m[:2] for m in _LONG_MARKERS} | {m[-2:] for m in _LONG_MARKERS}
 
 
+@lru_cache(maxsize=200_000)
+def _marker(token: str) -> tuple[str, ...]:
+    """The markers that a token is, or is a misspelling of."""
+    if token in MARKERS:
+        return (token,)
+    if len(token) > 5 and (token[:2] in _MARKER_ENDS or token[-2:] in _MARKER_ENDS):
+        return tuple(m for m in _LONG_MARKERS if _near(token, m))
+    return ()
+
+
 def _markers(tokens: list[str]) -> set[str]:
-    out = {t for t in tokens if t in MARKERS}
-    for t in tokens:
-        if len(t) > 5 and (t[:2] in _MARKER_ENDS or t[-2:] in _MARKER_ENDS) and t not in out:
-            out.update(m for m in _LONG_MARKERS if _near(t, m))
-    return out | {f"part {b}" for a, b in zip(tokens, tokens[1:]) if a == "part" and b.isdigit()}
+    out = {m for t in tokens for m in _marker(t)}
+    return out | {f"part {b}" for a, b in zip(tokens, tokens[1:]) if a == "part" and b.isdigit()} if "part" in tokens else out
 
 
 #: Predicates of a pair, in the order of the columns of truths().
@@ -247,7 +261,19 @@ def _by_ends(tokens: set[str]) -> dict[str, list[str]]:
     return out
 
 
-def _close(word: str, ends: dict[str, list[str]]) -> bool:
+class _Ends:
+    """_by_ends, made when first asked for."""
+
+    def __init__(self, tokens: set[str]) -> None:
+        self._tokens, self._known = tokens, None
+
+    def get(self, key: str, other: tuple) -> list[str] | tuple:
+        if self._known is None:
+            self._known = _by_ends(self._tokens)
+        return self._known.get(key, other)
+
+
+def _close(word: str, ends: dict[str, list[str]] | _Ends) -> bool:
     if len(word) < 2:
         return False
     n = len(word)
@@ -323,7 +349,7 @@ def seen(text: str) -> tuple:
     tokens, years, numbers = _shown(text)
     plain = len(_PLAIN_WORD.findall(text)) > 3 or len(_CAPITAL_WORD.findall(text)) > 3
     have = set(tokens)
-    return tokens, years, numbers, "".join(tokens), have, _markers(tokens), "..." in text or "…" in text, plain, _by_ends(have)
+    return tokens, years, numbers, "".join(tokens), have, _markers(tokens), "..." in text or "…" in text, plain, _Ends(have)
 
 
 def minimise(
@@ -688,10 +714,13 @@ def _number(word: str) -> int:
     return (_hash(word) & 0x7FFFFFFF) + 1 & 0x7FFFFFFF if word else 0
 
 
+_UP = np.array([WEIGHTS[name] for name in AGAINST])
+_DOWN = np.array([WEIGHTS[name] for name in SUPPORT])
+
+
 def _solo(truth: np.ndarray) -> np.ndarray:
     """Whether each row's own rules put its value above 0: the slope at 0 is negative."""
-    up = WEIGHTS["prior"] + sum(WEIGHTS[name] * (truth[:, k] >= 1) for k, name in enumerate(AGAINST, len(SUPPORT)))
-    return sum(WEIGHTS[name] * (truth[:, k] > 0) for k, name in enumerate(SUPPORT)) > up
+    return (truth[:, : len(SUPPORT)] > 0) @ _DOWN > WEIGHTS["prior"] + (truth[:, len(SUPPORT) :] >= 1) @ _UP
 
 
 def _score(forms: dict[str, tuple[str, ...]]):
@@ -699,8 +728,13 @@ def _score(forms: dict[str, tuple[str, ...]]):
 
     Left out is only what ends at 0 in any case: rows that neither rise alone nor may be of one publication with one that does,
     as 0 is then the least of every rule they stand in."""
+    down, up = _DOWN.tolist(), _UP.tolist()
 
     def block(h1: int, h2: int, found: list[tuple]) -> tuple | None:
+        if len(found) == 1:
+            f, w1, w2, t, *own = found[0]
+            rises = sum(w for w, x in zip(down, t) if x > 0) > WEIGHTS["prior"] + sum(w for w, x in zip(up, t[len(SUPPORT) :]) if x >= 1)
+            return (f, h1, h2, [w1], [w2], t, *([x] for x in own)) if rises else None
         truth = np.array([x[3] for x in found], np.float32)
         alone = _solo(truth)
         if not alone.any():
@@ -752,12 +786,11 @@ def _score(forms: dict[str, tuple[str, ...]]):
 def _single(truth: np.ndarray) -> np.ndarray:
     """Values of rows that are alone in their text: where the slope of their own rules changes its sign."""
     down, up = truth[:, : len(SUPPORT)], 1 - truth[:, len(SUPPORT) :]
-    w_down = np.array([WEIGHTS[name] for name in SUPPORT])
-    w_up = np.where(truth[:, len(SUPPORT) :] > 0, np.array([WEIGHTS[name] for name in AGAINST]), 0.0)
+    w_up = np.where(truth[:, len(SUPPORT) :] > 0, _UP, 0.0)
     low, high = np.zeros(len(truth)), np.ones(len(truth))
     for _ in range(30):
         x = (low + high) / 2
-        slope = WEIGHTS["prior"] + CONVEX * x + (w_up * (x[:, None] > up)).sum(1) - (w_down * (x[:, None] < down)).sum(1)
+        slope = WEIGHTS["prior"] + CONVEX * x + (w_up * (x[:, None] > up)).sum(1) - (_DOWN * (x[:, None] < down)).sum(1)
         low, high = np.where(slope < 0, x, low), np.where(slope < 0, high, x)
     return (low + high) / 2
 
@@ -782,7 +815,8 @@ def _settle(pdf: pd.DataFrame, state: pd.DataFrame | None = None) -> pd.DataFram
         strength, target = np.zeros(p["size"]), np.zeros(p["size"])
         strength[at], target[at] = DRAW, state["agreed"].to_numpy() - state["dual"].to_numpy()
         pull = strength, target
-    found = _least(p, pull)
+    # Copies need be no nearer to the minimum than they must be to the mean.
+    found = _least(p, pull, tolerance=TOLERANCE if state is None else AGREED / 100)
     value[rest] = found[: p["n"]]
     x = np.round(value, 2)
     give = np.flatnonzero(x >= MATCH) if state is None else np.arange(len(x))
