@@ -30,7 +30,7 @@ from papergrid.workspace import stage, tasks
 #: Mean rows of a shard, most pivots of one division, sample rows for a pivot; most rows of a graph and of a chunk of queries.
 SHARD_ROWS, PIVOTS_MOST, SAMPLE_EACH, SHARD_MOST, CHUNK = 1500, 2048, 25, 6000, 2000
 #: Shards searched for a query in a division: those whose pivot's cosine is at most MARGIN below the best one's, but no fewer and no more than these; beam width.
-MARGIN, PROBES, BEAM = 0.2, (3, 16), 48
+MARGIN, PROBES, BEAM = 0.3, (4, 24), 48
 #: Most neighbours of a node and beam width while a shard's graph is built.
 DEGREE, BUILD_BEAM = 32, 64
 #: Vectors of a block, of queries and of the collection, in the exact search.
@@ -103,7 +103,9 @@ def _routed(pdf: pd.DataFrame, parent: int, pivots: np.ndarray, margin: float, p
     home = np.zeros(sum(times), bool)
     home[first] = True
     out = pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), times), "vec": np.repeat(pdf["vec"].to_numpy(), times), "shard": parent * 4096 + np.concatenate(found) + 1})
-    return out.assign(home=home & np.repeat(pdf["home"].to_numpy(bool), times))
+    out["home"] = home & np.repeat(pdf["home"].to_numpy(bool), times)
+    out["vec"] = out["vec"].where(out["home"], None)
+    return out
 
 
 def _pivots_of(sample: pd.Series, count: int) -> np.ndarray:
@@ -136,7 +138,7 @@ def _shares(by: Column, share: Column) -> Column:
 
 
 def shards(classes: DataFrame, count: int, margin: float, probes: tuple[int, int], most_levels: int = 5) -> DataFrame:
-    """(cid, vec, shard, home): every vector once at home, and once more for each other shard to be searched for it."""
+    """(cid, vec, shard, home): every vector once at home, and once more, without the vector itself, for each other shard to be searched for it."""
     share = F.lit(min(1.0, SAMPLE_EACH * _parts(count) / max(count, 1)))
     sample = classes.where(_shares(F.col("cid"), share)).select("cid", "vec").toPandas().sort_values("cid")
     pivots = _pivots_of(sample["vec"], _parts(count))
@@ -158,7 +160,8 @@ def shards(classes: DataFrame, count: int, margin: float, probes: tuple[int, int
         divided = stage(drawn.groupBy("shard").applyInPandas(_divide, "shard bigint, pivots binary"))
         small = routed.join(big, "shard", "left_anti")
         done = small if done is None else done.unionByName(small)
-        routed = stage(routed.join(divided, "shard").mapInPandas(_again(margin, probes), _ROUTED))
+        again = routed.drop("vec").join(divided, "shard").join(classes.select("cid", "vec"), "cid")
+        routed = stage(again.mapInPandas(_again(margin, probes), _ROUTED))
     return routed if done is None else done.unionByName(routed)
 
 
@@ -225,7 +228,10 @@ def nearest(vectors: DataFrame, k: int = 10, margin: float = MARGIN, probes: tup
 
     at_home = stage(asked(routed.where("home").select("cid", "vec", "shard")))
     least = at_home.where(F.size("sims") >= k).select("cid", F.element_at("sims", k).alias("least"))
-    abroad = routed.where(~F.col("home")).select("cid", "vec", "shard").join(least, "cid", "left").na.fill({"least": -2.0})
+    # The shards of a query are a bounded list, so its vector meets them once and is copied only on its way to the shards.
+    ways = routed.where(~F.col("home")).groupBy("cid").agg(F.collect_list("shard").alias("ways"))
+    abroad = routed.where("home").select("cid", "vec").join(ways, "cid").join(least, "cid", "left").na.fill({"least": -2.0})
+    abroad = abroad.select("cid", "vec", F.explode("ways").alias("shard"), "least")
     lists = at_home.unionByName(asked(abroad))
     found = F.transform(F.arrays_zip("sims", "others"), lambda x: F.struct((-x["sims"]).alias("neg"), x["others"].alias("id")))
     best = stage(lists.select("cid", found.alias("found")).groupBy("cid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found")))
