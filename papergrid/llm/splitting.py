@@ -72,15 +72,17 @@ def cut(text: str | None, limit: int, overlap: int) -> list[tuple[int, int]] | N
     at, cost, blanks = _places(text, max(1, (limit - overlap) // 4))
     start = _starts(at, overlap, blanks)
     even = n / -(-n // (limit - overlap)) + overlap
-    best, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
-    best[0] = 0.0
-    low = np.searchsorted(start, at - limit)
-    for j in range(1, len(at)):
-        lo, hi = low[j], j
-        size = at[j] - start[lo:hi]
-        total = best[lo:hi] + ((size - even) / limit) ** 2
-        i = int(total.argmin())
-        best[j], back[j] = total[i] + cost[j] + 0.05, lo + i
+    # ((at_j - start_i - even) / limit)^2 = (s_i^2 - 2 a_j s_i + a_j^2) / limit^2 with s_i = start_i + even: the first part is kept with the least cost up to i.
+    s, back = start + even, np.zeros(len(at), np.int64)
+    so_far, twice = s * s / limit**2, s * (2 / limit**2)
+    fixed = (at * at / limit**2 + cost + 0.05).tolist()
+    low, places = np.searchsorted(start, at - limit).tolist(), at.tolist()
+    for j in range(1, len(places)):
+        lo = low[j]
+        total = so_far[lo:j] - places[j] * twice[lo:j]
+        i = total.argmin()
+        back[j] = lo + i
+        so_far[j] += total[i] + fixed[j]
     out, j = [], len(at) - 1
     while j:
         out.append((int(start[back[j]]), int(at[j])))
