@@ -7,6 +7,7 @@ pages without any of the looked-for parts give the best that is there, never an
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -179,6 +180,7 @@ def meta_of(root: Node, url: str) -> dict[str, str]:
 
 # --- bodies -----------------------------------------------------------------------------------------------------------------------
 
+#: A paragraph without content, ids of abstracts, headings that end the body.
 _BOILERPLATE = re.compile(r"(?i)https?://(?:dx\.)?doi\.org/10\.\d{4,9}/\S+\s+Digital Object Identifier \(DOI\)")
 _ABSTRACT_IDS = ("abstract", "abstracts", "structured-abstract", "editor-abstract", "abstract-content", "author-highlights")
 _BODY_END = re.compile(
@@ -345,7 +347,9 @@ def sections_of_page(root: Node) -> list[dict]:
 # --- references -------------------------------------------------------------------------------------------------------------------
 
 _DOI = re.compile(r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+")
-_PMID = re.compile(r"(?i)(?:pubmed\.ncbi\.nlm\.nih\.gov/|ncbi\.nlm\.nih\.gov/pubmed/|[?&]pmid=|\bPMID[:\s]+(?=\d{5}))(\d+)")
+#: Fixed values, in the order in which they are tried.
+_PMIDS = tuple(re.compile(rf"(?i){p}") for p in (r"pubmed\.ncbi\.nlm\.nih\.gov/(\d+)", r"ncbi\.nlm\.nih\.gov/pubmed/(\d+)", r"\bPMID[:\s]+(\d{5,})\b"))
+#: Words of services in lists, files of supplements, names of meta tags with references.
 _SERVICE = re.compile(r"(?i)\b(?:Google Scholar|CrossRef|PubMed|Article|CAS|PubMed Central|DOI|View Article)\b")
 _SUPPLEMENT = re.compile(r"(?i)/doi/suppl/|/suppl_file/|supplementary-materials|core-supplementary-material|\.docx?\b|\.xlsx?\b|\.pptx?\b|\.zip\b")
 _META_NAMES = r"citation_reference|dc\.reference|dcterms\.bibliographiccitation|bepress_citation_reference|article_references?"
@@ -357,8 +361,7 @@ def find_doi(text: str) -> str:
 
 
 def find_pmid(text: str) -> str:
-    m = _PMID.search(text)
-    return m[1] if m else ""
+    return next((m[1] for p in _PMIDS if (m := p.search(text))), "")
 
 
 def _clean(text: str) -> str:
@@ -533,6 +536,27 @@ def entities_decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else decode_entities(t))
 
 
+def _decoded(value: object) -> object:
+    if isinstance(value, str):
+        return decode_entities(value)
+    if isinstance(value, list):
+        return [_decoded(v) for v in value]
+    return {k: _decoded(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+@vectorised("string")
+def json_decoded(texts: pd.Series) -> pd.Series:
+    """JSON with the entities of every string in it decoded, at any depth; unreadable JSON as it is."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(_decoded(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return text
+
+    return texts.map(one)
+
+
 @vectorised("string")
 def tags_stripped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else strip_tags(t))

@@ -245,6 +245,18 @@ def reference_items(text: Column, bracketed: bool = False) -> Column:
     return F.filter(F.transform(kept, lambda x: F.when(dashed(x), free(x)).otherwise(x)), lambda x: x != "")
 
 
+def with_reference_items(items: Column, note: Column) -> Column:
+    """Items and after them the entries of the note's References section, wherever in the note it stands."""
+    part = F.regexp_extract(note, r"(?s)(?:\A|\n)## References[^\n]*\n(.*)\z", 1)
+    return F.concat(items, reference_items(part, bracketed=True))
+
+
+def section_name(part: Column) -> Column:
+    """The first level 2 heading of a part of a note; 'Main Text' without one."""
+    name = F.trim(F.regexp_extract(part, r"(?m)^##[ \t]+([^\n]+)", 1))
+    return F.when(name == "", "Main Text").otherwise(name)
+
+
 def numbered_references(text: Column) -> Column:
     """The References section as a numbered list, an entry beginning at each bold text that starts with a letter."""
     head = F.regexp_extract(text, r"(?is)\A(.*?##\s+References\s*\n)", 1)

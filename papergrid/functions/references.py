@@ -187,3 +187,12 @@ def cited_numbers(text: Column) -> Column:
         return F.when((a <= b) & (b - a <= 200), F.sequence(a, F.greatest(a, b))).otherwise(F.array(a, b))
 
     return F.array_distinct(F.flatten(F.transform(parts, numbers)))
+
+
+#: Fixed value: the publisher whose lists carry links that are cleaned away.
+LINKED_PUBLISHER = "Springer Science and Business Media LLC"
+
+
+def of_linked_publisher(publisher: Column) -> Column:
+    """Whether a note's lists are to be freed of links: its publisher, trimmed, is exactly that one."""
+    return F.coalesce(F.trim(publisher) == LINKED_PUBLISHER, F.lit(False))

@@ -116,3 +116,22 @@ def sentences(text: Column, size: int = 128, overlap: int = 24) -> Column:
 
     out = F.aggregate(parts, start, step)
     return F.when(out["open"] == "", out["done"]).otherwise(F.concat(out["done"], F.array(out["open"])))
+
+
+def indexed_paragraphs(of: DataFrame, content: str = "content", tables: bool = False) -> DataFrame:
+    """of's rows once for each paragraph, with paragraph_index and total_paragraphs. Paragraphs that begin with a table are left out unless tables
+    is set, but count in both numbers."""
+    ps = F.transform(T.paragraphs(F.col(content)), T.strip)
+    rows = of.select("*", F.size(ps).alias("total_paragraphs"), F.posexplode(ps).alias("_i", "paragraph"))
+    kept = rows if tables else rows.where(~F.col("paragraph").startswith("<table"))
+    return kept.withColumn("paragraph_index", F.col("_i") + 1).drop("_i")
+
+
+def target_sections(of: DataFrame, kind: str = "section_type") -> DataFrame:
+    """The sections of the types that a search looks at."""
+    return of.where(F.col(kind).isin(*T.EXCLUDED["search_targets"]))
+
+
+def preview(rows: DataFrame, by: list[str], order: list[str], most: int = 5) -> DataFrame:
+    """The first rows of each group, for a look at it."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= most).drop("_r")

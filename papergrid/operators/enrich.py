@@ -129,3 +129,34 @@ def hit_source(score: str = "score") -> list[Column]:
         text("href").alias("href"), text("text").alias("reference_text"), F.trim(text("pubmed.abstract")).alias("abstract"),
         R.citation_label(authors, F.col("pubmed.pub_year"), F.col("ref_index")).alias("citation_label"),
     ]
+
+
+def review_flags(notes: DataFrame, records: DataFrame, key: str = "citekey", stem: str = "stem", tags: str = "tags", flag: str = "review") -> DataFrame:
+    """notes with is_review: the flag of the record of the key (the file's stem where a note has none); where that says nothing, by the tags."""
+    known = records.groupBy(key).agg(F.max(flag).alias("_flag"))
+    keyed = notes.withColumn("_key", T.either(F.col(key), F.col(stem)))
+    by_tags = F.exists(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda x: F.lower(x) == "review")
+    return keyed.join(known.withColumnRenamed(key, "_key"), "_key", "left").withColumn("is_review", F.coalesce("_flag", by_tags, F.lit(False))).drop("_key", "_flag")
+
+
+def chosen_hit(title_hits: DataFrame, author_hits: DataFrame, keep: list[str], ident: str = "pmid", rank: str = "rank") -> DataFrame:
+    """For each row the first title hit that is an author and year hit, too, else the first title hit."""
+    both = author_hits.select(*keep, ident, F.lit(True).alias("_in")).distinct()
+    marked = title_hits.join(both, [*keep, ident], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    return marked.groupBy(*keep).agg(F.min_by(ident, F.struct(~F.col("_in"), rank)).alias(ident))
+
+
+def looked_up(records: DataFrame, table: DataFrame, key: str = "doi", field: str = "pmid") -> DataFrame:
+    """records with an empty field filled by a table of the service's answers (key, field); keys are compared in lower case, the least answer counts."""
+    answers = table.where(F.col(field).isNotNull()).groupBy(F.lower(key).alias("_k")).agg(F.min(field).alias("_v"))
+    return records.join(answers, F.lower(records[key]) == F.col("_k"), "left").withColumn(field, T.either(F.col(field), F.col("_v"))).drop("_k", "_v")
+
+
+#: Bounds of the number of reference candidates of one import.
+CANDIDATES = (1, 200)
+
+
+def clamped_candidates(records: DataFrame, most: int, by: str, order: list[str]) -> DataFrame:
+    """The first candidates of each import, their number kept within CANDIDATES."""
+    n = max(CANDIDATES[0], min(CANDIDATES[1], most))
+    return records.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")

@@ -109,13 +109,14 @@ def direct_orphans(tables: dict[str, Table], refs: list[Reference]) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-def orphans(tables: dict[str, Table], refs: list[Reference], most_rounds: int | None = None) -> DataFrame:
+def orphans(tables: dict[str, Table], refs: list[Reference], most_rounds: int | None = None, staged: bool = False) -> DataFrame:
     """(src_table, row_id, target_table, at, kind, level): direct orphans at level 0, inherited ones at the round that found them.
 
-    A row is inherited by a reference if a target row that existed at its time is itself an orphan of either kind. With a cycle the rounds
-    go on until one gains nothing, which comes as each gains other rows; rows gained after most_rounds are an error."""
+    A row is inherited by a reference if a target row that existed at its time is itself an orphan of either kind. staged: the direct orphans are
+    written once, for callers that need all rows; without it a caller that asks for these alone pays for nothing else. With a cycle the rounds go on until one gains nothing, which comes as each gains other rows; rows gained after most_rounds are an error."""
     found = direct_orphans(tables, refs).withColumns({"kind": F.lit("direct"), "level": F.lit(0)})
     rounds = _rounds(refs)
+    found = stage(found) if staged else found
     for level in count(1) if rounds is None else range(1, rounds):
         if rounds is None:
             found = stage(found)
@@ -124,12 +125,12 @@ def orphans(tables: dict[str, Table], refs: list[Reference], most_rounds: int |
             if not any(r.child == ref.target for r in refs):
                 continue
             target = tables[ref.target]
-            named = [k.alias(f"t_{n}") for n, k in zip(ref.keys, ref.target_key)]
-            rows = target.rows.select(F.col(target.row_id).alias("t_id"), *named, F.col(target.since).alias("since"))
-            lost = found.where((F.col("src_table") == ref.target) & (F.col("level") == level - 1)).select(F.col("row_id").alias("t_id")).distinct()
-            gone = rows.join(lost, "t_id", "left_semi").groupBy(*(f"t_{k}" for k in ref.keys)).agg(F.min("since").alias("since"))
+            lost = found.where((F.col("src_table") == ref.target) & (F.col("level") == level - 1)).select(F.col("row_id").alias(target.row_id)).distinct()
+            gone = existence(Table(target.rows.join(lost, target.row_id, "left_semi"), target.row_id, target.since, target.until), ref.keys, ref.target_key)
+            gone = gone.select(*(F.col(k).alias(f"t_{k}") for k in ref.keys), "since", "until")
             same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"t_{k}") for k in ref.keys))
-            hit = _referring(tables, ref).join(gone, same & (F.col("since") <= F.col("at")), "left_semi")
+            then = (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+            hit = _referring(tables, ref).join(gone, same & then, "left_semi")
             hit = hit.select(F.lit(ref.child).alias("src_table"), "row_id", F.lit(ref.target).alias("target_table"), "at").distinct()
             hit = hit.join(found.select("src_table", "row_id", "target_table"), ["src_table", "row_id", "target_table"], "left_anti")
             new.append(hit.withColumns({"kind": F.lit("inherited"), "level": F.lit(level)}))

@@ -33,9 +33,9 @@ def matching(filters: dict[str, list], condition: str = "or") -> Column:
 
 
 def with_fallback(df: DataFrame, test: Column) -> DataFrame:
-    """The rows that pass, or all rows if none does, as one plan."""
-    any_hit = df.agg(F.coalesce(F.bool_or(test), F.lit(False)).alias("_any"))
-    return df.join(F.broadcast(any_hit)).where(~F.col("_any") | F.coalesce(test, F.lit(False))).drop("_any")
+    """The rows that pass, or all rows if none does. Whether one does is looked up first, and the search for it ends at the first."""
+    kept = df.where(test)
+    return df if kept.isEmpty() else kept
 
 
 def top_k(scored: DataFrame, k: int | None = None, score: str = "score", ties: str = "id") -> DataFrame:

@@ -272,3 +272,133 @@ def article_work_years(t):
     w = t("works").where("doi IS NOT NULL").select(F.lower("doi").alias("k"), F.col("pub_year").try_cast("int").alias("y"), "work_id")
     a = t("articles").select("article_id", F.lower("doi").alias("k")).join(w, "k", "left").groupBy("article_id")
     return a.agg(F.coalesce(F.max("y"), F.lit(0)).alias("newest"), F.count("work_id").alias("n"))
+
+
+# --- smaller steps ----------------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {_ROWS}, p AS (SELECT work_id, unnest(['Own ' || title, 'Last ' || year]) AS paragraph, unnest([1, 3]) AS paragraph_index FROM w) SELECT work_id, paragraph, paragraph_index, 3 AS total_paragraphs FROM p""")
+def paragraphs_past_tables(t):
+    rows = _rows(t).select("work_id", _text("Own ", "@title", "\n\n<table><tr>", "@year", "</tr></table>\n\nLast ", "@year").alias("content"))
+    return C.indexed_paragraphs(rows).select("work_id", "paragraph", "paragraph_index", "total_paragraphs")
+
+
+_SECTIONS_SQL = "SELECT * FROM (SELECT article_id, unnest(sections) AS s, generate_subscripts(sections, 1) AS section_no FROM articles) WHERE s IS NOT NULL"
+
+
+@_query(f"""SELECT article_id, CAST(section_no AS INT) AS section_no, s.section_type AS section_type FROM ({_SECTIONS_SQL})
+    WHERE s.section_type IN ('intro', 'materials|methods', 'results', 'discussion', 'conclusion')""")
+def target_sections(t):
+    return C.target_sections(C.sections(t("articles"))).select("article_id", "section_no", "section_type")
+
+
+@_query(f"""SELECT article_id, CAST(section_no AS INT) AS section_no FROM ({_SECTIONS_SQL}) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY section_no) <= 2""")
+def section_preview(t):
+    return C.preview(C.sections(t("articles")), ["article_id"], ["section_no"], 2).select("article_id", "section_no")
+
+
+@_query("SELECT ref_id, set_id FROM reference_records QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY ref_index NULLS FIRST, ref_id) <= 20")
+def candidate_clamp(t):
+    return E.clamped_candidates(t("reference_records"), 20, "set_id", ["ref_index", "ref_id"]).select("ref_id", "set_id")
+
+
+@_query("SELECT work_id, coalesce(trim(publisher) = 'Springer Science and Business Media LLC', false) AS linked FROM works")
+def publisher_gate(t):
+    return t("works").select("work_id", R.of_linked_publisher(F.col("publisher")).alias("linked"))
+
+
+@_query(f"""WITH {_ROWS} SELECT work_id, title AS name, 'a|1. ' || journal || '|[2] ' || year AS items FROM w""")
+def note_section_names(t):
+    part = _text("Lead\n\n##  ", "@title", " \n\ntext\n\n## References\n- 1. ", "@journal", "\n[2] ", "@year", "\n")
+    return _rows(t).select("work_id", M.section_name(part).alias("name"), F.array_join(M.with_reference_items(F.array(F.lit("a")), part), "|").alias("items"))
+
+
+@_query(f"""WITH {_ROWS} SELECT work_id, '{{"a":"x & <' || title || '","b":[{{"c":"é"}},1,null]}}' AS decoded FROM w""")
+def decoded_json(t):
+    text = _text('{"a": "x &amp; &lt;', "@title", '", "b": [{"c": "&#233;"}, 1, null]}')
+    return _rows(t).select("work_id", H.json_decoded(text).alias("decoded"))
+
+
+@_query(f"""WITH {_ROWS} SELECT work_id || '.md' AS filename, CASE WHEN work_id % 3 = 0 THEN '' ELSE 'w' || work_id END AS citekey, CASE WHEN work_id % 3 = 0 THEN '' ELSE doi END AS doi,
+    'In short ' || title AS abstract, CASE WHEN work_id % 3 = 0 THEN 'no front matter in ' || work_id || '.md' END AS error FROM w""")
+def abstract_export(t):
+    n = _notes(t)
+    bare = F.regexp_replace("content", r"(?s)\A---\n.*?\n---\n", "")
+    return P.abstract_export(n.withColumn("content", F.when(F.col("work_id") % 3 == 0, bare).otherwise(F.col("content"))))
+
+
+@_query("""WITH a AS (SELECT article_id, citekey, filename, tags FROM articles), r AS (SELECT citekey, bool_or(is_review) AS f FROM articles WHERE article_id % 2 = 0 GROUP BY 1)
+    SELECT article_id, coalesce(r.f, len(list_filter(tags, lambda x: lower(x) = 'review')) > 0, false) AS is_review FROM a LEFT JOIN r ON r.citekey = coalesce(nullif(a.citekey, ''), a.filename)""")
+def review_flags(t):
+    a = t("articles")
+    return E.review_flags(a.select("article_id", "citekey", "filename", "tags"), a.where("article_id % 2 = 0").select("citekey", F.col("is_review").alias("review")), stem="filename").select("article_id", "is_review")
+
+
+@_query("""WITH x AS (SELECT a.ref_id, b.work_id AS pmid, row_number() OVER (PARTITION BY a.ref_id ORDER BY b.work_id) AS rank FROM reference_records a JOIN works b ON lower(a.pubmed.title) = lower(b.title)),
+    y AS (SELECT a.ref_id, b.work_id AS pmid FROM reference_records a JOIN works b ON a.pubmed.pub_year = b.pub_year AND lower(a.pubmed.title) = lower(b.title))
+    SELECT ref_id, min_by(pmid, rank + CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.ref_id = x.ref_id AND y.pmid = x.pmid) THEN 0 ELSE 1000000 END) AS pmid FROM x GROUP BY 1""")
+def chosen_hits(t):
+    from pyspark.sql import Window
+
+    r = t("reference_records").select("ref_id", F.lower("pubmed.title").alias("k"), F.col("pubmed.pub_year").alias("y"))
+    w = t("works").select(F.col("work_id").alias("pmid"), F.lower("title").alias("k"), "pub_year")
+    both = r.join(w, "k")
+    titles = both.select("ref_id", "pmid", F.row_number().over(Window.partitionBy("ref_id").orderBy("pmid")).alias("rank"))
+    return E.chosen_hit(titles, both.where("y = pub_year").select("ref_id", "pmid"), ["ref_id"])
+
+
+@_query("""WITH k AS (SELECT lower(doi) AS d, min(pmid) AS p FROM works WHERE pmid IS NOT NULL AND doi IS NOT NULL GROUP BY 1) SELECT ref_id, coalesce(nullif(pmid, ''), k.p, '') AS pmid FROM reference_records LEFT JOIN k ON k.d = lower(doi)""")
+def looked_up_ids(t):
+    return E.looked_up(t("reference_records").select("ref_id", "doi", "pmid"), t("works").select("doi", "pmid")).select("ref_id", F.coalesce("pmid", F.lit("")).alias("pmid"))
+
+
+@_query("""WITH r AS (SELECT ref_id, pubmed, CASE WHEN ref_id % 2 = 0 THEN 'From the first ' || ref_id ELSE '' END AS c, 'From the second ' || ref_id AS e FROM reference_records)
+    SELECT ref_id, CASE WHEN coalesce(pubmed.abstract, '') <> '' THEN pubmed.abstract WHEN c <> '' THEN c ELSE e END AS abstract,
+    CASE WHEN coalesce(pubmed.abstract, '') <> '' THEN pubmed.source WHEN c <> '' THEN 'crossref' ELSE 'europepmc' END AS source FROM r""")
+def decided_entries(t):
+    r = t("reference_records")
+    kind = r.schema["pubmed"].dataType
+    entry = lambda source, abstract: F.from_json(F.to_json(F.struct(F.lit(source).alias("source"), abstract.alias("abstract"))), kind)
+    number = F.col("ref_id").cast("string")
+    first = entry("crossref", F.when(F.col("ref_id") % 2 == 0, F.concat(F.lit("From the first "), number)).otherwise(""))
+    chosen = E.decided_pubmed(F.col("pubmed"), first, entry("europepmc", F.concat(F.lit("From the second "), number)))
+    return r.select("ref_id", chosen.alias("p")).select("ref_id", "p.abstract", "p.source")
+
+
+@_query("""WITH t AS (SELECT set_id, ref_index, ref_id, pubmed.title AS title, text FROM reference_records WHERE pubmed.title IS NOT NULL)
+    SELECT ref_id, true AS chosen FROM (SELECT ref_id, len(list_filter(k, lambda w: contains(lower(text), w))) / nullif(len(k), 0) AS o FROM (SELECT *, {tokens} AS k FROM t)) WHERE o >= 0.6""".replace(
+    "{tokens}", "list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in R.TITLE_STOPWORDS) + "], w))"))
+def title_candidates(t):
+    r = t("reference_records").where("pubmed.title IS NOT NULL").select("ref_id", "text", F.col("pubmed.title").alias("title"), F.lit(1).alias("o"))
+    return E.title_candidate(r, ["ref_id"], "title", "text", "o").select("ref_id", F.lit(True).alias("chosen"))
+
+
+@_query(f"""WITH {_ROWS} SELECT work_id, coalesce(nullif(CASE WHEN work_id % 2 = 0 THEN doi ELSE '' END, ''), 'note') AS doi, work_id % 2 = 0 AS review FROM w""")
+def merged_note_fields(t):
+    even = F.col("work_id") % 2 == 0
+    m = E.merged_fields({"doi": F.lit("note")}, {"doi": F.when(even, F.col("doi")).otherwise(""), "review": F.when(even, True)})
+    return _rows(t).select("work_id", *(c.alias(n) for n, c in m.items()))
+
+
+@_query(f"""WITH {_ROWS} SELECT work_id, 'Results' AS title, 'results' AS type, 'Seen in ' || title || chr(10) || chr(10) || 'Also ' || year AS content FROM w
+    UNION ALL SELECT work_id, 'Abstract', 'abstract', 'In short ' || journal FROM w""")
+def ruled_page_sections(t):
+    page = _text('<html><body><article><div class="abstract author">Abstract In short ', "@journal", '</div><section><h2>Highlights</h2><p>None</p></section><section><h2>Results</h2><p>Seen in ', "@title",
+                 "</p><div><p>Also ", "@year", "</p></div><p>Seen in ", "@title", '</p></section><section><h2>References</h2><p>None</p></section></article></body></html>')
+    r = _rows(t).select("work_id", F.explode(G.sections_by_rule({})(page, F.lit("any"))).alias("s"))
+    return r.select("work_id", "s.title", "s.type", "s.content")
+
+
+@_query(f"""WITH {_ROWS} SELECT work_id, 'Figure 2' AS title, 'Shape of ' || title AS legend, 'Figure_2.png' AS file FROM w""")
+def page_figure_files(t):
+    page = _text('<html><body><figure id="fig2"><img src="/a/b.png"><div class="captions"><span class="label">Fig. 2</span>. Shape of ', "@title", "</div></figure><figure><img src='x'></figure></body></html>")
+    f = _rows(t).select("work_id", F.explode(G.page_figures(page)).alias("f")).select("work_id", "f.title", "f.legend", "f.src")
+    return f.select("work_id", "title", F.regexp_replace("legend", r"^\.\s*", "").alias("legend"), G.figure_file(F.col("title"), F.col("src"), F.lit("")).alias("file"))
+
+
+@_query(f"""WITH {_ROWS} SELECT work_id, 'Figure 1' AS title, 'u' || work_id AS image_url, title AS legend, 1 AS place FROM w""")
+def distinct_figures(t):
+    content = _text("[Image URL: u", F.col("work_id").cast("string"), "] ", "@title")
+    one = F.struct(F.lit("Figure 1").alias("title"), F.lit("figure").alias("type"), content.alias("content"), F.array(F.struct(F.lit("Figure 1").alias("title"), content.alias("content"))).alias("subsections"))
+    text = F.struct(F.lit("Results").alias("title"), F.lit("results").alias("type"), F.lit("x").alias("content"), F.array().cast("array<struct<title:string,content:string>>").alias("subsections"))
+    return G.collected_figures(_rows(t).select("work_id", F.array(text, one, one).alias("sections")), "work_id")

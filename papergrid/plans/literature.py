@@ -92,7 +92,9 @@ def topk_cosine(t):
     e = t("embeddings")
     scored = e.select("vec_id", "label", F.round(S.cosine(F.col("embedding"), _asked(e, "vec_id", "embedding")), 6).alias("score"))
     hits = S.top_k(scored, 5, ties="vec_id")
-    return F.broadcast(hits).join(t("documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id", "left")
+    # Five ids go to the documents, so neither these nor their shuffle grows; the left join is then small on both sides.
+    known = t("documents").select(F.col("doc_id").alias("vec_id"), "lang").join(F.broadcast(hits.select("vec_id")), "vec_id", "left_semi")
+    return hits.join(known, "vec_id", "left")
 
 
 def _filtered(condition: str, sql: str):
@@ -464,13 +466,28 @@ _text_query("cleaned_notes", T.cleaned_note, _gone(_gone("text", r"!\[[^\]]*\]\(
 _text_query("unlinked_texts", T.without_links, _squeeze(_gone("text", r"\[[^\]]*\]\(https?://[^\)]+\)")))
 _text_query("plain_newlines", T.newlines, _gone("text", r"\r\n?", "chr(10)"))
 _text_query("japanese_texts", T.is_japanese, r"coalesce(regexp_matches(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]'), false)")
-_text_query("removed_urls", T.without_web_addresses, None)
-_text_query("compacted_legends", T.compact_legends, None)
+#: Hosts that stay are marked first, as the oracle's patterns can't look ahead.
+_URLS = "regexp_replace(text, '(https?)://ars\\.', '\\1' || chr(1) || 'ars.', 'g')"
+_URLS = _gone(_gone(_gone(_URLS, r"\[([^\]]*)\]\(https?://[^\s\x0B)]+\)", r"'[\1]()'"), r"https?://[^\s\x0B)""''<>]+"), r"\t?\[(?:" + "|".join(T.SERVICE_LABELS) + r")\]\(\)")
+_text_query("removed_urls", T.without_web_addresses, f"replace({_URLS}, chr(1), '://')")
+_LEGENDS = "text"
+for _mark in (r"\*\*Figure \d+\*\*", r"!\[Figure [^\]]*\]\([^)]+\)", r"\[Full size image\]\([^)]+\)"):
+    _LEGENDS = _gone(_LEGENDS, rf"({_mark})\n+", r"'\1' || chr(10)")
+_text_query("compacted_legends", T.compact_legends, _LEGENDS)
 _text_query("cleaned_reference_links", T.clean_reference_links, None)
 _text_query("numbered_reference_lists", M.numbered_references, None)
-_text_query("entity_decoded", H.entities_decoded, None)
+#: The text is cut at numbered entities, each piece begins with its number; named ones follow.
+_NUMBER = "CASE WHEN lower(left(n, 1)) = 'x' THEN CAST('0x' || substr(n, 2) AS BIGINT) ELSE CAST(n AS BIGINT) END"
+_PIECE = f"""CASE WHEN i = 1 OR n = '' THEN p ELSE coalesce(CASE WHEN ({_NUMBER}) BETWEEN 1 AND 55295 OR ({_NUMBER}) BETWEEN 57344 AND 1114111 THEN chr(CAST({_NUMBER} AS INT)) END, '&#' || n || ';') || substr(p, length(n) + 2) END"""
+_ENTITY = f"""array_to_string(list_transform(list_transform(string_split(regexp_replace(text, '(?i)&#(x[0-9a-f]+|[0-9]+);', chr(2) || '\\1;', 'g'), chr(2)), lambda p, i: {{'p': p, 'i': i, 'n': regexp_extract(p, '(?i)^(x[0-9a-f]+|[0-9]+);', 1)}}),
+    lambda s: {_PIECE.replace(" n ", " s.n ").replace("(n,", "(s.n,").replace("(n AS", "(s.n AS").replace("(n)", "(s.n)").replace("THEN p ", "THEN s.p ").replace("substr(p,", "substr(s.p,").replace("WHEN i =", "WHEN s.i =")}), '')"""
+for _name, _char in (("nbsp", " "), ("quot", '"'), ("apos", "\'\'"), ("lt", "<"), ("gt", ">")):
+    _ENTITY = _gone(_ENTITY, f"(?i)&{_name};", f"'{_char}'")
+_ENTITY = _gone(_ENTITY, "(?i)&amp;", "'&'")
+_text_query("entity_decoded", H.entities_decoded, _ENTITY)
 _text_query("sentence_windows", lambda c: F.size(C.sentences(c)), None)
-_text_query("natural_order_keys", lambda c: F.array_join(T.natural_key(c), "|"), None, "articles", "article_id", "filename")
+_text_query("natural_order_keys", lambda c: F.array_join(T.natural_key(c), "|"), r"""array_to_string(list_transform(regexp_extract_all(lower(filename), '[0-9]+|[^0-9]+'),
+    lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(regexp_replace(x, '^0+([0-9])', '\1'), 20, '0') ELSE x END), '|')""", "articles", "article_id", "filename")
 _text_query("capital_keys", T.capital_key, rf"upper(substr({_strip('citekey')}, 1, 1)) || substr({_strip('citekey')}, 2)", "articles", "article_id", "citekey")
 _text_query("stem_years", lambda c: F.concat_ws("|", T.stem_author(c), T.stem_year(c)),
             "CASE WHEN regexp_matches(citekey, '[0-9]{4}$') THEN left(citekey, length(citekey) - 4) || '|' || right(citekey, 4) ELSE concat_ws('|', citekey, 'N/A') END",
@@ -637,7 +654,9 @@ def embedded_search(t):
     return P.search_text(index, "loss of perfusion in the kidney", 10, {"section_type": ["results", "discussion"]}).select("article_id", "section", "paragraph_index", F.round("score", 6).alias("score"), "rank")
 
 
-@_query()
+@_query(f"""WITH {_Q}, t AS (SELECT vec_id, {_COSINE} AS score FROM embeddings e, q), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM t QUALIFY rank <= 5)
+    SELECT 0 AS line_no, '# nearest to the first vector' AS line
+    UNION ALL SELECT CAST(rank * 4 - 4 + i AS INT), CASE i WHEN 1 THEN '## ' || rank || '. vector ' || vec_id WHEN 2 THEN 'score: ' || printf('%.4f', score) ELSE '' END FROM k, range(1, 5) r(i)""")
 def search_report(t):
     e = t("embeddings")
     hits = S.search(e, _asked(e, "vec_id", "embedding"), 5, ties="vec_id")

@@ -88,14 +88,40 @@ def prompt_context(hits: DataFrame) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["t"]), "\n\n")
 
 
+#: What an answer has to keep to, ahead of the passages.
+INSTRUCTIONS = "Answer from the numbered passages only, and cite each one you use by its number."
+
+
+def answered(question: str, hits: DataFrame, answerer: Callable[[str], str] | None = None) -> DataFrame:
+    """(question, prompt, answer): the prompt of instructions, passages and question, and what answerer makes of it; null without one. One row."""
+    prompt = F.concat(F.lit(f"{INSTRUCTIONS}\n\n"), F.coalesce(prompt_context(hits), F.lit("")), F.lit(f"\n\nQuestion: {question}"))
+    asked = hits.agg(prompt.alias("prompt"))
+    if answerer is None:
+        return asked.select(F.lit(question).alias("question"), "prompt", F.lit(None).cast("string").alias("answer"))
+
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        return prompts.map(answerer)
+
+    return asked.select(F.lit(question).alias("question"), "prompt", run("prompt").alias("answer"))
+
+
+def abstract_export(notes: DataFrame, isolate: bool = True) -> DataFrame:
+    """(filename, citekey, doi, abstract, error): what is exported of each note. isolate: a note without front matter has an error; else it fails the export."""
+    f = notes.select(F.concat_ws("", "stem", F.lit(".md")).alias("filename"), M.front_matter(F.col("content")).alias("f"), T.abstract_callout(F.col("content"), "strict").alias("abstract"))
+    why = F.concat(F.lit("no front matter in "), F.col("filename"))
+    error = F.when(~F.col("f.found"), why if isolate else F.raise_error(why).cast("string"))
+    return f.select("filename", "f.citekey", "f.doi", F.coalesce("abstract", F.lit("")).alias("abstract"), error.alias("error"))
+
+
 def report_lines(query: str, hits: DataFrame) -> DataFrame:
-    """(line_no, line): a Markdown report of at most 40 hits (rank, score, title, text)."""
+    """(line_no, line): a Markdown report of all hits (rank, score, title, text)."""
     body = F.array(
         F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), F.coalesce("title", F.lit(""))),
         F.concat(F.lit("score: "), F.format_number("score", 4)), F.coalesce("text", F.lit("")), F.lit(""),
     )
     head = hits.sparkSession.range(1).select(F.lit(0).alias("line_no"), F.lit(f"# {query}").alias("line"))
-    rows = hits.where("rank <= 40").select("rank", F.posexplode(body).alias("p", "line"))
+    rows = hits.select("rank", F.posexplode(body).alias("p", "line"))
     return head.unionByName(rows.select(((F.col("rank") - 1) * 4 + F.col("p") + 1).cast("int").alias("line_no"), "line")).orderBy("line_no")
 
 

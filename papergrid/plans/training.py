@@ -31,8 +31,8 @@ def literature_graph(articles: DataFrame, records: DataFrame, citations: DataFra
     return tables, refs
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphans(*literature_graph(*(_table(spark, d, t) for t in ("articles", "reference_records", "citations"))))
+def _orphans(spark: SparkSession, d: str, staged: bool = False) -> DataFrame:
+    return orphans.orphans(*literature_graph(*(_table(spark, d, t) for t in ("articles", "reference_records", "citations"))), staged=staged)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_report(_orphans(spark, d))
+    return orphans.orphan_report(_orphans(spark, d, staged=True))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papergrid.functions.references import safe_id
+from papergrid.workspace import is_there
 
 
 def read_notes(spark: SparkSession, folder: str, recursive: bool = False, pattern: str = "*.md") -> DataFrame:
@@ -44,13 +45,24 @@ def read_articles(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_table_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A parquet table, or an empty one where nothing can be read at the path."""
-    from pyspark.errors import AnalysisException
+    """A parquet table, or an empty one where there is nothing at the path; what is there and can't be read is an error."""
+    return spark.read.schema(schema).parquet(path) if is_there(spark, path) else spark.createDataFrame([], schema)
 
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(key, fields of schema): a JSON object of records under their keys, saved as one file; no row where there is none."""
+    kind = f"map<string,struct<{schema}>>"
+    if not is_there(spark, path):
+        return spark.createDataFrame([], f"key string, {schema}")
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", kind))).select("key", "value.*")
+
+
+def read_references(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of a reference file, a JSON list; a missing file is an error."""
+    if not is_there(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.text(path, wholetext=True).select(F.inline(F.from_json("value", f"array<struct<{schema}>>")))
 
 
 def load_set(sets: DataFrame, set_id: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from papergrid.operators import chunks as C
 from papergrid.plans import pipeline as P
+from papergrid.workspace import is_there
 
 
 def note_stream(spark: SparkSession, folder: str, most_files: int = 1000) -> DataFrame:
@@ -40,13 +41,9 @@ def grow_index(chunks: DataFrame, index_path: str, checkpoint: str, embedder: Ca
     key = ["article_id", "section_no", "subsection_no", "paragraph_index"]
 
     def add(batch: DataFrame, number: int) -> None:
-        from pyspark.errors import AnalysisException
-
         spark = batch.sparkSession
-        try:
-            new = P.embed_new(batch, spark.read.parquet(index_path), key, dim, embedder)
-        except AnalysisException:
-            new = P.embed(batch, dim, embedder)
+        known = is_there(spark, index_path)
+        new = P.embed_new(batch, spark.read.parquet(index_path), key, dim, embedder) if known else P.embed(batch, dim, embedder)
         new.write.mode("append").parquet(index_path)
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

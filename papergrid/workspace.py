@@ -13,12 +13,14 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     if set_by_cluster := sc.getConf().get("spark.checkpoint.dir"):
         return set_by_cluster
     if (known := sc._jsc.sc().getCheckpointDir()).isDefined():
         return known.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="papergrid-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -39,6 +41,12 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Number of partitions for steps that are bound by CPU and not by bytes; explicit, so that AQE doesn't merge them."""
     return max(least, 3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
