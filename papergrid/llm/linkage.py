@@ -284,9 +284,13 @@ def _found(word: str, have: set[str], squashed: str, ends: dict[str, list[str]])
     return word in have or (len(word) > 3 and word in squashed) or _close(word, ends)
 
 
-def title_truth(shown: tuple, own: list[str]) -> tuple:
-    """(cover, titled, missing words stand between, the title begins the text): how a title stands in a text."""
+def title_truth(shown: tuple, own: list[str], whole: str) -> tuple:
+    """whole: the title's words without blanks. (cover, titled, missing words stand between, the title begins the text): how a title stands in a text."""
     tokens, years, numbers, squashed, have, marks, cut, shows_title, ends = shown
+    if len(own) > 2 and whole in squashed and have.issuperset(own):
+        heavy = [w for w in own if w not in LIGHT]
+        first = next((i for i, t in enumerate(tokens[:2]) if t in heavy), 2)
+        return 1.0, len(heavy) + 0.1 * (len(own) - len(heavy)) >= 3, 0, first < 2
     weight = [0.1 if w in LIGHT else 1.0 for w in own]
     hit = [w in have or (len(w) > 3 and w in squashed and w not in LIGHT) for w in own]
     # Misspelt words are looked for as long as enough of the title can still be there.
@@ -762,9 +766,9 @@ def _score(forms: dict[str, tuple[str, ...]]):
                     titles.clear()
                 if title not in titles:
                     own = title.split()
-                    titles[title] = own, set(own), _markers(own), _number(" ".join(w for w in own if w not in LIGHT))
-                own, known, marks, number = titles[title]
-                stands = title_truth(shown, own)
+                    titles[title] = own, "".join(own), set(own), _markers(own), _number(" ".join(w for w in own if w not in LIGHT))
+                own, whole, known, marks, number = titles[title]
+                stands = title_truth(shown, own, whole)
                 for r in rows.split(_ROW):
                     w1, w2, *fields = r.split(_FIELD)
                     if not stands[1] and fields[-1] not in shown[2]:
@@ -833,35 +837,48 @@ def _fields(pdf: pd.DataFrame, rows: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _touched(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-    """The texts of a group that shared identities bear on, directly or by others."""
+    """The texts of a group that shared identities bear on, directly or by others; home becomes the least shared identity that does."""
     if not len(pdf) or not len(shared):
         return pdf.iloc[:0]
     sizes = np.array([len(x) for x in pdf["w1"]], np.int64)
     w1 = np.concatenate([np.asarray(x, np.int64) for x in pdf["w1"]])
     truth = np.concatenate([np.asarray(x, np.float64) for x in pdf["truth"]]).reshape(len(w1), -1)
     p = problem(sizes, truth, w1, _fields(pdf, np.ones(len(w1), bool)))
-    blocks = p["block"][p["n"] + np.searchsorted(p["pids"], shared["pid"].to_numpy())]
-    first = np.cumsum(sizes) - sizes
-    return pdf[np.isin(p["block"][first], blocks)]
+    pids = np.sort(shared["pid"].to_numpy(np.int64))
+    least = np.full(p["block"].max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, p["block"][p["n"] + np.searchsorted(p["pids"], pids)], pids)
+    own = least[p["block"][np.cumsum(sizes) - sizes]]
+    return pdf.assign(home=own)[own < np.iinfo(np.int64).max]
 
 
-def _settled(blocks: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(h1, h2, w1, w2, confidence): the matches of the staged blocks. Identities that stand in several groups are agreed on by consensus: each group minimises
-    its own problem with its copies drawn to the mean less their duals, until copies and mean, and mean and last mean, lie within AGREED."""
+def _grouped(blocks: DataFrame) -> DataFrame:
+    """The staged blocks with a bucket and a chunk of about GROUP_TEXTS texts, those of one home together as far as they fit."""
     buckets = max(1, math.ceil(blocks.count() / GROUP_TEXTS))
     bucket = F.pmod(F.xxhash64("home"), F.lit(buckets)).cast("int")
     load = blocks.groupBy(bucket.alias("bucket")).count().where(F.col("count") > 2 * GROUP_TEXTS)
     chunks = F.coalesce(F.ceil(F.col("count") / GROUP_TEXTS), F.lit(1))
-    grouped = blocks.withColumn("bucket", bucket).join(load, "bucket", "left").withColumn("chunk", F.pmod(F.col("h1"), chunks).cast("int")).drop("count", "home")
-    done = stage(grouped.groupBy("bucket", "chunk").applyInPandas(lambda pdf: _settle(pdf), _SETTLED))
+    return blocks.withColumn("bucket", bucket).join(load, "bucket", "left").withColumn("chunk", F.pmod(F.col("h1"), chunks).cast("int")).drop("count")
+
+
+def _settled(blocks: DataFrame, regroupings: int = 2, most_rounds: int = 50) -> DataFrame:
+    """(h1, h2, w1, w2, confidence): the matches of the staged blocks.
+
+    Each group of texts is minimised by itself. Texts that identities of several groups bear on are grouped anew, by these identities, and
+    minimised again. Identities that still stand in several groups are agreed on by consensus: each group minimises its own problem with its copies drawn
+    to the mean less their duals, until copies and mean, and mean and last mean, lie within AGREED."""
     group, match = ["bucket", "chunk"], ["h1", "h2", "w1", "w2", "confidence"]
-    shared = done.where("pid IS NOT NULL").groupBy("pid").agg(F.avg("agreed").alias("mean"), F.count("*").alias("copies")).where("copies > 1")
-    state = stage(done.where("pid IS NOT NULL").select(*group, "pid", "agreed").join(shared, "pid"))
-    last = done.where("pid IS NULL").select(*match)
-    if state.isEmpty():
-        return last
-    touched = grouped.where(F.size("w1") > 1).groupBy(*group).cogroup(state.groupBy(*group)).applyInPandas(lambda pdf, ids: _touched(pdf, ids), grouped.schema)
-    active = stage(touched)
+    grouped, found = _grouped(blocks), None
+    for turn in range(regroupings + 1):
+        done = stage(grouped.groupBy(*group).applyInPandas(lambda pdf: _settle(pdf), _SETTLED))
+        matches = done.where("pid IS NULL").select(*match)
+        found = matches if found is None else found.join(grouped.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(matches)
+        shared = done.where("pid IS NOT NULL").groupBy("pid").agg(F.avg("agreed").alias("mean"), F.count("*").alias("copies")).where("copies > 1")
+        state = stage(done.where("pid IS NOT NULL").select(*group, "pid", "agreed").join(shared, "pid"))
+        if state.isEmpty():
+            return found
+        active = stage(grouped.where(F.size("w1") > 1).groupBy(*group).cogroup(state.groupBy(*group)).applyInPandas(lambda pdf, ids: _touched(pdf, ids), grouped.schema))
+        if turn < regroupings:
+            grouped = _grouped(active.drop(*group))
     state = state.select(*group, "pid", "copies", F.col("mean").alias("z"), (F.col("agreed") - F.col("mean")).alias("dual"))
     for _ in range(most_rounds):
         now = state.select(*group, "pid", F.col("z").alias("agreed"), "dual", "copies")
@@ -874,7 +891,7 @@ def _settled(blocks: DataFrame, most_rounds: int = 50) -> DataFrame:
         if far <= AGREED:
             break
     again = step.where("pid IS NULL").select(*match)
-    return last.join(again.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").unionByName(again.where(F.col("confidence") >= MATCH))
+    return found.join(again.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").unionByName(again.where(F.col("confidence") >= MATCH))
 
 
 def families(works: DataFrame) -> DataFrame:

@@ -89,7 +89,8 @@ def test_consensus(spark, monkeypatch):
     blocks = spark.createDataFrame(data, L._BLOCK)
     one = {(r.h1, r.w1): r.confidence for r in L._settled(blocks).collect()}
     monkeypatch.setattr(L, "GROUP_TEXTS", 1)
-    many = {(r.h1, r.w1): r.confidence for r in L._settled(blocks).collect()}
+    many = {(r.h1, r.w1): r.confidence for r in L._settled(blocks, 0).collect()}
+    assert {(r.h1, r.w1) for r in L._settled(blocks, 1).collect()} == set(many)
     assert set(one) == {(i // 2, int(ids[i])) for i in range(24) if round(want[i], 2) >= L.MATCH}
     assert set(many) == set(one) and pd.Series(many).sub(pd.Series(one)).abs().max() <= 0.06
 
