@@ -30,7 +30,7 @@ from papergrid.workspace import stage, tasks
 #: Mean rows of a shard, most pivots of one division, sample rows for a pivot; most rows of a graph and of a chunk of queries.
 SHARD_ROWS, PIVOTS_MOST, SAMPLE_EACH, SHARD_MOST, CHUNK = 1500, 2048, 25, 6000, 2000
 #: Shards searched for a query in a division: those whose pivot's cosine is at most MARGIN below the best one's, but no fewer and no more than these; beam width.
-MARGIN, PROBES, BEAM = 0.3, (4, 24), 48
+MARGIN, PROBES, BEAM = 0.25, (4, 24), 48
 #: Most neighbours of a node and beam width while a shard's graph is built.
 DEGREE, BUILD_BEAM = 32, 64
 #: Vectors of a block, of queries and of the collection, in the exact search.

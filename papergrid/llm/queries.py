@@ -90,8 +90,31 @@ def p9_language_counts(spark: SparkSession, d: str) -> DataFrame:
     return quality.counts(_table(spark, d, "documents"), "doc_id", "text", None)
 
 
+def p9_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return quality.language_profiles(_table(spark, d, "documents"), "text", "lang")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return quality.languages(_table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+def p1_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, against all, without loss."""
+    n = knn.exact(_vectors(spark, d), F.col("id") % 50 == 0)
+    return n.select("id", F.col("place").cast("int").alias("place"), F.round("similarity", 6).alias("similarity"))
+
+
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """(n_true, n_found, enough): how many of the exact neighbours of the vectors whose ids are divisible by 50 the graphs find, and whether that is nine in ten."""
+    vectors = _vectors(spark, d)
+    true = knn.exact(vectors, F.col("id") % 50 == 0).select("id", "other")
+    found = knn.nearest(vectors).where(F.col("id") % 50 == 0).select("id", "other", F.lit(1).alias("hit"))
+    counted = true.join(found, ["id", "other"], "left").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+    return counted.select("n_true", (F.col("n_found") >= 0.9 * F.col("n_true")).alias("enough"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p3_checked, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report, p9_found, p9_structure, p9_counts, p9_language_counts)
+    f.__name__: f for f in (p1_found, p1_exact, p1_recall, p2_found, p2_links, p3_found, p3_pieces, p3_checked, p6_found, p6_pairs, p7_ids, p7_roundtrip, p8_found, p8_report, p9_found, p9_structure, p9_counts, p9_language_counts, p9_profiles, p9_languages)
 }
 
 _COMMON = ", ".join(f"'{w}'" for w in sorted(set(quality.FUNCTION_WORDS["en"].split())))
@@ -111,7 +134,23 @@ _PAIRS = r"""
         WHERE n_ab >= 4 AND 1000 * n_ab >= n.n AND n_ab * n.n >= 3 * ca.n * cb.n)
 """
 
+_FUNCTION_WORDS = ", ".join(f"('{name}', '{w}')" for name, words in quality.FUNCTION_WORDS.items() for w in sorted(set(words.split())))
+_NEAREST = """
+    WITH c AS (SELECT vec_id AS id, embedding AS v FROM ref_chunks UNION ALL
+        SELECT unnest(para_ids[1:least(len(para_ids), len(embeddings))]), unnest(embeddings[1:least(len(para_ids), len(embeddings))]) FROM article_index),
+    u AS (SELECT id, CAST(min(v) AS DOUBLE[]) AS v FROM c WHERE id IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY id),
+    p AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id % 50 = 0 AND a.id <> b.id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS place FROM p QUALIFY place <= 10)
+"""
+
 SQL: dict[str, str] = {
+    "p1_exact": _NEAREST + "SELECT id, CAST(place AS INT) AS place, round(s, 6) AS similarity FROM n",
+    "p1_recall": _NEAREST + "SELECT count(*) AS n_true, true AS enough FROM n",
+    "p9_profiles": rf"""
+        WITH l(language, word) AS (VALUES {_FUNCTION_WORDS}), w AS (SELECT lang AS language, lower(unnest(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+'))) AS word FROM documents),
+        c AS (SELECT language, word, count(*) AS n FROM w JOIN l USING (language, word) GROUP BY ALL)
+        SELECT language, word, round(n / sum(n) OVER (PARTITION BY language), 6) AS share FROM c""",
     "p6_found": _PAIRS + "SELECT term_a, term_b FROM r",
     "p6_pairs": _PAIRS + "SELECT * FROM r",
     "p3_found": """

@@ -246,3 +246,24 @@ def test_divergence():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     d = quality.divergence(p, p)
     assert d[0, 0] == pytest.approx(0) and d[0, 1] == pytest.approx(d[1, 0]) and 0 < d[0, 1] < 1
+
+
+#: Texts that no profile was measured on: held-out layouts and languages.
+FRESH_PROSE = {'dialogue': '"Where have you been?" she asked.\n"At the market," he said. "I could not find the bread."\n"Then we will have to eat without it."\nHe sat down by the window and looked at the rain.\n"It is only for today," he said at last.\n"You said that yesterday."', 'dialogue_dash': '— Where have you been? she asked.\n— At the market, he said, and I could not find the bread.\n— Then we will have to eat without it.\n— It is only for today, he said at last.\n— You said that yesterday.', 'script': 'ANNA: Where have you been?\nPETER: At the market. I could not find the bread that you wanted.\nANNA: Then we will have to eat without it.\nPETER: It is only for today.\nANNA: You said that yesterday.', 'verse': 'The wind came down upon the hill\nAnd all the trees were bent and still,\nThe river ran beneath the stone\nAnd left the shepherd there alone;\nHe sang of days that were no more\nAnd of the light upon the shore.', 'italian': 'La ricerca è stata condotta in tre ospedali della regione. I pazienti sono stati seguiti per due anni, e i risultati mostrano che la terapia riduce il dolore nella maggior parte dei casi. Non sono emerse differenze tra uomini e donne.', 'russian': 'Исследование было проведено в трёх больницах региона. За пациентами наблюдали в течение двух лет, и результаты показывают, что лечение уменьшает боль в большинстве случаев. Различий между мужчинами и женщинами не выявлено.', 'korean': '이 연구는 지역의 세 병원에서 수행되었다. 환자들은 이 년 동안 관찰되었으며, 결과는 치료가 대부분의 경우 통증을 줄인다는 것을 보여 준다. 남성과 여성 사이에 차이는 없었다.', 'portuguese': 'A pesquisa foi realizada em três hospitais da região. Os pacientes foram acompanhados durante dois anos, e os resultados mostram que a terapia reduz a dor na maioria dos casos. Não houve diferenças entre homens e mulheres.', 'dutch': 'Het onderzoek werd uitgevoerd in drie ziekenhuizen in de regio. De patiënten werden twee jaar gevolgd, en de resultaten laten zien dat de behandeling de pijn in de meeste gevallen vermindert.', 'polish': 'Badanie przeprowadzono w trzech szpitalach regionu. Pacjentów obserwowano przez dwa lata, a wyniki pokazują, że leczenie zmniejsza ból w większości przypadków. Nie stwierdzono różnic między mężczyznami a kobietami.', 'greek': 'Η έρευνα πραγματοποιήθηκε σε τρία νοσοκομεία της περιοχής. Οι ασθενείς παρακολουθήθηκαν για δύο χρόνια και τα αποτελέσματα δείχνουν ότι η θεραπεία μειώνει τον πόνο στις περισσότερες περιπτώσεις.', 'arabic': 'أجريت الدراسة في ثلاثة مستشفيات في المنطقة. تمت متابعة المرضى لمدة عامين، وتظهر النتائج أن العلاج يقلل الألم في معظم الحالات.', 'chinese': '这项研究在该地区的三家医院进行。患者接受了两年的随访，结果显示治疗在大多数情况下可以减轻疼痛。男女之间没有差异。', 'hindi': 'यह अध्ययन क्षेत्र के तीन अस्पतालों में किया गया। मरीजों की दो साल तक निगरानी की गई, और परिणाम बताते हैं कि उपचार अधिकांश मामलों में दर्द कम करता है।', 'letter': 'Dear Sir,\n\nThank you for your letter of 3 May. We have read it with interest, and we are glad to tell you that the work can begin next week.\n\nYours sincerely,\nJ. Brown'}
+FRESH_OTHER = {'shopping': 'milk\neggs\nbread\nbutter\n2 apples\n1 onion\nflour', 'csv': 'a,b,c\n1,2,3\n4,5,6\n7,8,9', 'b64': 'QmFzZTY0IGVuY29kZWQgdGV4dCB0aGF0IGlzIG5vdCBwcm9zZQ==aGVsbG8gd29ybGQgdGhpcyBpcw', 'salad': 'river stone window under lamp seven green table horse cloud paper bottle circle running music garden silver mountain', 'bullets': '- first item\n- second item\n- third item\n- fourth item'}
+
+
+@pytest.mark.parametrize("name", sorted(FRESH_PROSE) + sorted(FRESH_OTHER))
+def test_fresh_texts(name):
+    import pandas as pd
+
+    text = FRESH_PROSE.get(name) or FRESH_OTHER[name]
+    got = next(quality._judge(iter([pd.DataFrame({"k": [0], "text": [text]})]))).iloc[0]
+    assert (got["no_prose"] > 0.5) == (name in FRESH_OTHER)
+
+
+def test_languages(spark):
+    rows = [(i, "the house of the man and the dog was in the street", "en") for i in range(3)] + [(i, "das Haus und der Hund in der Straße mit dem Mann und die Frau", "de") for i in range(3, 6)]
+    df = spark.createDataFrame([*rows, (7, None, "en"), (8, "", None), (9, "und das ist der Mann mit dem Haus in der Stadt", "en")], "doc_id int, text string, lang string")
+    got = {r.doc_id: r.language for r in quality.languages(df, "doc_id", "text", "lang", 5).collect()}
+    assert got == {**dict.fromkeys(range(3), "en"), **dict.fromkeys(range(3, 6), "de"), 7: None, 8: None, 9: "de"}
