@@ -47,9 +47,14 @@ def _count(heavy: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dense = np.zeros((heavy, heavy), np.int64)
         mixed: dict[int, np.ndarray] = {}
-        light = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        light = none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         waiting: list[np.ndarray] = []
 
+        def given(pairs: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(pairs[0]), 500_000):
+                keys, counts = pairs[0][at : at + 500_000], pairs[1][at : at + 500_000]
+                yield pd.DataFrame({"a": (keys >> 32).astype(np.int32), "b": (keys & 0xFFFFFFFF).astype(np.int32), "n": counts})
+
         def settle() -> tuple[np.ndarray, np.ndarray]:
             keys, counts = np.concatenate([light[0], *waiting]), np.concatenate([light[1], np.ones(sum(map(len, waiting)), np.int64)])
             waiting.clear()
@@ -84,15 +89,16 @@ def _count(heavy: int):
                     waiting.append((terms[:-step][same] << 32) | terms[step:][same])
                     if sum(map(len, waiting)) > HELD:
                         light = settle()
+                        if len(light[0]) > HELD:  # they are summed after the shuffle
+                            yield from given(light)
+                            light = none
         light = settle()
         a, b = np.nonzero(dense)
         yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "n": dense[a, b]})
         for t, probed in mixed.items():
             h = np.flatnonzero(probed)
             yield pd.DataFrame({"a": h.astype(np.int32), "b": np.full(len(h), t, np.int32), "n": probed[h]})
-        for at in range(0, len(light[0]), 500_000):
-            keys, counts = light[0][at : at + 500_000], light[1][at : at + 500_000]
-            yield pd.DataFrame({"a": (keys >> 32).astype(np.int32), "b": (keys & 0xFFFFFFFF).astype(np.int32), "n": counts})
+        yield from given(light)
 
     return run
 

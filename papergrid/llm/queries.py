@@ -144,7 +144,25 @@ _NEAREST = """
     n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS place FROM p QUALIFY place <= 10)
 """
 
+#: Compatibility forms that the texts have, for the oracle, whose engine has no NFKC: full-width signs, ligatures, small figures.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "0123456789" * 2
+_COMPAT = r"translate(regexp_replace(text, '[\x{AD}\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), '" + _WIDE + "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉', '" + _NARROW.replace("'", "''") + "')"
+for _a, _b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+    _COMPAT = f"replace({_COMPAT}, '{_a}', '{_b}')"
+_ITEM_WORDS = f"regexp_extract_all(lower(nfc_normalize({_COMPAT})), " + r"'[\p{L}\p{N}]+')"
+_LEAKS = f"""
+    WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+    g AS (SELECT DISTINCT item_id, least(len(w), 12) AS k, list_slice(w, CAST(p AS BIGINT), CAST(p + least(len(w), 12) - 1 AS BIGINT)) AS gram FROM i, unnest(range(1, len(w) - least(len(w), 12) + 2)) t(p) WHERE len(w) > 0),
+    h AS (SELECT item_id, k, array_to_string(gram, ' ') AS gram, gram[1] AS first FROM g),
+    m AS (SELECT doc_id, p, w FROM (SELECT doc_id, w, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) WHERE x IN (SELECT first FROM h)),
+    f AS (SELECT DISTINCT doc_id, item_id FROM m JOIN h ON h.first = m.w[m.p] AND h.gram = array_to_string(list_slice(m.w, m.p, m.p + h.k - 1), ' '))
+"""
+
 SQL: dict[str, str] = {
+    "p8_found": _LEAKS + "SELECT doc_id, item_id FROM f",
+    "p8_report": _LEAKS + """SELECT i.item_id, i.task, count(DISTINCT d.doc_id) AS n_docs, count(DISTINCT d.source) AS n_sources FROM eval_items i LEFT JOIN f ON f.item_id = i.item_id
+        LEFT JOIN documents d ON d.doc_id = f.doc_id GROUP BY 1, 2""",
     "p1_exact": _NEAREST + "SELECT id, CAST(place AS INT) AS place, round(s, 6) AS similarity FROM n",
     "p1_recall": _NEAREST + "SELECT count(*) AS n_true, true AS enough FROM n",
     "p9_profiles": rf"""
