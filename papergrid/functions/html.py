@@ -57,13 +57,18 @@ def strip_tags_column(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"(?U)\s+", " "))
 
 
+#: Elements deeper than this stand beside each other, so that no page is too deep to be read; their texts stay.
+DEPTH_MOST = 300
+
+
 class Node:
     """An element, or a text if tag is empty."""
 
-    __slots__ = ("tag", "attrs", "children", "text", "parent")
+    __slots__ = ("tag", "attrs", "children", "text", "parent", "depth")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, text: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.children, self.text, self.parent = tag, attrs or {}, [], text, parent
+        self.depth = parent.depth + 1 if parent else 0
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -112,7 +117,7 @@ class _Reader(HTMLParser):
             self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, parent=self.at)
         self.at.children.append(node)
-        if tag not in _VOID:
+        if tag not in _VOID and node.depth < DEPTH_MOST:
             self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -515,9 +520,7 @@ ARTICLE = (
 REFERENCES = "array<struct<ref_index:int,text:string,href:string,doi:string,pmid:string>>"
 
 
-@vectorised(ARTICLE)
-def article_of(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
-    """Article set of each page."""
+def article_rows(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
     rows = []
     for html, url in zip(pages, urls):
         root = read(html or "")
@@ -525,6 +528,20 @@ def article_of(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "authors", "journal", "year", "doi", "sections"])
 
 
+@vectorised(ARTICLE)
+def article_of(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
+    """Article set of each page."""
+    return article_rows(pages, urls)
+
+
+@vectorised(f"struct<article:{ARTICLE},records:{REFERENCES}>")
+def page_of(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
+    """article_of and references_of of each page in one step."""
+    articles = article_rows(pages, urls)
+    records = [references_of_page(h, u or "") if h else [] for h, u in zip(pages, urls)]
+    return pd.DataFrame({"article": articles.to_dict("records"), "records": pd.Series(records, dtype=object)})
+
+
 @vectorised(REFERENCES)
 def references_of(pages: pd.Series, urls: pd.Series) -> pd.Series:
     """Reference records of each page."""

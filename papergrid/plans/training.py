@@ -77,7 +77,55 @@ _ORPHANS = f"""
         AND citation_id NOT IN (SELECT row_id FROM direct WHERE src_table = 'citations' AND target_table = 'reference_records'))
 """
 
+def _elements(h: str, real: str = "json_type(x.v) = 'OBJECT' AND len(json_keys(x.v)) > 0", lone: str = "'OBJECT'", keyed: bool = False) -> str:
+    """The nodes of a list, or a lone one, with their places."""
+    by_number = f"""WHEN json_type({h}) = 'OBJECT' AND len(list_filter(json_keys({h}), lambda k: NOT regexp_matches(k, '^[0-9]{{1,18}}$'))) = 0
+        THEN list_transform(json_keys({h}), lambda k, i: {{'p': i, 'v': json_extract({h}, '$."' || k || '"')}})""" if keyed else ""
+    return f"""list_filter(CASE WHEN json_type({h}) = 'ARRAY' THEN list_transform(range(1, CAST(json_array_length({h}) AS BIGINT) + 1), lambda i: {{'p': i, 'v': json_extract({h}, '$[' || (i - 1) || ']')}})
+        {by_number} WHEN json_type({h}) IN ({lone}) THEN [{{'p': CAST(1 AS BIGINT), 'v': {h}}}] ELSE [] END, lambda x: {real})"""
+
+
+_BOM = "trim(regexp_replace({}, '^\\x{{FEFF}}', ''), chr(32) || chr(9) || chr(10) || chr(13))"
+_PAYLOADS = f"""
+    WITH a AS (SELECT payload_id, payload_kind = 'reference_set' AS is_set, {_BOM.format("body")} AS b FROM raw_payloads WHERE body IS NOT NULL),
+    s AS (SELECT payload_id, is_set, CASE WHEN json_valid(b) AND json_type(b) = 'VARCHAR' THEN {_BOM.format("json_extract_string(b, '$')")} ELSE b END AS b FROM a),
+    j AS (SELECT payload_id, is_set, CAST(b AS JSON) AS j FROM s WHERE json_valid(b)),
+    article AS (SELECT payload_id, CAST(x.p AS VARCHAR) AS path, x.v FROM (SELECT payload_id, unnest({_elements("h")}) AS x FROM
+        (SELECT payload_id, CASE WHEN json_type(j) = 'OBJECT' AND list_contains(json_keys(j), 'articles') THEN json_extract(j, '$.articles') ELSE j END AS h FROM j WHERE NOT is_set))),
+    section AS (SELECT payload_id, path || '/' || x.p AS path, x.v FROM (SELECT payload_id, path, unnest({_elements("h")}) AS x FROM (SELECT payload_id, path, json_extract(v, '$.sections') AS h FROM article))),
+    subsection AS (SELECT payload_id, path || '/' || x.p AS path, x.v FROM (SELECT payload_id, path, unnest({_elements("h")}) AS x FROM (SELECT payload_id, path, json_extract(v, '$.subsections') AS h FROM section))),
+    held AS (SELECT payload_id, CASE WHEN json_type(j) = 'OBJECT' AND list_contains(json_keys(j), 'set') THEN json_extract(j, '$.set') ELSE j END AS h FROM j WHERE is_set),
+    record AS (SELECT payload_id, CAST(x.p AS VARCHAR) AS path, x.v FROM (SELECT payload_id, unnest({_elements("h", keyed=True)}) AS x FROM
+        (SELECT payload_id, CASE WHEN json_type(h) = 'ARRAY' THEN h ELSE json_extract(h, '$.records') END AS h FROM held))),
+    pubmed AS (SELECT payload_id, path || '/' || x.p AS path, x.v FROM (SELECT payload_id, path, unnest({_elements("h")}) AS x FROM (SELECT payload_id, path, json_extract(v, '$.pubmed') AS h FROM record))),
+    author AS (SELECT payload_id, path || '/' || x.p AS path, x.v FROM (SELECT payload_id, path, unnest({_elements("h", "json_type(x.v) = 'VARCHAR' OR json_type(x.v) = 'OBJECT' AND len(json_keys(x.v)) > 0", "'OBJECT', 'VARCHAR'")}) AS x FROM
+        (SELECT payload_id, path, json_extract(v, '$.authors') AS h FROM pubmed)))
+"""
+
+
+def _flat_sql(kind: str, fields: str) -> str:
+    link = "payload_id, path AS node_path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS parent_path, CAST(regexp_extract(path, '[0-9]+$') AS BIGINT) AS place"
+    return f"{_PAYLOADS} SELECT {link}, {fields} FROM {kind}"
+
+
+def _strings(*names: str) -> str:
+    return ", ".join(f"json_extract_string(v, '$.{n}') AS {n}" for n in names)
+
+
+def _list(name: str, other: str | None = None) -> str:
+    own = f"CASE WHEN json_type(v, '$.{name}') = 'ARRAY' THEN json_extract_string(v, '$.{name}[*]') END"
+    return own if other is None else f"coalesce({own}, {_list(other)})"
+
+
 SQL: dict[str, str] = {
+    "p5_found": _PAYLOADS + " UNION ALL ".join(f"SELECT payload_id, '{k}' AS node_kind, path AS node_path FROM {k}" for k in nested.FLAT),
+    "p5_articles": _flat_sql("article", _strings("citekey", "title", "published", "source", "volume", "issue", "doi") + f", {_list('authors')} AS authors"),
+    "p5_sections": _flat_sql("section", _strings("title", "type", "content") + f", {_list('paragraphs')} AS paragraphs"),
+    "p5_subsections": _flat_sql("subsection", _strings("title", "content")),
+    "p5_records": _flat_sql("record", "CASE WHEN json_type(v, '$.index') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(v, '$.index') AS INT) END AS index, " + _strings("text", "doi", "pmid", "error")
+        + ", coalesce(CASE WHEN json_type(v, '$.pubmed_found') = 'BOOLEAN' THEN CAST(json_extract(v, '$.pubmed_found') AS BOOLEAN) END, CASE WHEN json_type(v, '$.pubmedFound') = 'BOOLEAN' THEN CAST(json_extract(v, '$.pubmedFound') AS BOOLEAN) END) AS pubmed_found"),
+    "p5_pubmeds": _flat_sql("pubmed", _strings("pmid", "doi", "title", "abstract", "journal", "year") + f", {_list('mesh_terms', 'meshTerms')} AS mesh_terms"),
+    "p5_authors": _flat_sql("author", "CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE trim(concat_ws(' ', json_extract_string(v, '$.given'), json_extract_string(v, '$.family'))) END AS name"),
     "p4_found": _ORPHANS + "SELECT DISTINCT src_table, row_id, target_table FROM direct",
     "p4_report": _ORPHANS + """
         SELECT src_table, target_table, strftime(at_time, '%Y-%m') AS month, kind, count(DISTINCT row_id) AS orphans

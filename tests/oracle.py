@@ -19,7 +19,7 @@ def run_sql(sql: str, folder: Path = DATA) -> pd.DataFrame:
 
 
 def _cell(x: object) -> str:
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "NULL"
     if isinstance(x, float):
         return repr(round(x, 6) + 0.0)

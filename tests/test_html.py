@@ -65,3 +65,10 @@ def test_columns(spark):
     assert not rows[2].ok and not rows[3].ok
     part = spark.range(1).select(H.figure_parts(F.lit("[Image URL: u]\n\nLegend")).alias("x")).first().x
     assert (part.image_url, part.legend) == ("u", "Legend")
+
+
+def test_very_deep_page():
+    from papergrid.functions import html
+
+    root = html.read("<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>after</p>")
+    assert root.plain() == "deep after" and html.sections_of_page(root)

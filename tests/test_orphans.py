@@ -69,3 +69,14 @@ def test_too_few_rounds(spark):
     with pytest.raises(ValueError, match="after 2 rounds"):
         orphans.orphans(*_chain(spark, 4), most_rounds=2)
     assert orphans.orphans(*_chain(spark, 2), most_rounds=2).count() == 3
+
+
+def test_deleted_target_passes_nothing_on(spark):
+    """An orphaned row makes orphans of what refers to it only while it exists."""
+    day = lambda n: T0 + timedelta(days=n)
+    rows = spark.createDataFrame([(1, "a", "gone", day(0), day(5)), (2, "a", None, day(0), None)], "id int, k string, p string, since timestamp, until timestamp")
+    children = spark.createDataFrame([(7, "a", day(1)), (8, "a", day(6)), (9, "b", day(1))], "id int, p string, at timestamp")
+    table = {"n": orphans.Table(rows, "id", "since", "until"), "c": orphans.Table(children, "id")}
+    refs = [orphans.Reference("n", "n", (F.col("p"),), (F.col("k"),), "since"), orphans.Reference("c", "n", (F.col("p"),), (F.col("k"),), "at")]
+    got = {(r.src_table, r.row_id, r.kind) for r in orphans.orphans(table, refs).collect()}
+    assert got == {("n", 1, "direct"), ("c", 9, "direct"), ("c", 7, "inherited")}
