@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,16 +110,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _vocabulary(name: str, folder: str) -> str:
-    return os.path.join(folder, f"{name}.tiktoken")
+def _vocabulary(df: DataFrame, name: str, folder: str) -> str:
+    """Name of the rank file among those given to all executors."""
+    path = os.path.join(folder, f"{name}.tiktoken")
+    sc = df.sparkSession.sparkContext
+    given = getattr(sc, "_papergrid_files", {})
+    if given.setdefault(os.path.basename(path), path) != path:
+        raise ValueError(f"another folder's {os.path.basename(path)} was given to the executors before")
+    if not hasattr(sc, "_papergrid_files") or path not in sc._papergrid_sent:
+        sc._papergrid_files, sc._papergrid_sent = given, getattr(sc, "_papergrid_sent", set()) | {path}
+        sc.addFile(path)
+    return os.path.basename(path)
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """(key, ids array<int>) of each row's text."""
-    path = _vocabulary(vocabulary, folder)
+    name = _vocabulary(df, vocabulary, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -131,10 +141,10 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k",
 
 def decode(df: DataFrame, key: str, ids: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """(key, text) of each row's ids; null ids give null."""
-    path = _vocabulary(vocabulary, folder)
+    name = _vocabulary(df, vocabulary, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             texts = pa.array([None if x is None else own.decode(x) for x in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["k", "text"])
