@@ -134,7 +134,7 @@ def session_lines(session_id: str, question: str, answer: str, hits: DataFrame)
 
 def import_pages(pages: DataFrame, url: str = "source_url", html: str = "html") -> DataFrame:
     """Article and references of each page; either may fail by itself: ok if one is there, with an error for each that isn't."""
-    both = pages.select("*", H.article_of(F.col(html), F.col(url)).alias("article"), H.references_of(F.col(html), F.col(url)).alias("records"))
+    both = pages.withColumn("_page", H.page_of(F.col(html), F.col(url))).select("*", "_page.article", "_page.records").drop("_page")
     no_article, no_records = F.size("article.sections") == 0, F.size("records") == 0
     return both.withColumns({
         "article_error": F.when(no_article, "no section was found"), "reference_error": F.when(no_records, "no reference was found"), "ok": ~(no_article & no_records),
