@@ -248,7 +248,7 @@ def test_divergence():
     assert d[0, 0] == pytest.approx(0) and d[0, 1] == pytest.approx(d[1, 0]) and 0 < d[0, 1] < 1
 
 
-#: Texts that no profile was measured on: held-out layouts and languages.
+#: Layouts and languages that the corpus lacks. Seven of the languages were judged wrongly before profiles and function words were added for them, so these are no held-out texts.
 FRESH_PROSE = {'dialogue': '"Where have you been?" she asked.\n"At the market," he said. "I could not find the bread."\n"Then we will have to eat without it."\nHe sat down by the window and looked at the rain.\n"It is only for today," he said at last.\n"You said that yesterday."', 'dialogue_dash': '— Where have you been? she asked.\n— At the market, he said, and I could not find the bread.\n— Then we will have to eat without it.\n— It is only for today, he said at last.\n— You said that yesterday.', 'script': 'ANNA: Where have you been?\nPETER: At the market. I could not find the bread that you wanted.\nANNA: Then we will have to eat without it.\nPETER: It is only for today.\nANNA: You said that yesterday.', 'verse': 'The wind came down upon the hill\nAnd all the trees were bent and still,\nThe river ran beneath the stone\nAnd left the shepherd there alone;\nHe sang of days that were no more\nAnd of the light upon the shore.', 'italian': 'La ricerca è stata condotta in tre ospedali della regione. I pazienti sono stati seguiti per due anni, e i risultati mostrano che la terapia riduce il dolore nella maggior parte dei casi. Non sono emerse differenze tra uomini e donne.', 'russian': 'Исследование было проведено в трёх больницах региона. За пациентами наблюдали в течение двух лет, и результаты показывают, что лечение уменьшает боль в большинстве случаев. Различий между мужчинами и женщинами не выявлено.', 'korean': '이 연구는 지역의 세 병원에서 수행되었다. 환자들은 이 년 동안 관찰되었으며, 결과는 치료가 대부분의 경우 통증을 줄인다는 것을 보여 준다. 남성과 여성 사이에 차이는 없었다.', 'portuguese': 'A pesquisa foi realizada em três hospitais da região. Os pacientes foram acompanhados durante dois anos, e os resultados mostram que a terapia reduz a dor na maioria dos casos. Não houve diferenças entre homens e mulheres.', 'dutch': 'Het onderzoek werd uitgevoerd in drie ziekenhuizen in de regio. De patiënten werden twee jaar gevolgd, en de resultaten laten zien dat de behandeling de pijn in de meeste gevallen vermindert.', 'polish': 'Badanie przeprowadzono w trzech szpitalach regionu. Pacjentów obserwowano przez dwa lata, a wyniki pokazują, że leczenie zmniejsza ból w większości przypadków. Nie stwierdzono różnic między mężczyznami a kobietami.', 'greek': 'Η έρευνα πραγματοποιήθηκε σε τρία νοσοκομεία της περιοχής. Οι ασθενείς παρακολουθήθηκαν για δύο χρόνια και τα αποτελέσματα δείχνουν ότι η θεραπεία μειώνει τον πόνο στις περισσότερες περιπτώσεις.', 'arabic': 'أجريت الدراسة في ثلاثة مستشفيات في المنطقة. تمت متابعة المرضى لمدة عامين، وتظهر النتائج أن العلاج يقلل الألم في معظم الحالات.', 'chinese': '这项研究在该地区的三家医院进行。患者接受了两年的随访，结果显示治疗在大多数情况下可以减轻疼痛。男女之间没有差异。', 'hindi': 'यह अध्ययन क्षेत्र के तीन अस्पतालों में किया गया। मरीजों की दो साल तक निगरानी की गई, और परिणाम बताते हैं कि उपचार अधिकांश मामलों में दर्द कम करता है।', 'letter': 'Dear Sir,\n\nThank you for your letter of 3 May. We have read it with interest, and we are glad to tell you that the work can begin next week.\n\nYours sincerely,\nJ. Brown'}
 FRESH_OTHER = {'shopping': 'milk\neggs\nbread\nbutter\n2 apples\n1 onion\nflour', 'csv': 'a,b,c\n1,2,3\n4,5,6\n7,8,9', 'b64': 'QmFzZTY0IGVuY29kZWQgdGV4dCB0aGF0IGlzIG5vdCBwcm9zZQ==aGVsbG8gd29ybGQgdGhpcyBpcw', 'salad': 'river stone window under lamp seven green table horse cloud paper bottle circle running music garden silver mountain', 'bullets': '- first item\n- second item\n- third item\n- fourth item'}
 
@@ -267,3 +267,42 @@ def test_languages(spark):
     df = spark.createDataFrame([*rows, (7, None, "en"), (8, "", None), (9, "und das ist der Mann mit dem Haus in der Stadt", "en")], "doc_id int, text string, lang string")
     got = {r.doc_id: r.language for r in quality.languages(df, "doc_id", "text", "lang", 5).collect()}
     assert got == {**dict.fromkeys(range(3), "en"), **dict.fromkeys(range(3, 6), "de"), 7: None, 8: None, 9: "de"}
+
+
+#: Written after the profiles were last changed, and judged once; what is judged wrongly stays listed as such.
+LATER_PROSE = {
+    'finnish': 'Tutkimus tehtiin kolmessa alueen sairaalassa. Potilaita seurattiin kaksi vuotta, ja tulokset osoittavat, että hoito vähentää kipua useimmissa tapauksissa.',
+    'hungarian': 'A vizsgálatot a régió három kórházában végezték. A betegeket két évig követték, és az eredmények azt mutatják, hogy a kezelés a legtöbb esetben csökkenti a fájdalmat.',
+    'vietnamese': 'Nghiên cứu được thực hiện tại ba bệnh viện trong khu vực. Các bệnh nhân được theo dõi trong hai năm, và kết quả cho thấy điều trị làm giảm đau trong hầu hết các trường hợp.',
+    'hebrew': 'המחקר נערך בשלושה בתי חולים באזור. המטופלים היו במעקב במשך שנתיים, והתוצאות מראות שהטיפול מפחית את הכאב ברוב המקרים.',
+    'thai': 'การศึกษานี้ดำเนินการในโรงพยาบาลสามแห่งในภูมิภาค ผู้ป่วยได้รับการติดตามเป็นเวลาสองปี และผลลัพธ์แสดงให้เห็นว่าการรักษาช่วยลดความเจ็บปวดในกรณีส่วนใหญ่',
+    'czech': 'Studie byla provedena ve třech nemocnicích v regionu. Pacienti byli sledováni po dobu dvou let a výsledky ukazují, že léčba ve většině případů snižuje bolest.',
+    'indonesian': 'Penelitian ini dilakukan di tiga rumah sakit di wilayah tersebut. Para pasien diamati selama dua tahun, dan hasilnya menunjukkan bahwa pengobatan mengurangi rasa sakit dalam banyak kasus.',
+    'german_verse': 'Der Abend legt sich auf das Land,\nDie Vögel sind verstummt,\nEin Kind geht an der Mutter Hand,\nDer letzte Käfer summt.',
+    'one_line': 'We could not repeat the result.',
+    'capitals': 'THE PATIENTS WERE SEEN AFTER TWO YEARS, AND NONE OF THEM HAD ANY PAIN THAT NEEDED TREATMENT.',
+    'numbers_in_prose': 'In 2019, 45 of 120 patients (37.5 %) had pain at rest, against 22 of 118 (18.6 %) in 2021; the difference was 18.9 points (95 % CI 7.4 to 30.1).',
+    'spanish_dialogue': '—¿Dónde has estado? —preguntó ella.\n—En el mercado —dijo él—, y no he encontrado el pan.\n—Entonces comeremos sin él.',
+}
+LATER_OTHER = {
+    'phones': 'Anna Brown 555-0134\nPeter Green 555-0199\nMary White 555-0111\nJohn Black 555-0172',
+    'log': '2024-01-03 10:22:01 INFO start worker=3\n2024-01-03 10:22:04 WARN retry=2 host=db1\n2024-01-03 10:22:09 ERROR timeout after=5000ms',
+    'toc': '1. Introduction .... 3\n2. Methods .... 7\n3. Results .... 12\n4. Discussion .... 20',
+    'keyboard': 'asdf jkl; qwer uiop zxcv bnm, asdfgh jklö qwertz',
+    'code': 'for (int i = 0; i < n; i++) {\n  sum += a[i] * b[i];\n}\nreturn sum / n;',
+    'menu': 'Home | About | Contact | Login\nNews | Sports | Weather',
+    'md_table': '| drug | dose | n |\n| --- | --- | --- |\n| A | 5 mg | 20 |\n| B | 10 mg | 22 |',
+    'authors': 'Brown A, Green P, White M, Black J, Gray K, Reed L, Stone F',
+    'hex': '0x4f 0x2a 0xff 0x00 0x13 0x9c 0xde 0xad 0xbe 0xef',
+    'words_sorted': 'apple apricot banana blueberry cherry date elderberry fig grape guava kiwi lemon lime mango',
+}
+WRONG = {"thai", "spanish_dialogue", "keyboard", "menu", "hex"}
+
+
+@pytest.mark.parametrize("name", [pytest.param(n, marks=pytest.mark.xfail(strict=True) if n in WRONG else ()) for n in sorted(LATER_PROSE) + sorted(LATER_OTHER)])
+def test_later_texts(name):
+    import pandas as pd
+
+    text = LATER_PROSE.get(name) or LATER_OTHER[name]
+    got = next(quality._judge(iter([pd.DataFrame({"k": [0], "text": [text]})]))).iloc[0]
+    assert (got["no_prose"] > 0.5) == (name in LATER_OTHER)
