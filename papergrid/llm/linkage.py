@@ -74,11 +74,18 @@ def _combining() -> dict[int, None]:
     return dict.fromkeys(c for c in range(0x20000) if unicodedata.combining(chr(c)))
 
 
+#: Frequent signs that only part words, so that most texts have no other than ASCII left.
+_SIGNS = "–“”‐‑‘—"
+
+
 def fold(text: str) -> str:
     """Lower case without accents, soft hyphens and apostrophes."""
     text = text.replace("\xad", "").replace("’", "").replace("'", "")
     if "<" in text:
         text = _TAG.sub("", text)
+    if not text.isascii():
+        for sign in _SIGNS:
+            text = text.replace(sign, " ")
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_combining())
     return text.lower()
@@ -324,7 +331,7 @@ def title_truth(shown: tuple, own: list[str], whole: str) -> tuple:
 
 def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
     """Truth values of the predicates, from 0 to 1. shown: of the text, as seen() gives it; title: as title_truth() gives it; row: fields of the bibliographic row."""
-    tokens, years, numbers, squashed, have, marks, cut, shows_title, ends = shown
+    tokens, years, numbers, squashed, have, own_marks, cut, own_words, ends = shown
     cover, titled, extra, unnamed = title
     known = row["known"]
     page, volume, year, name = row["page"], row["volume"], row["year"], row["name"]
@@ -337,9 +344,13 @@ def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
     journal_in = any(j in squashed for j in row["journals"])
     if page_in:
         by_numbers = min(1.0, 0.35 + 0.35 * volume_in + 0.15 * year_in + 0.1 * name_in + 0.1 * journal_in)
+        shows_title = not titled and _has_words(own_words)
         if not titled and (shows_title or not (volume_in and (name_in or journal_in))):
             by_numbers = min(by_numbers, 0.2 if shows_title and known else 0.4)  # it shows another title, or too little
     doubt = 1 - 0.75 * by_numbers
+    if titled and not own_marks:
+        own_marks.append(_markers(tokens))
+    marks = own_marks[0] if titled else set()
     wrong_marks = titled and bool(row["marks"] - marks if cut else marks ^ row["marks"])
     return [
         min(1.0, max(0.0, (cover - 0.6) / 0.35)) if titled else 0.0, by_numbers,
@@ -349,11 +360,16 @@ def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
     ]
 
 
+def _has_words(text: str) -> bool:
+    """Whether a text shows several words in small letters, or in capitals, as titles have."""
+    return len(_PLAIN_WORD.findall(text)) > 3 or len(_CAPITAL_WORD.findall(text)) > 3
+
+
 def seen(text: str) -> tuple:
+    """What is known of a text; its markers, words and the ends of its words are looked at when a rule first asks for them."""
     tokens, years, numbers = _shown(text)
-    plain = len(_PLAIN_WORD.findall(text)) > 3 or len(_CAPITAL_WORD.findall(text)) > 3
     have = set(tokens)
-    return tokens, years, numbers, "".join(tokens), have, _markers(tokens), "..." in text or "…" in text, plain, _Ends(have)
+    return tokens, years, numbers, "".join(tokens), have, [], "..." in text or "…" in text, text, _Ends(have)
 
 
 def minimise(
