@@ -485,9 +485,13 @@ def _generic(root: Node, url: str) -> list[dict]:
     return distinct_records([r for i, t in enumerate(texts, 1) if t and not _SUPPLEMENT.search(t) and ((r := _record(i, t, url, []))["doi"] or r["pmid"] or len(t) >= 30)])
 
 
+#: Signs of the publishers whose pages have lists of their own form.
+FAMILIES = (("sage", "sagepub|sage publications|american journal of sports medicine"), ("wiley", r"wiley|journal of orthopaedic research"), ("science", r"science\.org"))
+
+
 def page_family(root: Node, url: str) -> str:
     hay = f"{url} " + " ".join(metas(root, r"citation_publisher|citation_journal_title|dc\.publisher"))
-    for family, sign in (("sage", "sagepub|sage publications|american journal of sports medicine"), ("wiley", r"wiley|journal of orthopaedic research"), ("science", r"science\.org")):
+    for family, sign in FAMILIES:
         if re.search(sign, hay, re.I):
             return family
     return "metadata" if metas(root, _META_NAMES) else "generic"

@@ -169,6 +169,7 @@ def type_of(title: str, rules: str = "note") -> str:
     return "review" if rules == "review" else "other"
 
 
+#: Headings of sections and subsections.
 _LEVEL2, _LEVEL3 = re.compile(r"##\s+([^\n]+)\n"), re.compile(r"###\s+([^\n]+)\n")
 
 
@@ -270,6 +271,7 @@ def numbered_references(text: Column) -> Column:
 
 # --- edits of whole notes ---------------------------------------------------------------------------------------------------------
 
+#: Fixed value: the heading of the main text.
 _MAIN = re.compile(r"^# 4 Main Text\s*\n", re.M)
 
 

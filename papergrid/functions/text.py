@@ -34,13 +34,14 @@ SECTION_RULES: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
     ),
     "review": (("acknowledgements", ("acknowledgement", "acknowledgment")), ("references", ("reference",))),
 }
-#: Section types left out by each step.
+#: Section types left out by each step.
 EXCLUDED = {
     "convert": ("references", "acknowledgements", "abstract", "cited_by"),
     "index": ("references", "acknowledgements", "abbreviations", "keywords", "other"),
     "index_mac": ("references", "acknowledgements"),
     "search_targets": ("intro", "materials|methods", "results", "discussion", "conclusion"),
 }
+#: Titles of back matter, and the letters of Japanese.
 _BACK_MATTER = (
     "abstract", "acknowledgements", "acknowledgments", "conflict of interest", "conflicts of interest", "funding", "author contributions",
     "supplementary material", "data availability",
