@@ -88,6 +88,38 @@ def test_leaks(spark, most):
     assert sorted(got) == sorted(brute(docs, items))
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_leaks_of_repeated_items(spark, most, monkeypatch):
+    """Equal items are worked on once, and one id may have two texts; the filter's bound is on different fingerprints."""
+    docs, items = cases()
+    items = [(i + 1000 * k, t) for k in range(4) for i, t in items if i is not None] + [(3, items[4][1])]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    different = len({(len(s), g) for _, t in items if t for s in [next(iter(spans(t)), ())] for g in leakage._kept(leakage._hashes(leakage.words(t)), np.zeros(len(leakage.words(t))), len(s) or 1)[0].tolist()})
+    if most:
+        most = different
+        monkeypatch.setattr(leakage, "bloom", None)
+    got = [(r.doc_id, r.item_id) for r in leakage.leaks(d, e, filter_most=most).collect()]
+    assert sorted(got) == sorted(brute(docs, items))
+
+
+def test_fingerprint_rows_are_small():
+    """The words beside a fingerprint are those a passage could cover, however long the item."""
+    import pandas as pd
+
+    item = " ".join(f"w{i}" for i in range(30_000))
+    out = pd.concat(leakage._prints([leakage.SPAN], None, True)(iter([pd.DataFrame({"id": ["a"], "text": [item]})])))
+    assert len(out) > 1000 and out["context"].map(len).max() <= 2 * leakage.SPAN
+
+
+def test_bloom_filter(spark):
+    """All known fingerprints pass it, of others few do."""
+    rng = np.random.default_rng(0)
+    known, other = (rng.integers(0, 1 << 63, 20_000).astype(np.uint64) for _ in range(2))
+    table = leakage.bloom(spark.createDataFrame([(5, int(x)) for x in known], "span int, print bigint"))
+    assert leakage._passes(known, 5, table).all()
+    assert leakage._passes(other, 5, table).mean() < 0.01 and leakage._passes(known, 6, table).mean() < 0.01
+
+
 def test_leaks_empty(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert leakage.leaks(d, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
