@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,46 +67,53 @@ _TAG = re.compile(r"</?[a-zA-Z]{1,6}>")
 _TAIL_SIGNS = ("full text", "google", "crossref", "pubmed", "view in", "doi", "http")
 _PLAIN_WORD, _CAPITAL_WORD = re.compile(r"(?<![A-Za-z])[a-z]{4,}(?![A-Za-z])"), re.compile(r"(?<![A-Za-z])[A-Z]{4,}(?![A-Za-z])")
 _HEAD = re.compile(r"^\s*(?:[*•-]\s*)?(?:[\[(]?\d{1,3}[\]).]\s*)+")
-_TAIL = re.compile(r"(?:\[?free full text\]?|google scholar|crossref|pubmed|view in article|\bdoi:?\s*\S+|https?://\S+)", re.I)
-
-
-@lru_cache(maxsize=1)
-def _combining() -> dict[int, None]:
-    return dict.fromkeys(c for c in range(0x20000) if unicodedata.combining(chr(c)))
+_TAIL = re.compile(r"(?=[\[fgcpvdh])(?:\[?free full text\]?|google scholar|crossref|pubmed|view in article|\bdoi:?\s*\S+|https?://\S+)", re.I)
 
 
 #: Frequent signs that only part words, so that most texts have no other than ASCII left.
 _SIGNS = "–“”‐‑‘—"
 
 
-def fold(text: str) -> str:
-    """Lower case without accents, soft hyphens and apostrophes."""
-    text = text.replace("\xad", "").replace("’", "").replace("'", "")
+def _parted(text: str) -> str:
+    """Without accents, soft hyphens, apostrophes and tags, in the case given."""
+    if not text.isascii():
+        text = text.replace("\xad", "").replace("’", "")
+    text = text.replace("'", "")
     if "<" in text:
         text = _TAG.sub("", text)
     if not text.isascii():
         for sign in _SIGNS:
             text = text.replace(sign, " ")
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_combining())
-    return text.lower()
+        text = unicodedata.normalize("NFKD", text)
+        for c in set(text):
+            if c > "\x7f" and unicodedata.combining(c):
+                text = text.replace(c, "")
+    return text
+
+
+def fold(text: str) -> str:
+    """Lower case without accents, soft hyphens and apostrophes."""
+    return _parted(text).lower()
 
 
 _forms: dict[str, str] = {}
+#: Bytes of ASCII in lower case, blanks where words are parted.
+_ASCII = bytes(ord(c.lower()) if (c := chr(b)).isascii() and c.isalnum() else 32 for b in range(256))
 
 
 def words(text: str) -> list[str]:
     """Words in one form for both sides: misread 1 and 0 inside words are l and o."""
-    raw = _SPLIT.split(fold(text))
+    text = _parted(text)
+    raw = text.encode().translate(_ASCII).decode().split() if text.isascii() else [w for w in _SPLIT.split(text.lower()) if w]
     try:
-        out = [_forms[w] for w in raw]
+        return [_forms[w] for w in raw]
     except KeyError:
         if len(_forms) > 500_000:
             _forms.clear()
         for w in raw:
             _forms[w] = w if w.isalpha() or w.isdigit() else w.replace("1", "l").replace("0", "o")
-        out = [_forms[w] for w in raw]
-    return [w for w in out if w]
+        return [_forms[w] for w in raw]
 
 
 _known: dict[str, int] = {}
@@ -161,11 +169,15 @@ def _surname(author: str | None) -> str:
 def _shown(text: str) -> tuple[list[str], list[str], list[str]]:
     """Words, years and other numbers that a citation text shows."""
     low = text.lower()
-    if any(sign in low for sign in _TAIL_SIGNS):
-        text = _TAIL.sub(" ", text)
-    tokens = words(_HEAD.sub("", text))
+    for sign in _TAIL_SIGNS:
+        if sign in low:
+            text = _TAIL.sub(" ", text)
+            break
+    if head := _HEAD.match(text):
+        text = text[head.end() :]
+    tokens = words(text)
     numbers = [t for t in tokens if t.isdigit()]
-    years = list(dict.fromkeys(t for t in numbers if len(t) == 4 and t[:2] in ("19", "20")))
+    years = list(dict.fromkeys([t for t in numbers if len(t) == 4 and t[:2] in ("19", "20")]))
     return tokens, years, numbers
 
 
@@ -198,15 +210,27 @@ def _number_keys(triples: list[tuple[int, int, int, int]]) -> tuple[np.ndarray,
 
 def text_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(place, key) of citation texts: of words, and of each two numbers up to two places apart with the years shown and with that of rows without one."""
-    runs, numbers = [], []
-    for place, text in enumerate(texts):
+    runs, pairs, years, n_pairs, n_years = [], [], [], [], []
+    for text in texts:
         tokens, shown, every = _shown(text)
         runs.append(_in_keys(tokens))
         plain = [_hash(n) for n in every if n not in shown or every.count(n) > 1]
-        years = [*map(_hash, shown), _NO_YEAR] if shown else [_ANY_YEAR]
-        numbers += {(place, v, n, y) for i, v in enumerate(plain) for n in plain[i + 1 : i + 3] for y in years}
-    (a, b), (c, d) = _word_keys(runs), _number_keys(numbers)
-    return np.concatenate([a, c]), np.concatenate([b, d])
+        own = {*zip(plain, plain[1:]), *zip(plain, plain[2:])}
+        dates = [*map(_hash, shown), _NO_YEAR] if shown else [_ANY_YEAR]
+        pairs += own
+        years += dates
+        n_pairs.append(len(own))
+        n_years.append(len(dates))
+    a, b = _word_keys(runs)
+    if not pairs:
+        return a, b
+    # Each pair with each year of its text.
+    place, times = np.repeat(np.arange(len(texts)), n_pairs), np.repeat(n_years, n_pairs)
+    two, date = np.array(pairs, np.uint64), np.array(years, np.uint64)
+    first = np.repeat((np.cumsum(n_years) - n_years)[place], times)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    d = _mix(np.repeat(two[:, 0], times), np.repeat(two[:, 1], times), date[first + nth])
+    return np.concatenate([a, np.repeat(place, times)]), np.concatenate([b, d])
 
 
 def row_number_keys(rows: list[tuple[int, str, str, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,8 +272,19 @@ def _marker(token: str) -> tuple[str, ...]:
     return ()
 
 
-def _markers(tokens: list[str]) -> set[str]:
-    out = {m for t in tokens for m in _marker(t)}
+#: Tokens known to be no marker.
+_unmarked: set[str] = set()
+
+
+def _markers(tokens: list[str], different: set[str] | None = None) -> set[str]:
+    out: set[str] = set()
+    for t in (different or set(tokens)) - _unmarked:
+        if own := _marker(t):
+            out.update(own)
+        else:
+            if len(_unmarked) > 500_000:
+                _unmarked.clear()
+            _unmarked.add(t)
     return out | {f"part {b}" for a, b in zip(tokens, tokens[1:]) if a == "part" and b.isdigit()} if "part" in tokens else out
 
 
@@ -258,36 +293,23 @@ SUPPORT = ("title", "numbers")
 AGAINST = ("missing", "page", "marker", "volume", "year", "author", "journal", "extra")
 
 
-def _by_ends(tokens: set[str]) -> dict[str, list[str]]:
-    """Tokens by first letter, and by last one after a sign: what is one edit apart from a word of two letters or more has one of both in common."""
-    out: dict[str, list[str]] = {}
-    for t in tokens:
-        if len(t) > 2:
-            out.setdefault(t[0], []).append(t)
-            out.setdefault("<" + t[-1], []).append(t)
-    return out
+def _by_ends(tokens: set[str]) -> list[str]:
+    """The tokens that another word can be close to. Few words are looked for in a text, so a pass over them is cheaper than an index of their ends."""
+    return [t for t in tokens if len(t) > 2]
 
 
-class _Ends:
-    """_by_ends, made when first asked for."""
-
-    def __init__(self, tokens: set[str]) -> None:
-        self._tokens, self._known = tokens, None
-
-    def get(self, key: str, other: tuple) -> list[str] | tuple:
-        if self._known is None:
-            self._known = _by_ends(self._tokens)
-        return self._known.get(key, other)
-
-
-def _close(word: str, ends: dict[str, list[str]] | _Ends) -> bool:
+def _close(word: str, ends: list[str]) -> bool:
+    """Whether a token is one edit apart; with two letters or more it then has the first or the last one in common."""
     if len(word) < 2:
         return False
-    n = len(word)
-    return any(-2 < len(t) - n < 2 and _near(t, word) for k in (word[0], "<" + word[-1]) for t in ends.get(k, ()))
+    n, first, last = len(word), word[0], word[-1]
+    for t in ends:
+        if (t[0] == first or t[-1] == last) and -2 < len(t) - n < 2 and _near(t, word):
+            return True
+    return False
 
 
-def _found(word: str, have: set[str], squashed: str, ends: dict[str, list[str]]) -> bool:
+def _found(word: str, have: set[str], squashed: str, ends: list[str]) -> bool:
     return word in have or (len(word) > 3 and word in squashed) or _close(word, ends)
 
 
@@ -298,10 +320,17 @@ def title_truth(shown: tuple, own: list[str], whole: str) -> tuple:
         heavy = [w for w in own if w not in LIGHT]
         first = next((i for i, t in enumerate(tokens[:2]) if t in heavy), 2)
         return 1.0, len(heavy) + 0.1 * (len(own) - len(heavy)) >= 3, 0, first < 2
-    weight = [0.1 if w in LIGHT else 1.0 for w in own]
-    hit = [w in have or (len(w) > 3 and w in squashed and w not in LIGHT) for w in own]
+    weight, hit, missing = [], [], []
+    for i, w in enumerate(own):
+        if w in LIGHT:
+            weight.append(0.1)
+            hit.append(w in have)
+        else:
+            weight.append(1.0)
+            hit.append(w in have or (len(w) > 3 and w in squashed))
+            if not hit[-1]:
+                missing.append(i)
     # Misspelt words are looked for as long as enough of the title can still be there.
-    missing = [i for i, h in enumerate(hit) if not h and weight[i] > 0.5]
     most = sum(weight)
     room, left = max(0.5 * most, 3.0) - (most - len(missing)), len(missing)
     for i in missing:
@@ -314,19 +343,21 @@ def title_truth(shown: tuple, own: list[str], whole: str) -> tuple:
     if cut and any(hit):
         last = len(hit) - hit[::-1].index(True)
         weight, hit = weight[:last], hit[:last]
-    matched = sum(w for w, h in zip(weight, hit) if h)
+    matched = sum([w for w, h in zip(weight, hit) if h])
     cover = matched / sum(weight) if weight else 0.0
     titled = matched >= 3 and cover >= 0.5
     if not titled:
         return cover, False, 0, False
     known = set(own)
-    at = [i for i, t in enumerate(tokens) if t in known and t not in LIGHT]
+    heavy = known - LIGHT
     extra = 0
-    if cover < 0.995 and at:
-        text, near = "".join(own), _by_ends(known)
+    if cover < 0.995 and (at := [i for i, t in enumerate(tokens) if t in heavy]):
+        near = None
         for t in tokens[at[0] : at[-1] + 1]:
-            extra += t not in known and t not in LIGHT and not t.isdigit() and t not in text and not _close(t, near)
-    return cover, True, extra, bool(at) and at[0] < 2
+            if t not in known and t not in LIGHT and not t.isdigit() and t not in whole:
+                near = _by_ends(known) if near is None else near
+                extra += not _close(t, near)
+    return cover, True, extra, not heavy.isdisjoint(tokens[:2])
 
 
 def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
@@ -339,7 +370,7 @@ def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
     by_numbers = 0.0
     if not titled and not page_in:
         return []
-    places = [n for n in numbers if n not in known and n not in years]
+    places = [n for n in numbers if n not in known and n not in years] if (page and not page_in) or (volume and not volume_in) else ()
     name_in = bool(name) and _found(name, have, squashed, ends)
     journal_in = any(j in squashed for j in row["journals"])
     if page_in:
@@ -349,7 +380,7 @@ def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
             by_numbers = min(by_numbers, 0.2 if shows_title and known else 0.4)  # it shows another title, or too little
     doubt = 1 - 0.75 * by_numbers
     if titled and not own_marks:
-        own_marks.append(_markers(tokens))
+        own_marks.append(_markers(tokens, have))
     marks = own_marks[0] if titled else set()
     wrong_marks = titled and bool(row["marks"] - marks if cut else marks ^ row["marks"])
     return [
@@ -366,10 +397,10 @@ def _has_words(text: str) -> bool:
 
 
 def seen(text: str) -> tuple:
-    """What is known of a text; its markers, words and the ends of its words are looked at when a rule first asks for them."""
+    """What is known of a text; its markers and words are looked at when a rule first asks for them."""
     tokens, years, numbers = _shown(text)
     have = set(tokens)
-    return tokens, years, numbers, "".join(tokens), have, [], "..." in text or "…" in text, text, _Ends(have)
+    return tokens, years, numbers, "".join(tokens), have, [], "..." in text or "…" in text, text, _by_ends(have)
 
 
 def minimise(
@@ -716,7 +747,8 @@ def hot_keys(keys: tuple[np.ndarray, np.ndarray], items: int) -> np.ndarray:
 
 
 def _plain(title: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(title), r"</?[a-z]{1,6}>", ""), r"[^0-9a-zα-ω]+", "")
+    low = F.lower(title)
+    return F.regexp_replace(F.when(low.contains("<"), F.regexp_replace(low, r"</?[a-z]{1,6}>", "")).otherwise(low), r"[^0-9a-zα-ω]+", "")
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -736,11 +768,33 @@ def _number(word: str) -> int:
 
 _UP = np.array([WEIGHTS[name] for name in AGAINST])
 _DOWN = np.array([WEIGHTS[name] for name in SUPPORT])
+_UP_LIST, _DOWN_LIST = _UP.tolist(), _DOWN.tolist()
+
+
+#: From here on a truth value is 1 as a float of 32 bits.
+_ONE = 1 - 2.0**-25
 
 
-def _solo(truth: np.ndarray) -> np.ndarray:
-    """Whether each row's own rules put its value above 0: the slope at 0 is negative."""
-    return (truth[:, : len(SUPPORT)] > 0) @ _DOWN > WEIGHTS["prior"] + (truth[:, len(SUPPORT) :] >= 1) @ _UP
+def _rises(t: list[float], one: float = 1.0) -> bool:
+    """Whether a row's own rules put its value above 0: the slope at 0 is negative."""
+    up, against = 0.0, WEIGHTS["prior"]
+    for w, x in zip(_DOWN_LIST, t):
+        if x > 0:
+            up += w
+    for w, x in zip(_UP_LIST, t[len(SUPPORT) :]):
+        if x >= one:
+            against += w
+    return up > against
+
+
+def _agree(a: tuple, b: tuple) -> bool:
+    """Whether identity() finds that two rows agree at all. Fields are words, year, volume, page and name, 0 is unknown."""
+    for x, y in zip(a[2:], b[2:]):
+        if x and y and x != y:
+            return False
+    if a[1] and b[1] and abs(a[1] - b[1]) > 1:
+        return False
+    return a[0] == b[0] or (a[1:4] == b[1:4] and 0 not in a[1:4])
 
 
 def _score(forms: dict[str, tuple[str, ...]]):
@@ -748,57 +802,64 @@ def _score(forms: dict[str, tuple[str, ...]]):
 
     Left out is only what ends at 0 in any case: rows that neither rise alone nor may be of one publication with one that does,
     as 0 is then the least of every rule they stand in."""
-    down, up = _DOWN.tolist(), _UP.tolist()
 
-    def block(h1: int, h2: int, found: list[tuple]) -> tuple | None:
+    def block(found: list[tuple]) -> tuple[int, list[tuple]] | None:
+        """The home of a text's block, and its rows."""
         if len(found) == 1:
-            f, w1, w2, t, *own = found[0]
-            rises = sum(w for w, x in zip(down, t) if x > 0) > WEIGHTS["prior"] + sum(w for w, x in zip(up, t[len(SUPPORT) :]) if x >= 1)
-            return (f, h1, h2, [w1], [w2], t, *([x] for x in own)) if rises else None
-        truth = np.array([x[3] for x in found], np.float32)
-        alone = _solo(truth)
-        if not alone.any():
+            return (found[0][0], found) if _rises(found[0][3]) else None
+        alone = [x for x in found if _rises(x[3], _ONE)]
+        if not alone:
             return None
-        fields = tuple(np.array([x[k] for x in found], np.int32) for k in (4, 5, 6, 7, 8))
-        if not alone.all():
-            keep = alone.copy()
-            for i in np.flatnonzero(alone):
-                rest = np.flatnonzero(~keep)
-                keep[rest[identity(np.full(len(rest), i), rest, *fields)[0] > 0]] = True
-            found, truth, fields = [x for x, k in zip(found, keep) if k], truth[keep], tuple(f[keep] for f in fields)
-        home = found[int((truth[:, 0] + truth[:, 1]).argmax())][0]
-        return (home, h1, h2, [x[1] for x in found], [x[2] for x in found], truth.ravel(), *fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if len(alone) < len(found):
+            ids = {id(x) for x in alone}
+            found = [x for x in found if id(x) in ids or any(_agree(x[4], y[4]) for y in alone)]
+        support = np.array([x[3][: len(SUPPORT)] for x in found], np.float32)
+        return found[int((support[:, 0] + support[:, 1]).argmax())][0], found
+
+    def batch(blocks: list[tuple]) -> pa.RecordBatch:
+        rows = [x for *_, found in blocks for x in found]
+        offsets = np.cumsum([0, *(len(found) for *_, found in blocks)], dtype=np.int32)
+        of_rows = lambda values, k=1: pa.ListArray.from_arrays(pa.array(k * offsets, pa.int32()), pa.array(values))
+        fields = np.array([x[4] for x in rows], np.int32).T
+        columns = [pa.array([b[k] for b in blocks], pa.int64()) for k in range(3)] + [of_rows(np.array([x[k] for x in rows], np.int64)) for k in (1, 2)]
+        columns += [of_rows(np.array([x[3] for x in rows], np.float32).ravel(), len(SUPPORT) + len(AGAINST)), *(of_rows(np.ascontiguousarray(f)) for f in fields)]
+        return pa.RecordBatch.from_arrays(columns, names=_COLUMNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, shown, found, out = None, None, [], []
-        titles: dict[str, tuple] = {}
-        for pdf in batches:
-            for h1, h2, text, f, title, rows in zip(pdf["h1"], pdf["h2"], pdf["text"], pdf["f"], pdf["title"], pdf["rows"]):
+        titles: dict[str, list] = {}
+        for b in batches:
+            for h1, h2, text, f, title, rows in zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "text", "f", "title", "rows"))):
                 if (h1, h2) != last:
-                    if found and (b := block(*last, found)):
-                        out.append(b)
+                    if found and (own := block(found)):
+                        out.append((own[0], *last, own[1]))
                     last, shown, found = (h1, h2), seen(text), []
                 if len(titles) > 50_000:
                     titles.clear()
-                if title not in titles:
+                entry = titles.get(title)
+                if entry is None:
                     own = title.split()
-                    titles[title] = own, "".join(own), set(own), _markers(own), _number(" ".join(w for w in own if w not in LIGHT))
-                own, whole, known, marks, number = titles[title]
+                    # Looked at when a rule first asks for them: the title's set of words, its markers and its number.
+                    entry = titles[title] = [own, "".join(own), None, None, None]
+                own, whole, known, marks, number = entry
                 stands = title_truth(shown, own, whole)
                 for r in rows.split(_ROW):
-                    w1, w2, *fields = r.split(_FIELD)
-                    if not stands[1] and fields[-1] not in shown[2]:
+                    w1, w2, name, journal, year, volume, page = r.split(_FIELD)
+                    if not stands[1] and page not in shown[2]:
                         continue
-                    row = row_fields(known, marks, *fields, forms)
-                    truth = truths(shown, stands, row)
+                    if known is None:
+                        known, marks = set(own), _markers(own)
+                        number = _number(" ".join([w for w in own if w not in LIGHT]))
+                        entry[2:] = known, marks, number
+                    truth = truths(shown, stands, row_fields(known, marks, name, journal, year, volume, page, forms))
                     if truth and max(truth[:2]) > 0:
-                        year = int(row["year"]) if row["year"].isdecimal() and len(row["year"]) < 9 else _number(row["year"])
-                        found.append((f, int(w1), int(w2), truth, number, year, _number(row["volume"]), _number(row["page"]), _number(row["name"])))
+                        date = int(year) if year.isdecimal() and len(year) < 9 else _number(year)
+                        found.append((f, int(w1), int(w2), truth, (number, date, _number(volume), _number(page), _number(name))))
             if out:
-                yield pd.DataFrame(out, columns=_COLUMNS)
+                yield batch(out)
                 out = []
-        if found and (b := block(*last, found)):
-            yield pd.DataFrame([b], columns=_COLUMNS)
+        if found and (own := block(found)):
+            yield batch([(own[0], *last, own[1])])
 
     return run
 
@@ -913,8 +974,9 @@ def _settled(blocks: DataFrame, regroupings: int = 2, most_rounds: int = 50) ->
 def families(works: DataFrame) -> DataFrame:
     """(f, title, rows): the distinct rows of each title, in chunks of about FAMILY_MOST by hash; title as words with blanks, rows as packed_row() gives them.
     A row without a title is its own."""
-    plain = _plain(F.col("title"))
-    keyed = works.drop("work_id").withColumn("t", F.when(plain == "", F.col("w1")).otherwise(F.xxhash64(plain)))
+    # The plain title is computed once a row.
+    keyed = works.drop("work_id").withColumn("k", F.xxhash64(_plain(F.col("title"))))
+    keyed = keyed.withColumn("t", F.when(F.col("k") == F.xxhash64(F.lit("")), F.col("w1")).otherwise(F.col("k"))).drop("k")
     many = keyed.groupBy("t").agg(F.approx_count_distinct("w1").alias("n")).where(F.col("n") > FAMILY_MOST)
     chunk = F.pmod(F.col("w1"), F.coalesce(F.ceil(F.col("n") / FAMILY_MOST), F.lit(1)))
     f = F.xxhash64("t", chunk).bitwiseAND(_ID).alias("f")
@@ -977,6 +1039,6 @@ def link(records: DataFrame, rows: DataFrame, journals: DataFrame) -> DataFrame:
     both = near.join(held, "f").join(one_text, "h")
     # The window keeps a text's rows together and in order.
     both = both.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("h1", "h2"))).drop("h")
-    matched = _settled(stage(both.mapInPandas(_score(forms), _BLOCK)))
+    matched = _settled(stage(both.select("h1", "h2", "text", "f", "title", "rows", "place").mapInArrow(_score(forms), _BLOCK)))
     found = matched.join(works.select("work_id", "w1", "w2"), ["w1", "w2"]).select("h1", "h2", "work_id", "confidence")
     return texts.select("ref_id", "h1", "h2").join(found, ["h1", "h2"]).select("ref_id", "work_id", "confidence").distinct()

@@ -95,6 +95,31 @@ def test_consensus(spark, monkeypatch):
     assert set(many) == set(one) and pd.Series(many).sub(pd.Series(one)).abs().max() <= 0.06
 
 
+def test_scoring_is_quick():
+    """No index of a text's words is made for the few words that a title lacks there: the calls a pair takes are bounded."""
+    import cProfile
+    import pstats
+
+    texts = [f"{i}. Barek DK, Mön E. Loss of XVL{i}A leads to difuse innervation in the muscle. Acta Exp Marrow Biol. 2010;58(3):{i}-880. doi: 10.1/x{i}" for i in range(300)]
+    titles = [f"loss of xvl{i}a leads to diffuse innervation in the muscle of controls" for i in range(300)]
+    run = lambda: [L.title_truth(L.seen(text), title.split(), title.replace(" ", "")) for text, title in zip(texts, titles)]
+    run()
+    profile = cProfile.Profile()
+    profile.runcall(run)
+    assert pstats.Stats(profile).total_calls < 250 * len(texts)
+
+
+def test_agreement_is_that_of_identity():
+    """The rule for two rows and the one for arrays of rows are the same, and so are those for rising rows."""
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        rows = np.stack([rng.integers(0, 3, 2), rng.choice([0, 2001, 2002, 2003], 2), *(rng.integers(0, 3, 2) for _ in range(3))]).astype(np.int32)
+        assert L._agree(*map(tuple, rows.T.tolist())) == bool(L.identity(np.array([0]), np.array([1]), *rows)[0][0] > 0)
+    against = [0.0] * len(L.AGAINST)
+    assert L._rises([0.2, 0.0, *against]) and not L._rises([0.0, 0.0, *against]) and not L._rises([0.2, 0.0, 0.0, 1.0, *against[2:]])
+    assert L._rises([0.2, 0.0, 0.0, 1 - 1e-9, *against[2:]]) and not L._rises([0.2, 0.0, 0.0, 1 - 1e-9, *against[2:]], L._ONE)
+
+
 def test_words_and_edits():
     assert L.words("Ro1e of ENAME1, β-x") == ["role", "of", "enamel", "β", "x"]
     assert L._near("fibrosis", "firbosis") and L._near("fibrosis", "fibrosi") and not L._near("fibrosis", "necrosis")
