@@ -24,12 +24,14 @@ neither light, numbers nor shorter than three letters has no key of its own: its
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -64,10 +66,10 @@ MATCH = 0.5
 
 _SPLIT = re.compile(r"[^0-9a-zα-ω]+")
 _TAG = re.compile(r"</?[a-zA-Z]{1,6}>")
-_TAIL_SIGNS = ("full text", "google", "crossref", "pubmed", "view in", "doi", "http")
+_TAIL_WORDS = ("google scholar", "crossref", "pubmed", "view in article")
 _PLAIN_WORD, _CAPITAL_WORD = re.compile(r"(?<![A-Za-z])[a-z]{4,}(?![A-Za-z])"), re.compile(r"(?<![A-Za-z])[A-Z]{4,}(?![A-Za-z])")
 _HEAD = re.compile(r"^\s*(?:[*•-]\s*)?(?:[\[(]?\d{1,3}[\]).]\s*)+")
-_TAIL = re.compile(r"(?=[\[fgcpvdh])(?:\[?free full text\]?|google scholar|crossref|pubmed|view in article|\bdoi:?\s*\S+|https?://\S+)", re.I)
+_LINK, _FREE = re.compile(r"\bdoi:?\s*\S+|https?://\S+"), re.compile(r"\[?free full text\]?")
 
 
 #: Frequent signs that only part words, so that most texts have no other than ASCII left.
@@ -168,11 +170,14 @@ def _surname(author: str | None) -> str:
 
 def _shown(text: str) -> tuple[list[str], list[str], list[str]]:
     """Words, years and other numbers that a citation text shows."""
-    low = text.lower()
-    for sign in _TAIL_SIGNS:
-        if sign in low:
-            text = _TAIL.sub(" ", text)
-            break
+    text = text.lower()
+    if "doi" in text or "http" in text:
+        text = _LINK.sub(" ", text)
+    if "free full text" in text:
+        text = _FREE.sub(" ", text)
+    for tail in _TAIL_WORDS:
+        if tail in text:
+            text = text.replace(tail, " ")
     if head := _HEAD.match(text):
         text = text[head.end() :]
     tokens = words(text)
@@ -187,7 +192,7 @@ _NO_YEAR, _ANY_YEAR = 1, 2
 
 def _word_keys(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(place of the item, key), each once, of the words in PATTERNS."""
-    flat, owner = np.array([w for ws in runs for w in ws], np.uint64), np.repeat(np.arange(len(runs)), [len(w) for w in runs])
+    flat, owner = np.fromiter(chain.from_iterable(runs), np.uint64), np.repeat(np.arange(len(runs)), [len(w) for w in runs])
     items, keys = [], []
     for pattern in PATTERNS:
         reach = pattern[-1]
@@ -195,11 +200,16 @@ def _word_keys(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         items.append(owner[at])
         keys.append(_mix(*(flat[at + k] for k in pattern)))
     item, key = np.concatenate(items), np.concatenate(keys)
-    order = np.lexsort((key, item))
-    item, key = item[order], key[order]
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (key[1:] != key[:-1])
-    return item[new], key[new]
+    # Only words that come again can make a key twice.
+    again = np.fromiter((len(set(w)) < len(w) for w in runs), bool, len(runs))[item]
+    if not again.any():
+        return item, key
+    some, of = item[again], key[again]
+    order = np.lexsort((of, some))
+    some, of = some[order], of[order]
+    new = np.ones(len(some), bool)
+    new[1:] = (some[1:] != some[:-1]) | (of[1:] != of[:-1])
+    return np.concatenate([item[~again], some[new]]), np.concatenate([key[~again], of[new]])
 
 
 def _number_keys(triples: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +236,7 @@ def text_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return a, b
     # Each pair with each year of its text.
     place, times = np.repeat(np.arange(len(texts)), n_pairs), np.repeat(n_years, n_pairs)
-    two, date = np.array(pairs, np.uint64), np.array(years, np.uint64)
+    two, date = np.fromiter(chain.from_iterable(pairs), np.uint64).reshape(-1, 2), np.fromiter(years, np.uint64)
     first = np.repeat((np.cumsum(n_years) - n_years)[place], times)
     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     d = _mix(np.repeat(two[:, 0], times), np.repeat(two[:, 1], times), date[first + nth])
@@ -313,66 +323,73 @@ def _found(word: str, have: set[str], squashed: str, ends: list[str]) -> bool:
     return word in have or (len(word) > 3 and word in squashed) or _close(word, ends)
 
 
-def title_truth(shown: tuple, own: list[str], whole: str) -> tuple:
-    """whole: the title's words without blanks. (cover, titled, missing words stand between, the title begins the text): how a title stands in a text."""
+def title_form(own: list[str]) -> tuple[set[str], list[str], set[str], list[str]]:
+    """A title's words, those of weight as they stand and each once, and the light ones."""
+    known = set(own)
+    heavy, light = [w for w in own if w not in LIGHT], [w for w in own if w in LIGHT]
+    return known, heavy, known.difference(light), light
+
+
+def title_truth(shown: tuple, own: list[str], whole: str, form: tuple | None = None) -> tuple:
+    """whole: the title's words without blanks; form: as title_form() gives it. (cover, titled, whether missing words stand between, the title begins the
+    text): how a title stands in a text. A light word weighs a tenth of another."""
     tokens, years, numbers, squashed, have, marks, cut, shows_title, ends = shown
-    if len(own) > 2 and whole in squashed and have.issuperset(own):
-        heavy = [w for w in own if w not in LIGHT]
-        first = next((i for i, t in enumerate(tokens[:2]) if t in heavy), 2)
-        return 1.0, len(heavy) + 0.1 * (len(own) - len(heavy)) >= 3, 0, first < 2
-    weight, hit, missing = [], [], []
-    for i, w in enumerate(own):
-        if w in LIGHT:
-            weight.append(0.1)
-            hit.append(w in have)
-        else:
-            weight.append(1.0)
-            hit.append(w in have or (len(w) > 3 and w in squashed))
-            if not hit[-1]:
-                missing.append(i)
+    known, heavy, once, light = form or title_form(own)
+    most = 10 * len(heavy) + len(light)
+    if len(own) > 2 and whole in squashed and have >= known:
+        return 1.0, most >= 30, False, not once.isdisjoint(tokens[:2])
+    lost = [w for w in once - have if len(w) < 4 or w not in squashed]
     # Misspelt words are looked for as long as enough of the title can still be there.
-    most = sum(weight)
-    room, left = max(0.5 * most, 3.0) - (most - len(missing)), len(missing)
-    for i in missing:
+    times = heavy.count if len(heavy) > len(once) else lambda w: 1
+    left = 10 * sum(map(times, lost))
+    room = max(most / 2, 30) - (most - left)
+    if lost and not ends:
+        ends += _by_ends(have)
+    absent = set()
+    for w in lost:
         if room > left and not cut:
-            break
-        left -= 1
-        if _close(own[i], ends):
-            hit[i] = True
-            room -= 1
-    if cut and any(hit):
-        last = len(hit) - hit[::-1].index(True)
-        weight, hit = weight[:last], hit[:last]
-    matched = sum([w for w, h in zip(weight, hit) if h])
-    cover = matched / sum(weight) if weight else 0.0
-    titled = matched >= 3 and cover >= 0.5
-    if not titled:
-        return cover, False, 0, False
-    known = set(own)
-    heavy = known - LIGHT
-    extra = 0
-    if cover < 0.995 and (at := [i for i, t in enumerate(tokens) if t in heavy]):
+            return 0.0, False, False, False
+        left -= 10 * times(w)
+        if _close(w, ends):
+            room -= 10 * times(w)
+        else:
+            absent.add(w)
+    if cut:
+        hit = [w in have if w in LIGHT else w not in absent for w in own]
+        last = len(hit) - hit[::-1].index(True) if any(hit) else len(hit)
+        weight = [1 if w in LIGHT else 10 for w in own[:last]]
+        matched, most = sum([w for w, h in zip(weight, hit) if h]), sum(weight)
+    else:
+        matched = 10 * (len(heavy) - (sum(map(times, absent)))) + sum([w in have for w in light])
+    cover = matched / most if most else 0.0
+    if matched < 30 or cover < 0.5:
+        return cover, False, False, False
+    extra = False
+    if cover < 0.995 and (at := [i for i, t in enumerate(tokens) if t in once]):
         near = None
         for t in tokens[at[0] : at[-1] + 1]:
             if t not in known and t not in LIGHT and not t.isdigit() and t not in whole:
                 near = _by_ends(known) if near is None else near
-                extra += not _close(t, near)
-    return cover, True, extra, not heavy.isdisjoint(tokens[:2])
+                if not _close(t, near):
+                    extra = True
+                    break
+    return cover, True, extra, not once.isdisjoint(tokens[:2])
 
 
-def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
-    """Truth values of the predicates, from 0 to 1. shown: of the text, as seen() gives it; title: as title_truth() gives it; row: fields of the bibliographic row."""
+def truths(shown: tuple, title: tuple, known: set[str], marks_: set[str], journals: tuple[str, ...], name: str, year: str, volume: str, page: str) -> list[float]:
+    """Truth values of the predicates, from 0 to 1. shown: of the text, as seen() gives it; title: as title_truth() gives it, with its words, markers and
+    the journal's forms; then fields of the bibliographic row."""
     tokens, years, numbers, squashed, have, own_marks, cut, own_words, ends = shown
     cover, titled, extra, unnamed = title
-    known = row["known"]
-    page, volume, year, name = row["page"], row["volume"], row["year"], row["name"]
     page_in, volume_in, year_in = bool(page) and page in numbers, bool(volume) and volume in numbers, bool(year) and year in years
     by_numbers = 0.0
     if not titled and not page_in:
         return []
+    if name and not ends:
+        ends += _by_ends(have)
     places = [n for n in numbers if n not in known and n not in years] if (page and not page_in) or (volume and not volume_in) else ()
     name_in = bool(name) and _found(name, have, squashed, ends)
-    journal_in = any(j in squashed for j in row["journals"])
+    journal_in = _one_in(journals, squashed)
     if page_in:
         by_numbers = min(1.0, 0.35 + 0.35 * volume_in + 0.15 * year_in + 0.1 * name_in + 0.1 * journal_in)
         shows_title = not titled and _has_words(own_words)
@@ -382,25 +399,32 @@ def truths(shown: tuple, title: tuple, row: dict) -> list[float]:
     if titled and not own_marks:
         own_marks.append(_markers(tokens, have))
     marks = own_marks[0] if titled else set()
-    wrong_marks = titled and bool(row["marks"] - marks if cut else marks ^ row["marks"])
+    wrong_marks = titled and bool(marks_ - marks if cut else marks ^ marks_)
     return [
         min(1.0, max(0.0, (cover - 0.6) / 0.35)) if titled else 0.0, by_numbers,
         doubt * min(1.0, (1 - cover) / 0.25) if titled else 0.0, float(bool(page) and not page_in and len(places) > 1), float(wrong_marks),
         float(bool(volume) and not volume_in and len(places) > 1), float(bool(year) and bool(years) and not year_in),
-        float(bool(name) and not name_in and not unnamed), float(bool(row["journals"]) and not journal_in), doubt * min(1.0, extra),
+        float(bool(name) and not name_in and not unnamed), float(bool(journals) and not journal_in), doubt * min(1.0, extra),
     ]
 
 
+def _one_in(journals: tuple[str, ...], squashed: str) -> bool:
+    for j in journals:
+        if j in squashed:
+            return True
+    return False
+
+
 def _has_words(text: str) -> bool:
     """Whether a text shows several words in small letters, or in capitals, as titles have."""
     return len(_PLAIN_WORD.findall(text)) > 3 or len(_CAPITAL_WORD.findall(text)) > 3
 
 
 def seen(text: str) -> tuple:
-    """What is known of a text; its markers and words are looked at when a rule first asks for them."""
+    """What is known of a text; its markers and the words that others may be close to are looked at when a rule first asks for them."""
     tokens, years, numbers = _shown(text)
     have = set(tokens)
-    return tokens, years, numbers, "".join(tokens), have, [], "..." in text or "…" in text, text, _by_ends(have)
+    return tokens, years, numbers, "".join(tokens), have, [], "..." in text or "…" in text, text, []
 
 
 def minimise(
@@ -425,7 +449,7 @@ def minimise(
             over = np.bincount(rule, weights=coef * v, minlength=len(bound)) - bound
             step = np.where(over > 0, np.minimum(weight / rho, over / norm), 0.0)
             y = v - step[rule] * coef
-            z = np.clip((rho * np.bincount(at, weights=y + u, minlength=len(names)) + pulled) / copies, 0.0, 1.0)
+            z = np.minimum(np.maximum((rho * np.bincount(at, weights=y + u, minlength=len(names)) + pulled) / copies, 0.0), 1.0)
             gap = y - z[at]
             u += gap
         rounds += 30
@@ -460,12 +484,17 @@ def _blocks(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+@lru_cache(maxsize=ANCHORS)
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _pairs_of(sizes: np.ndarray, support: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of rows that have rules with each other, block by block: all, or those with one of the best-supported ANCHORS."""
     left, right, start = [], [], 0
     for n in sizes:
         if n > 1:
-            a, b = np.triu_indices(min(n, ANCHORS), 1)
+            a, b = _triangle(min(int(n), ANCHORS))
             if n > ANCHORS:
                 order = np.argsort(-support[start : start + n], kind="stable")
                 c, d = np.repeat(np.arange(ANCHORS), n - ANCHORS), np.tile(np.arange(ANCHORS, n), ANCHORS)
@@ -580,14 +609,15 @@ _ROW, _FIELD = "\x1e", "\x1f"
 _ROW_COLUMNS = ("w1", "w2", "author", "journal", "year", "volume", "page")
 
 
-def packed_row(w1: int, w2: int, author: str, journal: str, year: str, volume: str, page: str) -> str:
-    """A row as text: its hashes, the first author's name, the journal's squashed name, year, volume and page."""
-    rest = (f.translate({0x1E: " ", 0x1F: " "}).strip() for f in (year, volume, page))
-    return _FIELD.join((str(w1), str(w2), _surname(author), "".join(words(journal)), *rest))
+@lru_cache(maxsize=100_000)
+def _squashed(name: str) -> str:
+    return "".join(words(name))
 
 
-def row_fields(known: set[str], marks: set[str], name: str, journal: str, year: str, volume: str, page: str, forms: dict[str, tuple[str, ...]]) -> dict:
-    return {"known": known, "marks": marks, "name": name, "year": year, "volume": volume, "page": page, "journals": forms.get(journal, (journal,) if journal else ())}
+def packed_row(w1: int, w2: int, author: str, journal: str, year: str, volume: str, page: str) -> str:
+    """A row as text: its hashes, the first author's name, the journal's squashed name, year, volume and page."""
+    rest = [f if f.isalnum() else f.translate({0x1E: " ", 0x1F: " "}).strip() for f in (year, volume, page)]
+    return _FIELD.join((str(w1), str(w2), _surname(author), _squashed(journal), *rest))
 
 
 def journal_forms(full: list[str | None], short: list[str | None]) -> dict[str, tuple[str, ...]]:
@@ -622,9 +652,12 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def _packed(bucket: np.ndarray, data: np.ndarray, **more: int) -> pd.DataFrame:
     """One row for each bucket with its entries."""
+    # Numbers of 16 bits are sorted by their digits.
+    bucket = bucket.astype(np.uint16 if bucket.max(initial=0) < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    which, start = np.unique(bucket[order], return_index=True)
-    data, stops = data[order], np.append(start[1:], len(order))
+    bucket, data = bucket[order], data[order]
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    which, stops = bucket[start], np.append(start[1:], len(order))
     return pd.DataFrame({"bucket": which.astype(np.int32), **{k: np.int32(v) for k, v in more.items()}, "data": [data[a:b].tobytes() for a, b in zip(start, stops)]})
 
 
@@ -632,9 +665,14 @@ def _unpacked(blobs: pd.Series, kind: np.dtype = _ENTRY) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
+def _among(key: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Whether each key is one of a few sorted ones."""
+    return few[np.minimum(np.searchsorted(few, key), len(few) - 1)] == key if len(few) else np.zeros(len(key), bool)
+
+
 def _salted(key: np.ndarray, bucket: np.ndarray, salt: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     """Hot keys of texts go to one of as many further buckets."""
-    return np.where(np.isin(key, hot), buckets + salt % buckets, bucket)
+    return np.where(_among(key, np.sort(hot)), buckets + salt % buckets, bucket)
 
 
 _TEXT_BUCKETS, _SIDES, _COUNTS = "bucket int, side int, data binary", (0, 1), "bucket int, source int, data binary"
@@ -646,7 +684,7 @@ def _key_texts(buckets: int, hot: np.ndarray, needless: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             item, key = text_keys(list(pdf["text"]))
-            asked = ~np.isin(key, needless)
+            asked = ~_among(key, needless)
             item, key = item[asked], key[asked]
             ids = pdf["h"].to_numpy(np.int64)[item]
             yield _packed(_salted(key, _bucket(key, buckets), ids, hot, buckets), _entries(key, ids), side=0)
@@ -751,19 +789,31 @@ def _plain(title: Column) -> Column:
     return F.regexp_replace(F.when(low.contains("<"), F.regexp_replace(low, r"</?[a-z]{1,6}>", "")).otherwise(low), r"[^0-9a-zα-ω]+", "")
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [_ROW.join(sorted(packed_row(*(r[c] for c in _ROW_COLUMNS)) for r in rs)) for rs in pdf["rows"]]
-        yield pdf.assign(title=[" ".join(words(t)) for t in pdf["title"]], rows=rows)
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        held = b.column("rows")
+        packed = [packed_row(*r) for r in zip(*(c.to_pylist() for c in held.flatten().flatten()))]
+        ends = held.value_lengths().to_numpy(zero_copy_only=False).cumsum().tolist()
+        rows = [packed[i] if j == i + 1 else _ROW.join(sorted(packed[i:j])) for i, j in zip([0, *ends], ends)]
+        titles = [" ".join(words(t)) for t in b.column("title").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("f"), pa.array(titles, pa.string()), pa.array(rows, pa.string())], names=["f", "title", "rows"])
 
 
 _BLOCK = "home bigint, h1 bigint, h2 bigint, w1 array<bigint>, w2 array<bigint>, truth array<float>, words array<int>, year array<int>, volume array<int>, page array<int>, name array<int>"
 _COLUMNS = [c.split()[0] for c in _BLOCK.split(", ")]
 
 
+_numbers: dict[str, int] = {"": 0}
+
+
 def _number(word: str) -> int:
     """A field as a number for comparison; 0 is unknown."""
-    return (_hash(word) & 0x7FFFFFFF) + 1 & 0x7FFFFFFF if word else 0
+    n = _numbers.get(word)
+    if n is None:
+        if len(_numbers) > 500_000:
+            _numbers.clear()
+        n = _numbers[word] = (_hash(word) & 0x7FFFFFFF) + 1 & 0x7FFFFFFF if word else 0
+    return n
 
 
 _UP = np.array([WEIGHTS[name] for name in AGAINST])
@@ -797,22 +847,78 @@ def _agree(a: tuple, b: tuple) -> bool:
     return a[0] == b[0] or (a[1:4] == b[1:4] and 0 not in a[1:4])
 
 
+#: Rows that wait for one to agree with before they are scored in any case.
+WAITING_MOST = 4_000
+
+
+def _place(x: tuple) -> int:
+    return x[5]
+
+
+def _title_number(entry: list) -> int:
+    """A title's number for comparison, of its words that are not light."""
+    if entry[4] is None:
+        entry[4] = _number(" ".join([w for w in entry[1] if w not in LIGHT]))
+    return entry[4]
+
+
 def _score(forms: dict[str, tuple[str, ...]]):
     """One row for each text with the rows that something supports; texts come sorted, and none is divided among tasks.
 
     Left out is only what ends at 0 in any case: rows that neither rise alone nor may be of one publication with one that does,
-    as 0 is then the least of every rule they stand in."""
-
-    def block(found: list[tuple]) -> tuple[int, list[tuple]] | None:
-        """The home of a text's block, and its rows."""
-        if len(found) == 1:
-            return (found[0][0], found) if _rises(found[0][3]) else None
+    as 0 is then the least of every rule they stand in. So a row whose numbers, year and journal contradict the text beyond what any title
+    supports waits until one it agrees with has risen, and its title is looked at only then."""
+
+    def fields_of(entry: list, row: list[str]) -> tuple:
+        name, _, year, volume, page = row[2:]
+        date = int(year) if year.isdecimal() and len(year) < 9 else _number(year)
+        return _title_number(entry), date, _number(volume), _number(page), _number(name)
+
+    def scored(shown: tuple, place: int, f: int, entry: list, row: list[str]) -> tuple | None:
+        """The row as it stands in a block, if something supports it."""
+        known, own, form, marks, _ = entry
+        if form is None:
+            form = entry[2] = "".join(own), title_form(own)
+        stands = title_truth(shown, own, *form)
+        w1, w2, name, journal, year, volume, page = row
+        if not stands[1] and page not in shown[2]:
+            return None
+        if marks is None:
+            marks = entry[3] = _markers(own, known)
+        truth = truths(shown, stands, known, marks, forms.get(journal) or ((journal,) if journal else ()), name, year, volume, page)
+        if not truth or (truth[0] <= 0 and truth[1] <= 0):
+            return None
+        return f, int(w1), int(w2), truth, fields_of(entry, row), place
+
+    def cannot_rise(shown: tuple, places: int, journal: str, year: str, volume: str, page: str) -> bool:
+        """Whether numbers, year and journal of a row whose page the text does not show outweigh any title."""
+        against = WEIGHTS["prior"]
+        if places > 1:
+            against += (WEIGHTS["page"] if page else 0.0) + (WEIGHTS["volume"] if volume and volume not in shown[2] else 0.0)
+        if year and shown[1] and year not in shown[1]:
+            against += WEIGHTS["year"]
+        if against < WEIGHTS["title"] <= against + WEIGHTS["journal"] and journal and not _one_in(forms.get(journal, (journal,)), shown[3]):
+            against += WEIGHTS["journal"]
+        return against >= WEIGHTS["title"]
+
+    def block(shown: tuple, found: list[tuple], waiting: list[tuple]) -> tuple[int, list[tuple]] | None:
+        """The home of a text's block, and its rows: those that rise alone, and of the others those that agree with one of them."""
         alone = [x for x in found if _rises(x[3], _ONE)]
         if not alone:
             return None
         if len(alone) < len(found):
             ids = {id(x) for x in alone}
             found = [x for x in found if id(x) in ids or any(_agree(x[4], y[4]) for y in alone)]
+        if waiting:
+            titles, pages = {x[4][0] for x in alone}, {x[4][3] for x in alone}
+            for place, f, entry, row in waiting:
+                if _title_number(entry) in titles or (row[6] and _number(row[6]) in pages):
+                    own = fields_of(entry, row)
+                    if any(_agree(own, y[4]) for y in alone) and (x := scored(shown, place, f, entry, row)):
+                        found.append(x)
+            found.sort(key=_place)
+        if len(found) == 1:
+            return found[0][0], found
         support = np.array([x[3][: len(SUPPORT)] for x in found], np.float32)
         return found[int((support[:, 0] + support[:, 1]).argmax())][0], found
 
@@ -826,42 +932,60 @@ def _score(forms: dict[str, tuple[str, ...]]):
         return pa.RecordBatch.from_arrays(columns, names=_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shown, found, out = None, None, [], []
+        last, shown, found, waiting, out, place = None, None, [], [], [], 0
         titles: dict[str, list] = {}
         for b in batches:
-            for h1, h2, text, f, title, rows in zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "text", "f", "title", "rows"))):
-                if (h1, h2) != last:
-                    if found and (own := block(found)):
-                        out.append((own[0], *last, own[1]))
-                    last, shown, found = (h1, h2), seen(text), []
+            h1s, h2s = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
+            starts = np.flatnonzero(np.append(True, (h1s[1:] != h1s[:-1]) | (h2s[1:] != h2s[:-1]))[: len(h1s)])
+            texts = zip(h1s[starts].tolist(), h2s[starts].tolist(), b.column("text").take(pa.array(starts)).to_pylist(), np.append(starts[1:], len(h1s)).tolist())
+            until = 0
+            for i, (f, title, rows) in enumerate(zip(*(b.column(c).to_pylist() for c in ("f", "title", "rows")))):
+                if i == until:
+                    h1, h2, text, until = next(texts)
+                    if (h1, h2) != last:
+                        if found and (own := block(shown, found, waiting)):
+                            out.append((own[0], *last, own[1]))
+                        last, shown, found, waiting = (h1, h2), seen(text), [], []
+                        years, numbers = shown[1], shown[2]
+                        counted = [n for n in numbers if n not in years]
                 if len(titles) > 50_000:
                     titles.clear()
                 entry = titles.get(title)
                 if entry is None:
-                    own = title.split()
-                    # Looked at when a rule first asks for them: the title's set of words, its markers and its number.
-                    entry = titles[title] = [own, "".join(own), None, None, None]
-                own, whole, known, marks, number = entry
-                stands = title_truth(shown, own, whole)
+                    words_ = title.split()
+                    # Looked at when a rule first asks for them: the title's words by weight, its markers and its number.
+                    entry = titles[title] = [set(words_), words_, None, None, None]
+                known = entry[0]
+                places = len(counted) if known.isdisjoint(counted) else sum([n not in known for n in counted])
                 for r in rows.split(_ROW):
-                    w1, w2, name, journal, year, volume, page = r.split(_FIELD)
-                    if not stands[1] and page not in shown[2]:
-                        continue
-                    if known is None:
-                        known, marks = set(own), _markers(own)
-                        number = _number(" ".join([w for w in own if w not in LIGHT]))
-                        entry[2:] = known, marks, number
-                    truth = truths(shown, stands, row_fields(known, marks, name, journal, year, volume, page, forms))
-                    if truth and max(truth[:2]) > 0:
-                        date = int(year) if year.isdecimal() and len(year) < 9 else _number(year)
-                        found.append((f, int(w1), int(w2), truth, (number, date, _number(volume), _number(page), _number(name))))
+                    row = r.split(_FIELD)
+                    place += 1
+                    if row[6] in numbers or not cannot_rise(shown, places, *row[3:]):
+                        if x := scored(shown, place, f, entry, row):
+                            found.append(x)
+                    else:
+                        waiting.append((place, f, entry, row))
+                if len(waiting) > WAITING_MOST:
+                    found += [x for w in waiting if (x := scored(shown, *w))]
+                    found.sort(key=_place)
+                    waiting = []
             if out:
                 yield batch(out)
                 out = []
-        if found and (own := block(found)):
+        if found and (own := block(shown, found, waiting)):
             yield batch([(own[0], *last, own[1])])
 
-    return run
+    def without_gc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """No object made here refers to itself, so a search for cycles among the many tuples finds nothing."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if on:
+                gc.enable()
+
+    return without_gc
 
 
 def _single(truth: np.ndarray) -> np.ndarray:
@@ -883,7 +1007,7 @@ def _settle(pdf: pd.DataFrame, state: pd.DataFrame | None = None) -> pd.DataFram
     """Values of the rows of a group of texts. Without a state: matches and all identities. With one (pid, agreed, dual, copies of shared identities):
     all rows, and the shared identities, their copies drawn to what is agreed less their duals."""
     sizes = np.array([len(x) for x in pdf["w1"]], np.int64)
-    flat = lambda name, kind: np.concatenate([np.asarray(x, kind) for x in pdf[name]]) if len(pdf) else np.zeros(0, kind)
+    flat = lambda name, kind: np.concatenate(list(pdf[name])).astype(kind) if len(pdf) else np.zeros(0, kind)
     w1, w2, truth = flat("w1", np.int64), flat("w2", np.int64), flat("truth", np.float64).reshape(-1, len(SUPPORT) + len(AGAINST))
     text, value = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(w1))
     alone = sizes[text] == 1
@@ -910,7 +1034,7 @@ def _settle(pdf: pd.DataFrame, state: pd.DataFrame | None = None) -> pd.DataFram
 
 
 def _fields(pdf: pd.DataFrame, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    return tuple(np.concatenate([np.asarray(x, np.int32) for x in pdf[name]])[rows] for name in ("words", "year", "volume", "page", "name"))
+    return tuple(np.concatenate(list(pdf[name])).astype(np.int32)[rows] for name in ("words", "year", "volume", "page", "name"))
 
 
 def _touched(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
@@ -918,8 +1042,8 @@ def _touched(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
     if not len(pdf) or not len(shared):
         return pdf.iloc[:0]
     sizes = np.array([len(x) for x in pdf["w1"]], np.int64)
-    w1 = np.concatenate([np.asarray(x, np.int64) for x in pdf["w1"]])
-    truth = np.concatenate([np.asarray(x, np.float64) for x in pdf["truth"]]).reshape(len(w1), -1)
+    w1 = np.concatenate(list(pdf["w1"])).astype(np.int64)
+    truth = np.concatenate(list(pdf["truth"])).astype(np.float64).reshape(len(w1), -1)
     p = problem(sizes, truth, w1, _fields(pdf, np.ones(len(w1), bool)))
     pids = np.sort(shared["pid"].to_numpy(np.int64))
     least = np.full(p["block"].max() + 1, np.iinfo(np.int64).max)
@@ -981,7 +1105,7 @@ def families(works: DataFrame) -> DataFrame:
     chunk = F.pmod(F.col("w1"), F.coalesce(F.ceil(F.col("n") / FAMILY_MOST), F.lit(1)))
     f = F.xxhash64("t", chunk).bitwiseAND(_ID).alias("f")
     rows = keyed.join(many, "t", "left").select(f, "title", F.struct(*_ROW_COLUMNS).alias("row"))
-    return rows.groupBy("f").agg(F.min("title").alias("title"), F.collect_set("row").alias("rows")).mapInPandas(
+    return rows.groupBy("f").agg(F.min("title").alias("title"), F.collect_set("row").alias("rows")).mapInArrow(
         _tokens, "f bigint, title string, rows string"
     )
 

@@ -196,3 +196,38 @@ def test_hot_text_and_hot_key(spark):
     keys = L.text_keys(texts)
     assert len(L.hot_keys(keys, len(texts))) > 0
     assert got == {(i, i % 90 if i % 3 else 7) for i in range(600)}
+
+
+def _pairs(rng, texts=60):
+    """A batch of texts, each with rows of its own title, of near titles and of others, whose fields agree with it or contradict it."""
+    import pyarrow as pa
+
+    near = [f"diffuse innervation of thymus in lactating rodents given {a}zolamide" for a in ("bar", "kem", "tof", "vul")]
+    out = []
+    for h in range(texts):
+        year, volume, page = (int(x) for x in rng.integers((1990, 1, 100), (2020, 99, 999)))
+        title = str(rng.choice(near)) if h % 3 else _other(h)
+        out_of = [title, title, *near, _other(h + 1)]
+        date, sign = ("", "") if h % 7 == 0 else (f" {year}", ";")
+        text = f"Barek DK. {title}. Acta Exp Marrow Biol.{date}{sign}{volume}(3):{page}-{page + 5}."
+        for f, t in enumerate(out_of):
+            rows = []
+            for k in range(int(rng.integers(1, 4))):
+                own = lambda x: "" if (r := rng.integers(0, 4)) == 0 else str(x + (r == 1) * int(rng.integers(1, 9)))
+                w = 100 * (100 * h + f) + k
+                rows.append(L.packed_row(w, w, str(rng.choice(["Barek, D.", "Gatum, J."])), "Acta Exp Marrow Biol" if k else "Archives of Cortex", own(year), own(volume), own(page)))
+            out.append((h, h, text, 100 * h + f, " ".join(L.words(t)), "\x1e".join(rows)))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["h1", "h2", "text", "f", "title", "rows"])
+
+
+def test_contradicted_rows_wait(monkeypatch):
+    """A row that can't rise has its title looked at only where it agrees with one that rises; the blocks are those of scoring every row."""
+    batch = _pairs(np.random.default_rng(5))
+    calls, real = [], L.title_truth
+    monkeypatch.setattr(L, "title_truth", lambda *a: calls.append(1) or real(*a))
+    run = lambda: [r for b in L._score({})(iter([batch.slice(0, 150), batch.slice(150)])) for r in b.to_pylist()]
+    got, waited = run(), len(calls)
+    calls.clear()
+    monkeypatch.setattr(L, "WAITING_MOST", -1)
+    assert got == run() and len(got) > 30 and max(len(r["w1"]) for r in got) > 2
+    assert waited < 0.8 * len(calls)
